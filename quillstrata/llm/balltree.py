@@ -141,7 +141,7 @@ def top_inner_products(table: DataFrame, k: int = K, query_every: int = QUERY_EV
     packed = rows.withColumn("shard", dealt(shards, 1)).groupBy("shard").applyInPandas(lambda t: _pack(t, "shard"), "shard int, ids binary, body binary")
     questions = asked.withColumn("block", dealt(blocks, 2)).groupBy("block").applyInPandas(lambda t: _pack(t, "block"), "block int, ids binary, body binary")
     each_shard = questions.select("block", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = each_shard.join(packed, "shard").withColumn("lane", F.floor(F.col("shard") / SHARDS_A_TASK).cast("int"))
+    pairs = each_shard.join(packed.hint("merge"), "shard").withColumn("lane", F.floor(F.col("shard") / SHARDS_A_TASK).cast("int"))
     dealt_pairs = pairs.repartition("block", "lane").sortWithinPartitions("block", "lane", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
