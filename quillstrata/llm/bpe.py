@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,67 +25,82 @@ from tokenizers import Tokenizer
 from quillstrata.llm.common import map_texts, text_or_empty, with_fields
 
 #: Entries that a worker's table of encoded words may hold.
-WORD_TABLE = 300_000
+WORD_TABLE = 400_000
 
 
-class SegmentTree:
-    """Minimum over packed (rank, place) keys."""
+def merge_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:
+    """Merge ids until no adjacent pair is in merges, which gives rank << 16 | merged id for left << 16 | right.
 
-    def __init__(self, keys: list[int], none: int):
-        self.none, self.base = none, 1
-        while self.base < len(keys):
-            self.base *= 2
-        self.nodes = [none] * (2 * self.base)
-        self.nodes[self.base : self.base + len(keys)] = keys
-        for i in range(self.base - 1, 0, -1):
-            self.nodes[i] = min(self.nodes[2 * i], self.nodes[2 * i + 1])
-
-    def root(self) -> int:
-        return self.nodes[1]
-
-    def put(self, place: int, key: int) -> None:
-        nodes, i = self.nodes, place + self.base
-        nodes[i] = key
-        while i > 1:
-            i //= 2
-            low = min(nodes[2 * i], nodes[2 * i + 1])
-            if nodes[i] == low:
-                break
-            nodes[i] = low
-
-
-def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge ids until no adjacent pair is in merges, which gives (rank, merged id)."""
+    Leaf i of the tree is rank << shift | i of the pair at i, so the root is the leftmost pair of lowest rank.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
-    shift = n.bit_length()
-    mask, none = (1 << shift) - 1, 1 << 62
-    find = merges.get
-
-    def key(i: int, j: int) -> int:
-        hit = find((symbols[i], symbols[j])) if j < n else None
-        return none if hit is None else hit[0] << shift | i
-
-    symbols = list(symbols)
+    find, shift, none = merges.get, n.bit_length(), 1 << 62
+    base = 1 << (n - 2).bit_length()
+    tree = [none] * (2 * base)
+    some = False
+    for i in range(n - 1):
+        hit = find(symbols[i] << 16 | symbols[i + 1])
+        if hit is not None:
+            tree[base + i] = hit >> 16 << shift | i
+            some = True
+    if not some:
+        return symbols
+    for i in range(base - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    mask = (1 << shift) - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    tree = SegmentTree([key(i, i + 1) for i in range(n - 1)], none)
-    alive = [True] * n
-    while (low := tree.root()) != none:
+
+    def put(place: int, key: int) -> None:
+        i = place + base
+        if tree[i] == key:
+            return
+        tree[i] = key
+        while i > 1:
+            other = tree[i ^ 1]
+            i >>= 1
+            low = key if key < other else other
+            if tree[i] == low:
+                return
+            tree[i] = key = low
+
+    while (low := tree[1]) != none:
         i = low & mask
         j = after[i]
-        symbols[i] = find((symbols[i], symbols[j]))[1]
-        alive[j] = False
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
+        new = symbols[i] = find(symbols[i] << 16 | symbols[j]) & 0xFFFF
+        symbols[j] = -1
+        k = after[i] = after[j]
         if j < n - 1:
-            tree.put(j, none)
-        if i < n - 1:
-            tree.put(i, key(i, after[i]))
-        if before[i] >= 0:
-            tree.put(before[i], key(before[i], i))
-    return [s for s, live in zip(symbols, alive, strict=True) if live]
+            put(j, none)
+        if k < n:
+            before[k] = i
+            hit = find(new << 16 | symbols[k])
+            put(i, none if hit is None else hit >> 16 << shift | i)
+        else:
+            put(i, none)
+        if (h := before[i]) >= 0:
+            hit = find(symbols[h] << 16 | new)
+            put(h, none if hit is None else hit >> 16 << shift | h)
+    return [x for x in symbols if x >= 0]
+
+
+# Characters whose classes every Unicode version shares: for these the split is done here, for others by the library.
+_PLAIN = re.compile("[\x00-\u024f\u2010-\u2027]*")
+_plain = [chr(i) for i in range(0x250)]
+_SPACE = "\t-\r \x85\xa0"
+_LETTER = "".join(c for c in _plain if unicodedata.category(c)[0] == "L")
+_NUMBER = "".join(c for c in _plain if unicodedata.category(c)[0] == "N")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (x for x in range(256) if x not in shown)
+    hidden = {x: chr(0x100 + i) for i, x in enumerate(rest)}
+    return [hidden.get(x, chr(x)) for x in range(256)]
 
 
 class BpeCodec:
@@ -95,45 +111,56 @@ class BpeCodec:
             spec = json.load(f)
         whole, model = Tokenizer.from_file(path), spec["model"]
         self._normalize, self._split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
-        self.vocab: dict[str, int] = model["vocab"]
-        self.tail: str = model.get("end_of_word_suffix") or ""
+        vocab, tail = model["vocab"], model.get("end_of_word_suffix") or ""
+        if max(vocab.values()) > 0xFFFF:
+            raise ValueError("ids must fit 16 bits")
+        self.symbol = {c: vocab[c] for c in byte_symbols()}
+        self.last = {c: vocab[c + tail] for c in byte_symbols()}
+        self._byte, self._last_byte = [self.symbol[c] for c in byte_symbols()], [self.last[c] for c in byte_symbols()]
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        self.token = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+            self.merges[vocab[a] << 16 | vocab[b]] = rank << 16 | vocab[a + b]
+        self.token = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # Two generations: what was used lately survives when the younger one is full.
         self._known: dict[str, tuple[int, str, str]] = {}
-
-    def _word(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for piece, _ in self._split(chunk):
-            last = len(piece) - 1
-            row = [self.vocab.get(c + self.tail if i == last else c) for i, c in enumerate(piece)]
-            ids += merge_symbols([x for x in row if x is not None], self.merges)
-        return ids
-
-    def _known_word(self, chunk: str) -> tuple[int, str, str]:
-        hit = self._known.get(chunk)
-        if hit is None:
-            ids = self._word(chunk)
-            hit = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(chunk) <= 64:
-                if len(self._known) >= WORD_TABLE:
-                    self._known.clear()
-                self._known[chunk] = hit
+        self._older: dict[str, tuple[int, str, str]] = {}
+
+    def _hit(self, piece: str, row: list[int]) -> tuple[int, str, str]:
+        ids = merge_symbols(row, self.merges)
+        hit = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        return self._keep(piece, hit)
+
+    def _keep(self, piece: str, hit: tuple[int, str, str]) -> tuple[int, str, str]:
+        if len(piece) <= 48:
+            if len(self._known) >= WORD_TABLE // 2:
+                self._known, self._older = {}, self._known
+            self._known[piece] = hit
         return hit
 
+    def _new(self, piece: str) -> tuple[int, str, str]:
+        if piece in self._older:
+            return self._keep(piece, self._older[piece])
+        raw = piece.encode()
+        row = [self._byte[x] for x in raw]
+        row[-1] = self._last_byte[raw[-1]]
+        return self._hit(piece, row)
+
     def _chunks(self, text: str) -> Iterator[tuple[int, str, str]]:
         for i, part in enumerate(self._cut.split(text) if self._cut and "<|" in text else (text,)):
             if i % 2:
                 yield 1, str(self.special[part]), part
+            elif part and _PLAIN.fullmatch(part) and unicodedata.is_normalized("NFC", part):
+                known, new = self._known.get, self._new
+                for piece in _PIECES.findall(part.lower()):
+                    yield known(piece) or new(piece)
             elif part:
-                # White space has become single spaces, and no pre-token holds one.
                 for chunk in self._normalize(part).split(" "):
-                    if chunk and (hit := self._known_word(chunk))[0]:
-                        yield hit
+                    for piece, _ in self._split(chunk) if chunk else ():
+                        # The library's pieces are rows of byte symbols; a mark keeps them apart from plain ones.
+                        yield self._known.get("\0" + piece) or self._hit("\0" + piece, [*(self.symbol[c] for c in piece[:-1]), self.last[piece[-1]]])
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for _, ids, _ in self._chunks(text) for x in ids.split(" ")]
@@ -143,13 +170,9 @@ class BpeCodec:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        n, ids, said = 0, [], []
-        for k, a, b in self._chunks(text):
-            n += k
-            ids.append(a)
-            said.append(b)
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
-        return n, sha(ids), sha(said)
+        rows = list(self._chunks(text))
+        sha = lambda i: hashlib.sha256(" ".join([r[i] for r in rows]).encode()).hexdigest()
+        return sum([r[0] for r in rows]), sha(1), sha(2)
 
 
 _CODECS: dict[str, BpeCodec] = {}
