@@ -32,7 +32,7 @@ SHARE = 1.5
 MOST_PASSES = 2
 #: Parts into which a source's documents are dealt for running sums; slots that one row unfolds to.
 BUCKETS = 1_024
-CHUNK = 65_536
+CHUNK = 4_096
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -95,7 +95,7 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         .withColumn("all", F.sum("n").over(Window.partitionBy()))
         .where("n > 0")
     )
-    chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))).repartition("s", "chunk")
+    chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))).repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "chunk")
     first = F.col("chunk") * CHUNK
     each = chunks.withColumn("r", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("n")) - 1)))
     at = (
@@ -122,7 +122,8 @@ def pieces(at: DataFrame, mix: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = at.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
-    joined = parts.join(mix.select("s", "block", "pass", "words"), ["s", "block"])
+    # Slots grow with the corpus, though their plan starts at the small table of sources: never broadcast them.
+    joined = parts.join(mix.select("s", "block", "pass", "words").hint("merge"), ["s", "block"])
     return joined.where(high > low).withColumn("from_word", low - F.col("start")).withColumn("n", high - low).drop("block", "words")
 
 
