@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns of filings.
 TOKEN = r"(?U)(?<!\w)[a-z0-9]+(?:[._-][a-z0-9]+)*%?(?!\w)"
@@ -19,7 +20,7 @@ VALUE = r"(?i)^(?:[$€£¥]\s*)?\(?[-+]?\d[\d,\s]*(?:\.\d+)?\)?\s*(?:%|x|bps)?\
 BLANK_VALUES = ("-", "—", "–", "nm", "n/m", "na", "n/a", "yes", "no")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
