@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from quillstrata.llm.common import map_texts, text_or_empty, with_fields
 
 #: Entries that a worker's table of encoded words may hold.
-WORD_TABLE = 400_000
+WORD_TABLE = 240_000
 
 
 def merge_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:

@@ -55,6 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
 _ARROW = {"long": "int64", "int": "int32", "string": "string", "boolean": "bool_", "double": "float64", "binary": "binary"}
 
 
+#: Text that a worker turns into Python objects at a time.
+SLICE_BYTES = 2_000_000
+
+
 def arrow_type(name: str) -> pa.DataType:
     return pa.list_(arrow_type(name[6:-1])) if name.startswith("array<") else getattr(pa, _ARROW[name])()
 
@@ -74,9 +78,12 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
         for batch in batches:
-            if batch.num_rows:
-                new = made(batch.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *(pa.array(x, t) for x, t in zip(new, types, strict=True))], names)
+            rows = batch.num_rows
+            step = max(1, rows * SLICE_BYTES // max(1, batch.column(text).nbytes))
+            for at in range(0, rows, step):
+                part = batch.slice(at, step)
+                new = made(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(pa.array(x, t) for x, t in zip(new, types, strict=True))], names)
 
     return df.mapInArrow(run, with_fields([df.schema[c] for c in others], ", ".join(f"{n} {t}" for n, t in fields.items())))
 
