@@ -66,7 +66,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int =
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     rows = line_sequence(docs)
-    first = intervals(rows, ["id", "chars"])
+    # Cut, so that both sides of the join are exchanged and a hot line's rows can be split.
+    first = cut(intervals(rows, ["id", "chars"]))
     ranked = cut(rows.join(first, ["id", "chars"]).withColumnRenamed("id", "line"))
     later = F.struct("doc_id", "k1", "k2", "p") != F.col("head")
     gone = ranked.where(later & (F.col("w") >= (long_line if min_lines > 1 else 0))).select("doc_id", "k1", "k2", "p", "i")
