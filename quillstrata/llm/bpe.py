@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstrata.llm.common import map_texts, text_or_empty, with_fields
+from quillstrata.llm.common import kept_in_worker, lean, map_texts, text_or_empty, with_fields
 
 #: Entries that a worker's table of encoded words may hold.
 WORD_TABLE = 240_000
@@ -175,14 +175,9 @@ class BpeCodec:
         return sum([r[0] for r in rows]), sha(1), sha(2)
 
 
-_CODECS: dict[str, BpeCodec] = {}
-
-
 def codec(path: str) -> BpeCodec:
-    """One codec a worker process."""
-    if path not in _CODECS:
-        _CODECS[path] = BpeCodec(path)
-    return _CODECS[path]
+    """One codec a worker process, as long as it runs tasks of this operator."""
+    return kept_in_worker(f"bpe {path}", lambda: BpeCodec(path))
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +192,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         return run
 
-    return map_texts(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, {"n_tokens": "long", "ids": "array<int>"})
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, {"n_tokens": "long", "ids": "array<int>"}, keeps=True)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -210,7 +205,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), said], ["doc_id", "decoded"])
 
     rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(run, with_fields([rows.schema["doc_id"]], "decoded string"))
+    return rows.mapInArrow(lean(run, keeps=True), with_fields([rows.schema["doc_id"]], "decoded string"))
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,4 +215,4 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         digest = codec(path).digest
         return lambda texts: zip(*map(digest, texts), strict=True)
 
-    return map_texts(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, keeps=True)

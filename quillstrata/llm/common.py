@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -63,14 +65,51 @@ def arrow_type(name: str) -> pa.DataType:
     return pa.list_(arrow_type(name[6:-1])) if name.startswith("array<") else getattr(pa, _ARROW[name])()
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], object]) -> object:
+    """A table that one operator's tasks share in a worker process, which keeps one table at most."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget_kept() -> None:
+    _KEPT.clear()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: worker processes live on, and allocators hold it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, between dropping what another operator kept in the worker (unless keeps) and giving memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget_kept()
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def with_fields(kept: list[T.StructField], ddl: str) -> T.StructType:
     return T.StructType([*kept, *T.StructType.fromDDL(ddl).fields])
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[Sequence]]], fields: dict[str, str], text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[Sequence]]], fields: dict[str, str], text: str = "text", keeps: bool = False) -> DataFrame:
     """Replace the column named by text by columns made from it, batch by batch; the others pass through as they are.
 
-    make() runs once a task and returns a function from a batch's texts (no nulls) to the new columns.
+    make() runs once a task and returns a function from a batch's texts (no nulls) to the new columns. keeps: it uses a
+    table of kept_in_worker().
     """
     others = [c for c in df.columns if c != text]
     names, types = [*others, *fields], [arrow_type(t) for t in fields.values()]
@@ -85,7 +124,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[S
                 new = made(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(pa.array(x, t) for x, t in zip(new, types, strict=True))], names)
 
-    return df.mapInArrow(run, with_fields([df.schema[c] for c in others], ", ".join(f"{n} {t}" for n, t in fields.items())))
+    return df.mapInArrow(lean(run, keeps), with_fields([df.schema[c] for c in others], ", ".join(f"{n} {t}" for n, t in fields.items())))
 
 
 #: Rows up to which a counted table is broadcast; beyond it Spark picks a shuffled join.
