@@ -186,3 +186,11 @@ def test_empty_table(docs):
     none = docs.where("false")
     for f in (windows.window_digests, simhash.simhash_digests, quality.quality_verdicts, lines.line_digests, mixing.mix_report, secrets.scan_secrets, simhash_wide.keep_one_each, mixing.mixed_documents):
         assert f(none).count() == 0
+
+
+def test_postings_fold_groups(spark):
+    fp = bytes(simhash_wide.WIDE_BYTES)
+    rows = [(3, 1, fp), (1, 1, fp), (9, 9, fp), (5, 5, bytes([255]) * simhash_wide.WIDE_BYTES)]
+    got = simhash_wide._members(spark.createDataFrame(rows, "id long, root long, fp binary").repartition(2), 4).collect()
+    # Three texts of two roots share every posting: the least of each root stays; a posting of one text goes.
+    assert sorted((r.post >> 24, r.id) for r in got) == [(k, i) for k in range(4) for i in (1, 9)]
