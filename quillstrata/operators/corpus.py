@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstrata.functions import matrices as M
 from quillstrata.functions import text as X
-from quillstrata.operators.records import MOST, OVERLAP, TARGET, corpus_violations, split_tokens, word_tokens
+from quillstrata.operators.folds import Counter, bounded_parts, counted, fold_runs, segment_runs
+from quillstrata.operators.records import corpus_violations, word_tokens
 
 VERSION = "quillstrata-corpus-1"
 # How a glossary is laid out, and the classes of tables that nobody searches.
@@ -28,63 +28,6 @@ NOT_SEARCHED = ("layout", "index")
 
 FILING = ("ticker", "cik", "accession_number", "filing_date", "report_date", "source_url", "raw_sha256")
 SPAN = ("page_start", "page_end", "start_display_page", "end_display_page")
-Counter = Callable[[str], int]
-
-
-def counted(count: Counter):
-    """The injected tokenizer as a pandas UDF."""
-
-    @F.pandas_udf("long")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: count(t or ""))
-
-    # Marked so that no rule copies it into several filters.
-    return tokens.asNondeterministic()
-
-
-def bounded_parts(count: Counter, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP):
-    """split_tokens as a pandas UDF of (text, sentence units)."""
-
-    @F.pandas_udf("array<string>")
-    def parts(texts: pd.Series, units: pd.Series) -> pd.Series:
-        return pd.Series([split_tokens(t or "", list(u), count, target, most, overlap) for t, u in zip(texts, units, strict=True)])
-
-    return parts
-
-
-def fold_runs(count: Counter, target: int = TARGET, most: int = MOST):
-    """Pandas UDF from a segment's texts to its runs (first: 1-based place, n): a run ends at target tokens or before most."""
-
-    def runs(texts: list[str]) -> list[dict[str, int]]:
-        out, first = [], 0
-        for i in range(len(texts)):
-            if i > first and count("\n\n".join(texts[first : i + 1])) > most:
-                out.append((first, i))
-                first = i
-            if count("\n\n".join(texts[first : i + 1])) >= target:
-                out.append((first, i + 1))
-                first = i + 1
-        if first < len(texts):
-            out.append((first, len(texts)))
-        return [{"first": a + 1, "n": b - a} for a, b in out]
-
-    @F.pandas_udf("array<struct<first:int,n:int>>")
-    def fold(segments: pd.Series) -> pd.Series:
-        return pd.Series([runs(list(s)) for s in segments])
-
-    return fold
-
-
-def segment_runs(rows: DataFrame, doc: str, place: str, closes: Column, kept: Column, fold, *carried: str) -> DataFrame:
-    """rows: doc, place, content, carried. doc and items (array of structs place, content, carried), one row a run.
-
-    A row of closes starts a segment; only rows of kept enter runs. Null flags count as false.
-    """
-    order = Window.partitionBy(doc).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumn("__qs_segment", F.sum(F.coalesce(closes, F.lit(False)).cast("int")).over(order)).where(kept)
-    whole = marked.groupBy(doc, "__qs_segment").agg(F.sort_array(F.collect_list(F.struct(place, "content", *carried))).alias("__qs_items"))
-    cut = whole.select(doc, "__qs_items", F.explode(fold(F.col("__qs_items.content"))).alias("__qs_run"))
-    return cut.select(doc, F.slice("__qs_items", F.col("__qs_run.first"), F.col("__qs_run.n")).alias("items"))
 
 
 def is_glossary_page(content: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstrata.operators.retrieval import MOST_QUERIES
+
 STATUSES = ("answerable", "ambiguous", "unsupported")
 RELEVANT, GROUPS = "relevant_target_chunk_ids", "required_evidence_groups"
 
@@ -61,3 +63,18 @@ def evidence_groups(queries: DataFrame) -> DataFrame:
 
 def status_counts(queries: DataFrame) -> DataFrame:
     return queries.groupBy("status").agg(F.count("*").alias("query_count"))
+
+
+def passage_judgements(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """docs: doc_id, text; passages: query_id, passage. query_id, target: documents that hold the passage verbatim.
+
+    The substring test is a nested loop over a passage set that is counted first; a larger one goes in blocks.
+    """
+    n = passages.count()
+    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
+    out = None
+    for b in range(blocks):
+        block = passages if blocks == 1 else passages.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        hits = docs.join(F.broadcast(block), F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("target"))
+        out = hits if out is None else out.unionByName(hits)
+    return out

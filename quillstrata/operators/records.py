@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstrata.functions.text import is_heading_start, section_title, sentence_units
+from quillstrata.functions.text import section_title, sentence_units
 
 TARGET, MOST, OVERLAP = 512, 1024, 64
 
@@ -140,33 +140,6 @@ def token_chunks(docs: DataFrame, count: Callable[[str], int] = word_tokens, tar
     return rows.mapInPandas(run, "doc_id long, part int, chunk string")
 
 
-def narrative_fold(elements: DataFrame, count: Callable[[str], int] = word_tokens, target: int = TARGET, most: int = MOST) -> DataFrame:
-    """elements: doc, place, kind, content. doc, narrative, first, last, content: runs closed by headings, size and tables."""
-    marked = elements.where("kind = 'table' or trim(content) <> ''").select("doc", "place", "kind", F.trim("content").alias("content"), is_heading_start(F.col("content")).alias("heading"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, buffer = [], []
-
-        def close() -> None:
-            if buffer:
-                out.append((pdf["doc"].iloc[0], len(out), buffer[0][0], buffer[-1][0], "\n\n".join(c for _, c in buffer)))
-                buffer.clear()
-
-        for row in pdf.sort_values("place").itertuples():
-            if row.kind == "table":
-                close()
-                continue
-            if row.heading or (buffer and count("\n\n".join([*(c for _, c in buffer), row.content])) > most):
-                close()
-            buffer.append((row.place, row.content))
-            if count("\n\n".join(c for _, c in buffer)) >= target:
-                close()
-        close()
-        return pd.DataFrame(out, columns=["doc", "narrative", "first", "last", "content"])
-
-    return marked.groupBy("doc").applyInPandas(fold, "doc long, narrative int, first long, last long, content string")
-
-
 def filled_titles(elements: DataFrame) -> DataFrame:
     """elements: doc, place, kind, content. Adds title: that of the last non-table element that leads with a bold title."""
     own = F.when(F.col("kind") != "table", section_title(F.col("content")))

@@ -16,7 +16,7 @@ from quillstrata.functions.text import financial_tokens
 DIGITS = 6
 K1, B = 1.5, 0.75
 RRF_K, CANDIDATES, LIMIT = 60, 30, 10
-#: Query rows that may be sent to every task; more must come in batches.
+#: Query rows that may be sent to every task at once.
 MOST_QUERIES = 20_000
 
 
@@ -84,12 +84,21 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, where: Column | None = None) -> DataFrame:
-    """Exact cosine of unit vectors (doc_id, embedding) against queries (query_id, vector), a counted and bounded set."""
-    if (n := queries.count()) > MOST_QUERIES:
-        raise ValueError(f"{n} queries; search in batches of {MOST_QUERIES}")
+    """Exact cosine of unit vectors (doc_id, embedding) against queries (query_id, vector).
+
+    A query set of up to MOST_QUERIES goes to every task; a larger one is ranked in blocks of about half that size, each
+    over all vectors.
+    """
     pool = vectors.where(where) if where is not None else vectors
-    scores = pool.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("vector")), DIGITS).alias("score"))
-    return ranked(scores, limit, "dense")
+    n = queries.count()
+    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
+    out = None
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scores = pool.crossJoin(F.broadcast(block)).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("vector")), DIGITS).alias("score"))
+        top = ranked(scores, limit, "dense")
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def rrf(dense: DataFrame, bm25: DataFrame, limit: int = LIMIT, k: int = RRF_K) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.functions import matrices as M
 from quillstrata.functions import text as X
-from quillstrata.operators import metrics, records, retrieval
+from quillstrata.operators import corpus, folds, ingest, locators, metrics, qrels, records, retrieval, vectors
 from quillstrata.sources.files import page_elements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,8 +245,7 @@ def corpus_checks(t):
 
 
 def _qrels(t) -> DataFrame:
-    # Passages are a bounded set of questions: they go to every task.
-    return t("documents").join(F.broadcast(t("benchmark").select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("target"))
+    return qrels.passage_judgements(t("documents"), t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
 
 
 @query(f"WITH {_QRELS} SELECT query_id, target FROM qrels")
@@ -358,7 +357,7 @@ def token_limit_chunks(t):
 
 @query()
 def narrative_fold(t):
-    return records.narrative_fold(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("place"), F.when(F.col("role") == "system", "table").otherwise("text").alias("kind"), F.col("text").alias("content")))
+    return folds.narrative_fold(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("place"), F.when(F.col("role") == "system", "table").otherwise("text").alias("kind"), F.col("text").alias("content")))
 
 
 @query()
@@ -366,6 +365,112 @@ def page_elements_query(t):
     return page_elements(t("pages"))
 
 
+@query(
+    f"""WITH {_QRELS}, r AS (SELECT query_id, list(target::VARCHAR) AS ids FROM qrels GROUP BY query_id),
+    q AS (SELECT item_id, coalesce(ids, []) AS ids FROM benchmark LEFT JOIN r ON query_id = item_id)
+    SELECT 'answerable without judgements' AS rule, item_id::VARCHAR AS key FROM q WHERE len(ids) = 0 AND item_id % 5 <> 0
+    UNION ALL SELECT 'primary target outside judgements', item_id::VARCHAR FROM q WHERE item_id % 7 = 0
+    UNION ALL SELECT DISTINCT 'unknown target', '-1' FROM q WHERE item_id % 5 = 0
+    UNION ALL SELECT 'group outside judgements', item_id::VARCHAR FROM q WHERE item_id % 3 = 0"""
+)
+def qrel_checks(t):
+    found = _qrels(t).groupBy("query_id").agg(F.collect_list(F.col("target").cast("string")).alias("ids"))
+    asked, ids = _asked(t).join(found, "query_id", "left"), F.coalesce("ids", F.array().cast("array<string>"))
+    group = F.array(F.struct(F.lit("e").alias("entity"), F.array(F.lit("0")).alias("target_chunk_ids")))
+    rows = asked.select(
+        F.col("query_id").cast("string").alias("query_id"), F.lit("words").alias("query"), F.lit("answerable").alias("status"), F.when(F.col("query_id") % 5 == 0, F.array_append(ids, F.lit("-1"))).otherwise(ids).alias("relevant_target_chunk_ids"),
+        F.when(F.col("query_id") % 7 == 0, "-2").alias("primary_target_chunk_id"), F.when(F.col("query_id") % 3 == 0, group).alias("required_evidence_groups"),
+    )
+    # 0 stands for a document that no passage is judged for.
+    known = t("documents").select(F.col("doc_id").cast("string").alias("target_chunk_id")).union(t("documents").sparkSession.sql("SELECT '0'"))
+    return qrels.qrel_violations(rows, known)
+
+
+@query(
+    rf"""WITH e AS (SELECT conv_id, turn, role, trim(regexp_replace(CASE WHEN turn % 2 = 0 THEN 'The following ' ELSE '' END || text, '\s+', ' ', 'g')) AS x FROM conversations),
+    l AS (SELECT *, {", ".join(f"lag(role, {i}) OVER w AS r{i}, lag(x, {i}) OVER w AS x{i}" for i in (1, 2, 3))} FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    s AS (SELECT *, {", ".join(f"coalesce(r{i} = 'user' AND len(x{i}) <= 400 AND regexp_matches(x{i}, '{locators.TABLE_INTRO[4:]}', 'i'), false) AS s{i}" for i in (1, 2, 3))} FROM l WHERE role = 'assistant')
+    SELECT conv_id AS doc, turn AS place, CASE WHEN r1 = 'assistant' THEN NULL WHEN s1 THEN x1 WHEN r2 = 'assistant' THEN NULL WHEN s2 THEN x2 WHEN r3 = 'assistant' THEN NULL WHEN s3 THEN x3 END AS introduction FROM s"""
+)
+def intro_lookup(t):
+    kind = F.when(F.col("role") == "assistant", "table").when(F.col("role") == "user", "paragraph").otherwise("heading")
+    text = F.concat(F.when(F.col("turn") % 2 == 0, "The following ").otherwise(""), "text")
+    return locators.introductions(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("place"), kind.alias("kind"), text.alias("text"), F.lit("1").alias("item"), F.lit("s").alias("section"), F.lit(False).alias("navigation")))
+
+
+@query("SELECT doc_id, 'lead ' || lang || '|**A' || doc_id || '** def ' || source || '|**B:** end' AS parts FROM documents")
+def glossary_entries(t):
+    made = F.concat(F.lit("**Glossary of Terms and Acronyms** lead "), F.col("lang"), F.lit(" **A"), F.col("doc_id"), F.lit("** def "), F.col("source"), F.lit(" **B:** end"))
+    return t("documents").select("doc_id", F.array_join(corpus.glossary_parts(made), "|").alias("parts"))
+
+
+_LINES = "SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY '| ' || n_name || ' | ' || (n_nationkey + 100) || ' |')::INT AS row FROM nation"
+
+
+@query(f"SELECT n_regionkey::VARCHAR AS table_id, row, 0 AS part, 'row' AS scope, concat_ws(chr(10), 'Bank: B', 'Entity: Bank', 'Report date: 2025', 'Table: Balances', 'Unit: millions', 'Measure or row: Nation > ' || n_name, 'Column context: 2025: ' || (n_nationkey + 100)) AS document FROM ({_LINES})")
+def data_locators(t):
+    rows = _rendered(t).withColumn("cell_matrices", M.markdown_matrices(F.col("text")))
+    head = locators.locator_head(F.lit("B"), F.lit("Bank"), F.lit("2025"), F.lit(None).cast("string"), F.lit("Balances"), X.table_unit(F.col("text")))
+    return locators.table_locators(rows.select(F.col("n_regionkey").cast("string").alias("table_id"), M.table_class(F.col("text"), F.col("cell_matrices")).alias("table_type"), "cell_matrices", head.alias("head"))).select("table_id", "row", "part", "scope", "document")
+
+
+@query(f"SELECT n_regionkey, 'Bank: B' || chr(10) || 'Report: 2025 10-K' || chr(10) || 'Columns: Nation; 2025' || chr(10) || 'Rows: ' || string_agg(n_name, '; ' ORDER BY row) || chr(10) || 'Units: in millions' AS proxy FROM ({_LINES}) GROUP BY n_regionkey")
+def table_proxies(t):
+    body, header = F.regexp_replace("text", r"(?s)^.*?\n\|---\|---\|\n", ""), F.lit("| Nation | 2025 |")
+    none = F.lit(None).cast("string")
+    made = locators.proxy_text(F.lit("B"), F.lit("2025-12-31"), none, none, none, locators.proxy_columns(header), locators.proxy_rows(body, header), locators.proxy_units(F.col("text")))
+    return _rendered(t).select("n_regionkey", made.alias("proxy"))
+
+
+@query(f"SELECT n_regionkey, 'Nation; 2025' AS columns, string_agg(n_name, '; ' ORDER BY row) AS rows FROM ({_LINES}) GROUP BY n_regionkey")
+def column_paths_row_labels(t):
+    m = M.markdown_matrices(F.col("text"))
+    return _rendered(t).select("n_regionkey", F.array_join(M.column_labels(m), "; ").alias("columns"), F.array_join(M.row_labels(m), "; ").alias("rows"))
+
+
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS i FROM orders WHERE o_orderstatus = 'F')
+    SELECT o_custkey::VARCHAR AS cik, o_orderkey::VARCHAR AS accession_number, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || o_orderkey || '/d.htm' AS source_url FROM n WHERE i = 1"""
+)
+def latest_filings(t):
+    entry = F.struct("o_orderkey", F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-K/A").alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    lists = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(entry)).alias("x"), F.max(F.col("o_orderstatus") == "F").alias("has")).where("has")
+    recent = F.struct(F.col("x.form").alias("form"), F.transform("x.o_orderkey", lambda k: k.cast("string")).alias("accessionNumber"), F.col("x.day").alias("filingDate"), F.col("x.day").alias("reportDate"), F.transform("x", lambda _: F.lit("d.htm")).alias("primaryDocument"))
+    feeds = lists.select(F.col("o_custkey").cast("string").alias("cik"), F.lit("t").alias("ticker"), F.lit("n").alias("legal_name"), F.array(F.lit("T")).alias("tickers"), recent.alias("recent"))
+    return ingest.latest_filings(feeds).select("cik", "accession_number", "source_url")
+
+
+@query("SELECT doc_id, 3 AS width, true AS of_length_one FROM documents")
+def encoded_vectors(t):
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([[len(x), x.count(" "), 1.0] for x in texts])
+
+    made = vectors.encoded(t("documents"), "doc_id", "text", make, most=10**9)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return made.select("doc_id", F.size("embedding").alias("width"), (F.abs(norm - 1) < 1e-5).alias("of_length_one"))
+
+
+def _corpus(t) -> tuple[DataFrame, DataFrame]:
+    """Conversations as filings: a page a turn, with what is said, and a small table after each system turn."""
+    element = lambda name, kind, content: F.struct(name.alias("id"), F.lit(kind).alias("kind"), content.alias("content"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), F.array(F.col("role")).alias("tags"))
+    said, table = element(F.concat(F.lit("e"), F.col("turn")), "text", F.col("text")), element(F.concat(F.lit("t"), F.col("turn")), "table", F.concat(F.lit("In millions\n\n| Item | 2025 |\n|---|---|\n| Turn | "), F.col("turn") + 10, F.lit(" |")))
+    pages = t("conversations").select(F.concat(F.lit("a-"), F.col("conv_id")).alias("accession_number"), F.col("turn").cast("int").alias("number"), F.lit(None).cast("int").alias("display_page"), F.col("text").alias("content"), F.when(F.col("role") == "system", F.array(said, table)).otherwise(F.array(said)).alias("elements"))
+    blank = [F.lit("x").alias(c) for c in (*corpus.FILING, "legal_name") if c != "accession_number"]
+    return corpus.build_corpus(pages.select("accession_number").distinct().select("accession_number", *blank), pages)
+
+
+@query()
+def corpus_chunks(t):
+    return _corpus(t)[0].select("record_id", "record_type", "document", "metadata.page_start", "metadata.page_end")
+
+
+@query("SELECT 'a-' || conv_id AS accession_number, count(*) FILTER (role = 'system') AS table_count, count(*) FILTER (role = 'system') AS table_chunk_count FROM conversations GROUP BY conv_id UNION ALL SELECT NULL, count(*) FILTER (role = 'system'), count(*) FILTER (role = 'system') FROM conversations")
+def corpus_manifest(t):
+    return corpus.manifest(*_corpus(t)).select("accession_number", "table_count", "table_chunk_count")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

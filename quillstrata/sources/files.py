@@ -111,3 +111,82 @@ def append_missing(new: DataFrame, path: str, key: str) -> int:
             raise
     new.write.mode("append").parquet(path)
     return spark.read.parquet(path).count()
+
+
+class _Grids(html.parser.HTMLParser):
+    """Cells of the tables below elements that carry the block attribute; a cell ends where the next begins."""
+
+    def __init__(self, attribute: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, list[list[tuple[str, int, int]]]]] = []
+        self._attribute, self._blocks, self._open, self._hidden = attribute, [], [], 0
+
+    def _span(self, attrs: dict, name: str) -> int:
+        given = (attrs.get(name) or "1").strip()
+        return min(1000, max(1, int(given))) if given.isdigit() else 1
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        named = dict(attrs)
+        self._hidden += tag in _HIDDEN
+        if tag not in _VOID:
+            self._blocks.append((tag, named.get(self._attribute) or (self._blocks[-1][1] if self._blocks else "")))
+        if tag == "table":
+            self._open.append([])
+            if block := self._blocks[-1][1]:
+                self.found.append((block, self._open[-1]))
+        elif self._open and tag == "tr":
+            self._open[-1].append([])
+        elif self._open and tag in ("td", "th"):
+            if not self._open[-1]:
+                self._open[-1].append([])
+            self._open[-1][-1].append(["", self._span(named, "rowspan"), self._span(named, "colspan")])
+
+    def handle_endtag(self, tag: str) -> None:
+        self._hidden = max(0, self._hidden - (tag in _HIDDEN))
+        if tag in (t for t, _ in self._blocks):
+            while self._blocks.pop()[0] != tag:
+                pass
+        if tag == "table" and self._open:
+            self._open.pop()
+
+    def handle_data(self, data: str) -> None:
+        if self._open and self._open[-1] and self._open[-1][-1] and not self._hidden:
+            self._open[-1][-1][-1][0] += data
+
+
+_VOID = ("br", "hr", "img", "input", "meta", "link", "col", "wbr")
+
+
+def resolve_spans(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """A rectangular matrix: a cell's text fills all the places it spans, places without a cell are empty."""
+    grid: dict[tuple[int, int], str] = {}
+    for y, row in enumerate(rows):
+        x = 0
+        for text, down, across in row:
+            while (y, x) in grid:
+                x += 1
+            grid |= {(y + i, x + j): " ".join(text.split()) for i in range(min(down, len(rows) - y)) for j in range(across)}
+            x += across
+    width = max((x for _, x in grid), default=-1) + 1
+    return [[grid.get((y, x), "") for x in range(width)] for y in range(len(rows))] if width else []
+
+
+def table_grids(pages: DataFrame, key: str, attribute: str) -> DataFrame:
+    """pages: key, html, whose blocks carry attribute. key, id, grids (matrices of the block's tables, each once)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for page, source in zip(pdf[key], pdf["html"], strict=True):
+                parser = _Grids(attribute)
+                parser.feed(source or "")
+                kept: dict[str, list] = {}
+                for block, rows in parser.found:
+                    grid = resolve_spans(rows)
+                    if grid and grid not in kept.setdefault(block, []):
+                        kept[block].append(grid)
+                out += [(page, block, grids) for block, grids in kept.items() if grids]
+            yield pd.DataFrame(out, columns=[key, "id", "grids"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, "html").mapInPandas(run, f"`{key}` {kind}, id string, grids array<array<array<string>>>")
