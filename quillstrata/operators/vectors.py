@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,21 @@ def unit_rows(found: np.ndarray) -> np.ndarray:
     return (found / norms).astype(np.float32)
 
 
+def hashed_words(width: int = 64) -> Encoder:
+    """A model that needs no files: signed counts of hashed words, and one fixed component so that no text is zero."""
+
+    def model(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), width + 1))
+        out[:, width] = 1
+        for row, text in zip(out, texts, strict=True):
+            for word in text.lower().split():
+                h = zlib.crc32(word.encode())
+                row[h % width] += 1 if h >> 31 else -1
+        return out
+
+    return model
+
+
 def encoded(rows: DataFrame, key: str, text: str, make: Callable[[], Encoder], batch: int = BATCH, count: Callable[[str], int] = word_tokens, most: int = MOST_TOKENS) -> DataFrame:
     """key, embedding. make builds the model once a task. Texts of more than most tokens fail: none is cut silently."""
 
