@@ -187,3 +187,33 @@ def introductions(elements: DataFrame, back: int = 3, most: int = 400) -> DataFr
     near = F.slice("before", 1, F.when(end > 0, end - 1).otherwise(F.lit(back)).cast("int"))
     says = F.filter(near, lambda x: x["kind"].isin("paragraph", "list") & (F.length(x["text"]) <= most) & x["text"].rlike(TABLE_INTRO))
     return rows.select("doc", "place", F.get(says, F.lit(0))["text"].alias("introduction"))
+
+
+def table_parts(count: Callable[[str], int], most: int = 700):
+    """Pandas UDF of (header, rows): parts of at most most tokens, each under the header; a longer row is cut by words."""
+
+    def cut(head: str, row: str) -> list[str]:
+        words, out, at = row.split(), [], 0
+        for end in range(1, len(words) + 1):
+            if end == len(words) or count(head + " ".join(words[at : end + 1])) > most:
+                out.append(head + " ".join(words[at:end]))
+                at = end
+        return out
+
+    def parts(header: str, rows: list[str]) -> list[str]:
+        head, out, open_ = header + "\n" if header else "", [], []
+        for row in rows:
+            if open_ and count(head + "\n".join([*open_, row])) > most:
+                out.append(head + "\n".join(open_))
+                open_ = []
+            if count(head + row) > most:
+                out += cut(head, row)
+            else:
+                open_.append(row)
+        return [*out, head + "\n".join(open_)] if open_ else out or [header] * bool(header)
+
+    @F.pandas_udf("array<string>")
+    def run(headers: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([parts(h or "", list(r)) for h, r in zip(headers, rows, strict=True)])
+
+    return run

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstrata.functions.text import normalize_space
 from quillstrata.operators.retrieval import MOST_QUERIES
 
 STATUSES = ("answerable", "ambiguous", "unsupported")
@@ -78,3 +79,28 @@ def passage_judgements(docs: DataFrame, passages: DataFrame) -> DataFrame:
         hits = docs.join(F.broadcast(block), F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("target"))
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+def anchored_judgements(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """docs: target, document; anchors: query_id, anchors array<string>. query_id, target, is_primary.
+
+    A document fits if it holds all anchors, without regard to case and white space; the shortest one is primary (ties:
+    smaller target). An empty anchor list fits nothing. The anchor set is counted, and goes in blocks where it is large.
+    """
+    plain = lambda x: F.lower(normalize_space(x))
+    whole = docs.select("target", plain(F.col("document")).alias("text"))
+    wanted = anchors.where(F.size("anchors") > 0).select("query_id", F.transform("anchors", plain).alias("anchors"))
+    n = wanted.count()
+    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
+    out = None
+    for b in range(blocks):
+        block = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        hits = whole.join(F.broadcast(block), F.forall("anchors", lambda a: F.contains("text", a))).select("query_id", "target", F.length("text").alias("n"))
+        out = hits if out is None else out.unionByName(hits)
+    first = out.groupBy("query_id").agg(F.min(F.struct("n", "target")).alias("first"))
+    return out.join(first, "query_id").select("query_id", "target", (F.col("target") == F.col("first.target")).alias("is_primary"))
+
+
+def assembled_groups(plan: DataFrame, judged: DataFrame) -> DataFrame:
+    """plan: query_id, entity, from_query; judged: query_id, target. Evidence groups (query_id, entity, target) out of other queries'."""
+    return plan.join(judged.select(F.col("query_id").alias("from_query"), "target"), "from_query").select("query_id", "entity", "target").distinct()

@@ -128,3 +128,13 @@ def rerank(hits: DataFrame, score: Column, limit: int = LIMIT) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("reranker_score"), "rank")
     again = hits.withColumn("reranker_score", score).withColumn("new_rank", F.row_number().over(order))
     return again.where(F.col("new_rank") <= limit)
+
+
+def candidate_pool(dense: DataFrame, bm25: DataFrame, fused: int = 20, each: int = 5, most: int = 30, k: int = RRF_K) -> DataFrame:
+    """query_id, doc_id, rank: the best fused hits, then each method's best that are not among them, most at most."""
+    named = lambda df, step: df.select("query_id", "doc_id", F.struct(F.lit(step).alias("step"), "rank").alias("at"))
+    best = lambda df: df.where(F.col("rank") <= each)
+    rows = named(rrf(dense, bm25, fused, k), 0).unionByName(named(best(dense), 1)).unionByName(named(best(bm25), 1))
+    once = rows.groupBy("query_id", "doc_id").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("query_id").orderBy("at", "doc_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("at")
