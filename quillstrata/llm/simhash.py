@@ -120,7 +120,9 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Per row of docs: doc_id, fp, component_id (the least doc_id of all rows whose fingerprints chains of links join)."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # A fingerprint is a few bytes here but 28 postings next, so adaptive execution must not merge its tasks by their bytes.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(tasks, "fp"))
     roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     rooted = cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
