@@ -6,10 +6,13 @@ what a pair must reach is a bound on differing bits (MOST_BITS, four standard de
 that pass it are verified by the exact Jaccard similarity of their word shingles. A pair at 0.8 meets in some posting with
 a probability of 0.97, at 0.85 of 0.999: unlike the two-bit links this search is not exhaustive (README).
 
-Postings of one text are dropped first. In a posting of at most ALL_PAIRS texts all pairs are tried; in longer ones the
-first text leads: those close to it are linked to it, and the rest go on with their own first text. Two rounds keep large
-groups linear: the first uses FIRST_KEYS sets of positions, and what it joins enters the second, over all sets, as one
-text a posting (pairs within a group that is joined already would change nothing), folded before fingerprints are joined.
+Postings of one text are dropped first. The first round only saves work: over FIRST_KEYS sets of positions, all pairs of
+a posting of at most ALL_PAIRS texts are tried; in longer ones the first text leads, those close to it are linked to it,
+and the rest go on with their own first text. What verified links join is one root. JOINING rounds over all sets then link
+each text to the nearest one of another root in its posting. The last round leaves nothing out: every pair of different
+roots that shares a posting and differs in at most MOST_BITS is verified, however long the posting. Long postings are
+dealt to blocks of about BLOCK texts, and two blocks meet in a task of their own. Pairs of one root are joined already, so
+large groups of copies that face no other text cost nothing there; unlike texts of a hot source are compared with each other.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ WIDE_BYTES = 64
 KEYS = 192
 MOST_BITS = 110
 ALL_PAIRS = 4
-#: Keys of the first round, whose groups enter the second as one text.
+#: Keys of the first round.
 FIRST_KEYS = 32
+#: Rounds of nearest links before all pairs of different roots are tried; they only save pairs.
+JOINING = 2
+#: Texts of a long posting that one task holds on either side; rows compared at a time.
+BLOCK, STRIP = 2_048, 256
 _LANES = WIDE_BYTES // 8
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"lane %d" % i) | 1 for i in range(_LANES)], np.uint64)
 
@@ -179,6 +186,118 @@ def _pairs(members: DataFrame, most: int) -> DataFrame:
     return members.repartition("post").sortWithinPartitions("post", "id").mapInArrow(lean(run), "a long, b long")
 
 
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of every row of left and every row of right."""
+    bits = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(_LANES):
+        bits += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
+    return bits
+
+
+def _first_shared(x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
+    """Which pairs of rows share no posting before that of key, so that each pair is given out by one posting only."""
+    out = np.ones(len(x), bool)
+    for at in range(0, len(x) if key else 0, 4_096):
+        same = x[at : at + 4_096].view(np.uint8) == y[at : at + 4_096].view(np.uint8)
+        out[at : at + 4_096] = ~same[:, TRIPLES[:key]].all(axis=2).any(axis=1)
+    return out
+
+
+def cross_pairs(key: int, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, split: int | None = None, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different roots that differ in at most most bits and share no posting before key.
+
+    split: only pairs of a row before it and one from it on (two blocks); None: all pairs of rows.
+    """
+    n = len(ids)
+    if split is None:
+        # Rows of the largest root meet the others only.
+        names, counts = np.unique(roots, return_counts=True)
+        left, right = np.flatnonzero(roots != names[counts.argmax()]), np.arange(n)
+        counted = np.isin(right, left)
+    else:
+        left, right = np.arange(split), np.arange(split, n)
+        counted = np.zeros(len(right), bool)
+    a, b = [], []
+    for at in range(0, len(left), STRIP):
+        rows = left[at : at + STRIP]
+        ok = (_apart(fps[rows], fps[right]) <= most) & (roots[rows][:, None] != roots[right][None, :])
+        ok &= ~counted[None, :] | (rows[:, None] < right[None, :])
+        i, j = np.nonzero(ok)
+        i, j = rows[i], right[j]
+        new = _first_shared(fps[i], fps[j], key)
+        a.append(np.minimum(ids[i[new]], ids[j[new]]))
+        b.append(np.maximum(ids[i[new]], ids[j[new]]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def nearest_links(ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest one of another root, where that differs in at most most bits."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(ids), STRIP):
+        bits = _apart(fps[at : at + STRIP], fps)
+        bits[roots[at : at + STRIP, None] == roots[None, :]] = most + 1
+        near = bits.argmin(axis=1)
+        ok = bits[np.arange(len(bits)), near] <= most
+        x, y = ids[at : at + STRIP][ok], ids[near[ok]]
+        a.append(np.minimum(x, y))
+        b.append(np.maximum(x, y))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _compared(members: DataFrame, every: bool) -> DataFrame:
+    """a, b: close pairs of different roots. members: post, root, id, fp. every: all such pairs; else nearest links."""
+    long_ = members.groupBy("post").count().where(F.col("count") > BLOCK)
+    parts = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
+    dealt = members.join(long_, "post", "left").withColumn("parts", parts).withColumn("u", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    if every:
+        dealt = dealt.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    else:
+        dealt = dealt.withColumn("v", F.col("u"))
+    dealt = dealt.select("post", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "root", "id", "fp")
+
+    def pairs(table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        post, i, j, u, roots, ids, fps = table
+        ends = np.flatnonzero(np.concatenate([(post[1:] != post[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])) + 1
+        a, b, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for end in ends.tolist():
+            r = roots[start:end]
+            if end - start > 1 and (r[0] != r).any():
+                if every:
+                    split = int((u[start:end] == i[start]).sum()) if i[start] != j[start] else None
+                    x, y = cross_pairs(int(post[start]) >> 24, ids[start:end], r, fps[start:end], split)
+                else:
+                    x, y = nearest_links(ids[start:end], r, fps[start:end])
+                a.append(x)
+                b.append(y)
+            start = end
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy() for c in ("post", "i", "j", "u", "root", "id")]
+            new.append(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, _LANES))
+            table = tuple(new) if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            post, i, j = table[:3]
+            # The last group may go on in the next batch.
+            last = int(np.flatnonzero(np.concatenate([[True], (post[1:] != post[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))[-1])
+            held = tuple(x[last:].copy() for x in table)
+            if last:
+                yield from _edges(*pairs(tuple(x[:last] for x in table)))
+        if held is not None:
+            yield from _edges(*pairs(held))
+
+    return dealt.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j", F.col("u") != F.col("i"), "id").mapInArrow(lean(run), "a long, b long")
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(a), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
+
+
 def _edge_batch(pairs) -> pa.RecordBatch:
     rows = [x for x in pairs if x[0] != x[1]]
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], ["a", "b"])
@@ -202,11 +321,22 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     marked = map_texts(texts, lambda: lambda rows: [[wide_fingerprint(t, shingle) for t in rows]], {"fp": "binary"})
     distinct = cut(marked.groupBy("id").agg(F.max("fp").alias("fp")))
 
-    close = lambda rooted, keys: _verified(cut(_pairs(_members(rooted, keys), MOST_BITS).distinct()), texts, shingle, similarity)
-    edges = cut(close(distinct.withColumn("root", F.col("id")), FIRST_KEYS))
+    verified = lambda pairs: cut(_verified(cut(pairs.distinct()), texts, shingle, similarity))
+    edges = verified(_pairs(_members(distinct.withColumn("root", F.col("id")), FIRST_KEYS), MOST_BITS))
+    members = cut(_members(_rooted(distinct, edges), KEYS))
+    for _ in range(JOINING):
+        found = verified(_compared(_rooted(members, edges), every=False))
+        edges = edges.union(found)
+        if found.isEmpty():
+            break
+    edges = edges.union(verified(_compared(_rooted(members, edges), every=True)))
+    return connected_components(edges).withColumnRenamed("node", "id")
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (id, ...) with root, the least text that edges join to id."""
     roots = connected_components(edges).withColumnRenamed("node", "id")
-    rooted = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return connected_components(edges.union(close(rooted, KEYS))).withColumnRenamed("node", "id")
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -194,3 +194,22 @@ def test_postings_fold_groups(spark):
     got = simhash_wide._members(spark.createDataFrame(rows, "id long, root long, fp binary").repartition(2), 4).collect()
     # Three texts of two roots share every posting: the least of each root stays; a posting of one text goes.
     assert sorted((r.post >> 24, r.id) for r in got) == [(k, i) for k in range(4) for i in (1, 9)]
+
+
+def test_long_postings_try_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash_wide, "BLOCK", 8)
+    monkeypatch.setattr(simhash_wide, "STRIP", 3)
+    rng = np.random.default_rng(2)
+    # Texts within 110 bits of each other around a leader: most links to the leader alone would leave the others untried.
+    base = rng.integers(0, 256, 64).astype(np.uint8)
+    fps = []
+    for _ in range(60):
+        bits = np.unpackbits(base)
+        bits[rng.permutation(512)[:60]] ^= 1
+        fps.append(np.packbits(bits).tobytes())
+    keys = [set(simhash_wide.posting_keys(f).tolist()) for f in fps]
+    root = [i % 40 for i in range(60)]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j] and keys[i] & keys[j] and (int.from_bytes(fps[i]) ^ int.from_bytes(fps[j])).bit_count() <= simhash_wide.MOST_BITS}
+    rows = [(p, root[i], i, fps[i]) for i in range(60) for p in keys[i]]
+    got = [(r.a, r.b) for r in simhash_wide._compared(spark.createDataFrame(rows, "post long, root long, id long, fp binary"), every=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
