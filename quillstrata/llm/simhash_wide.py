@@ -10,7 +10,8 @@ Postings of one text are dropped first. The first round only saves work: over FI
 a posting of at most ALL_PAIRS texts are tried; in longer ones the first text leads, those close to it are linked to it,
 and the rest go on with their own first text. What verified links join is one root. JOINING rounds over all sets then link
 each text to the nearest one of another root in its posting. The last round leaves nothing out: every pair of different
-roots that shares a posting and differs in at most MOST_BITS is verified, however long the posting. Long postings are
+roots that shares a posting and differs in at most MOST_BITS is verified, however long the posting; all texts of a root
+take part wherever another root shares the posting. Long postings are
 dealt to blocks of about BLOCK texts, and two blocks meet in a task of their own. Pairs of one root are joined already, so
 large groups of copies that face no other text cost nothing there; unlike texts of a hot source are compared with each other.
 """
@@ -87,8 +88,8 @@ def posting_keys(fp: bytes) -> np.ndarray:
     return (b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16).astype(np.int64) | np.arange(KEYS, dtype=np.int64) << 24
 
 
-def _postings(texts: DataFrame, keys: int) -> DataFrame:
-    """texts: id, root, fp. post, root, id: the first keys postings of each text; of a batch's texts of one root, once each."""
+def _postings(texts: DataFrame, keys: int, fold: bool = True) -> DataFrame:
+    """texts: id, root, fp. post, root, id: the first keys postings of each text; fold: of a batch's texts of one root, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,7 +98,7 @@ def _postings(texts: DataFrame, keys: int) -> DataFrame:
             ids, roots = (np.repeat(b.column(c).to_numpy(), keys) for c in ("id", "root"))
             _, place, count = np.unique(b.column("root").to_numpy(), return_inverse=True, return_counts=True)
             again = np.repeat(count[place] > 1, keys)
-            if again.any():
+            if fold and again.any():
                 at = np.flatnonzero(again)
                 at = at[np.lexsort((ids[at], roots[at], post[at]))]
                 new = np.concatenate([[True], (post[at[1:]] != post[at[:-1]]) | (roots[at[1:]] != roots[at[:-1]])])
@@ -140,6 +141,32 @@ def _members(texts: DataFrame, keys: int) -> DataFrame:
     return folded.sortWithinPartitions("post").mapInArrow(lean(run), "post long, id long").join(texts.select("id", "fp"), "id").select("post", "id", "fp")
 
 
+def _facing(texts: DataFrame, keys: int) -> DataFrame:
+    """post, id, fp of all texts in postings where at least two roots meet; texts: id, root, fp."""
+
+    def met(post: np.ndarray, roots: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], post[1:] != post[:-1]]))[: len(post)]
+        if len(post):
+            two = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+            keep = np.repeat(two, np.diff(np.append(starts, len(post))))
+            post, ids = post[keep], ids[keep]
+        return pa.RecordBatch.from_arrays([pa.array(post), pa.array(ids)], ["post", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            held = [np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(held, ("post", "root", "id"), strict=True)]
+            # The last posting may go on in the next batch.
+            ends = np.flatnonzero(held[0][1:] != held[0][:-1])
+            if len(ends):
+                yield met(*(x[: ends[-1] + 1] for x in held))
+                held = [x[ends[-1] + 1 :].copy() for x in held]
+        yield met(*held)
+
+    rows = _postings(texts, keys, fold=False).repartition("post").sortWithinPartitions("post")
+    return rows.mapInArrow(lean(run), "post long, id long").join(texts.select("id", "fp"), "id").select("post", "id", "fp")
+
+
 def close_pairs(ids: list[int], fps: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
     """Pairs of a posting whose fingerprints (rows of 64-bit lanes) differ in at most most bits; see ALL_PAIRS."""
     n = len(ids)
@@ -323,7 +350,7 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
 
     verified = lambda pairs: cut(_verified(cut(pairs.distinct()), texts, shingle, similarity))
     edges = verified(_pairs(_members(distinct.withColumn("root", F.col("id")), FIRST_KEYS), MOST_BITS))
-    members = cut(_members(_rooted(distinct, edges), KEYS))
+    members = cut(_facing(_rooted(distinct, edges), KEYS))
     for _ in range(JOINING):
         found = verified(_compared(_rooted(members, edges), every=False))
         edges = edges.union(found)

@@ -213,3 +213,26 @@ def test_long_postings_try_every_pair(spark, monkeypatch):
     rows = [(p, root[i], i, fps[i]) for i in range(60) for p in keys[i]]
     got = [(r.a, r.b) for r in simhash_wide._compared(spark.createDataFrame(rows, "post long, root long, id long, fp binary"), every=True).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+
+
+def test_all_texts_of_a_root_face_another(spark):
+    fp = bytes(simhash_wide.WIDE_BYTES)
+    other = bytes([255]) * simhash_wide.WIDE_BYTES
+    # 1 and 3 are joined already; 9 shares their postings, and 5 and 6, joined too, meet nobody.
+    rows = [(3, 1, fp), (1, 1, fp), (9, 9, fp), (5, 5, other), (6, 5, other)]
+    texts = spark.createDataFrame(rows, "id long, root long, fp binary").repartition(2)
+    got = sorted((r.post >> 24, r.id) for r in simhash_wide._facing(texts, 4).collect())
+    assert got == [(k, i) for k in range(4) for i in (1, 3, 9)]
+
+
+def test_copy_of_a_joined_text_is_found(spark):
+    """z is a near copy of b alone, which has been joined to a before."""
+    words = [f"v{i}" for i in range(400)]
+    edit = lambda row, places: [f"e{i}" if i in places else w for i, w in enumerate(row)]
+    b = words
+    a, z = edit(b, set(range(20, 370, 50))), edit(b, set(range(45, 395, 50)))
+    sets = [set(simhash_wide.shingle_hashes(" ".join(x)).tolist()) for x in (a, b, z)]
+    near = lambda x, y: len(x & y) / len(x | y)
+    assert near(sets[0], sets[1]) >= 0.8 and near(sets[1], sets[2]) >= 0.8 and near(sets[0], sets[2]) < 0.8
+    kept = simhash_wide.keep_one_each(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((a, b, z))], "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [0]
