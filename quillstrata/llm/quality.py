@@ -7,6 +7,10 @@ quarters, and so gets the next mean and covariance. A step is one aggregate over
 is at most LAST_BIN + 1 rows, so a hot group never meets in one task. The start is the per-coordinate median and
 quartile range, from exact histograms of the coordinates on a fixed grid.
 
+The bar follows the fitted distances of a group: the floors shorten them, so the chi-squared bar is scaled by the group's
+median squared distance over the chi-squared median, within LEAST_FAR and the unscaled bar. So each of the shares of
+repeated lines and windows can reject by itself.
+
 Documents that fail a base rule take no part in the estimates and are not kept. Groups with fewer than LEAST_GROUP rows
 are pooled by language, then over all; with fewer still, the base rules decide alone. Null text has no words and fails
 the base rule; null language or source is a group of its own. Repeated rows count as often as they occur. An empty
@@ -30,8 +34,10 @@ DIMS = 5
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 #: Share of a group that the estimates rest on.
 CORE = 0.75
-#: Chance that a vector of a normal group lies beyond the bar.
+#: Chance that a vector of a normal group lies beyond the unscaled bar.
 REJECTED = 1e-9
+#: Squared distance in floors within which nothing is rejected: three of them.
+LEAST_FAR = 9.0
 LEAST_GROUP = 50
 STEPS = 6
 #: Standard deviations added to each coordinate: smaller differences are never a fault by themselves.
@@ -155,6 +161,15 @@ def _step(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([_flat(table["g"].iloc[0], mean, _scaled_precision(cov))])
 
 
+def _bar(table: pd.DataFrame) -> pd.DataFrame:
+    """table: g, bin, n of one group. The squared distance beyond which its vectors are rejected."""
+    table = table.sort_values("bin")
+    run = table["n"].cumsum().to_numpy()
+    median = math.expm1((table["bin"].to_numpy()[np.searchsorted(run, run[-1] / 2)] + 0.5) / BINS_A_UNIT)
+    most = chi2_bar(REJECTED, DIMS)
+    return pd.DataFrame([{"g": table["g"].iloc[0], "bar": min(most, max(LEAST_FAR, most * median / chi2_bar(0.5, DIMS)))}])
+
+
 def distance2() -> Column:
     terms = [F.col("p")[k] * (F.col("x")[i] - F.col("m")[i]) * (F.col("x")[j] - F.col("m")[j]) for k, (i, j) in enumerate(PAIRS)]
     return sum(terms[1:], terms[0])
@@ -181,6 +196,8 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     for _ in range(STEPS):
         binned = join_counted(data, model, rows, ["g"]).withColumn("bin", bin_)
         model = cut(binned.groupBy("g", "bin").agg(F.count("*").alias("n"), sums, products).groupBy("g").applyInPandas(_step, _MODEL))
+    distances = join_counted(data, model, rows, ["g"]).withColumn("bin", bin_).groupBy("g", "bin").agg(F.count("*").alias("n"))
+    model = cut(model.join(distances.groupBy("g").applyInPandas(_bar, "g string, bar double"), "g"))
     least = data.groupBy("g").count().where(F.col("count") >= LEAST_GROUP).select("g")
     return groups, model.join(least, "g", "left_semi"), rows
 
@@ -189,8 +206,8 @@ def judge(stats: DataFrame, groups: DataFrame, model: DataFrame, rows: int) -> D
     """stats with kept; distance2 is the squared distance (null where there is no model)."""
     marked = stats.withColumn("k", _key("lang", "source")).withColumn("x", F.array(*vector()))
     found = join_counted(join_counted(marked, groups, rows, ["k"], "left"), model, rows, ["g"], "left").withColumn("distance2", distance2())
-    far = F.coalesce(F.col("distance2") > chi2_bar(REJECTED, DIMS), F.lit(False))
-    return found.withColumn("kept", ~F.col("base_failed") & ~far).drop("k", "x", "g", "m", "p")
+    far = F.coalesce(F.col("distance2") > F.col("bar"), F.lit(False))
+    return found.withColumn("kept", ~F.col("base_failed") & ~far).drop("k", "x", "g", "m", "p", "bar")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:

@@ -236,3 +236,20 @@ def test_copy_of_a_joined_text_is_found(spark):
     assert near(sets[0], sets[1]) >= 0.8 and near(sets[1], sets[2]) >= 0.8 and near(sets[0], sets[2]) < 0.8
     kept = simhash_wide.keep_one_each(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((a, b, z))], "doc_id long, text string")).collect()
     assert [r.doc_id for r in kept] == [0]
+
+
+def test_repetition_alone_is_rejected(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        w = [f"{'abcdefg'[x % 7]}{'word' * (x % 2)}{x}" for x in rng.integers(0, 100_000, int(rng.integers(150, 400)))]
+        rows.append((i, "en", "s", "\n".join(" ".join(w[j : j + 10]) for j in range(0, len(w), 10))))
+    usual = [f"{'abcdefg'[x % 7]}{'word' * (x % 2)}{x}" for x in rng.integers(0, 100_000, 250)]
+    lines = [" ".join(usual[j : j + 10]) for j in range(0, 250, 10)]
+    # Short repeated lines are no repeated windows of three words; repeated phrases are no repeated lines.
+    rows.append((900, "en", "s", "\n".join([*lines, *["two words"] * 20])))
+    said = " ".join(usual[:110]) + " " + " ".join(usual[110:150]) + " and then " + " ".join(usual[110:150])
+    rows.append((901, "en", "s", said))
+    got = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in (900, 901))
+    assert sum(not got[i].kept for i in range(120)) <= 2
