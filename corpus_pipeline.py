@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, mixing and BPE encoding, each stage over what the last one kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents; the mix adds places, the output shards and slots of a row's words.
 """
 
 from __future__ import annotations

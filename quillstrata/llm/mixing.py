@@ -117,38 +117,51 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def pieces(at: DataFrame, mix: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Join documents to slots by block index: the columns of at and pass, from_word, n (words of the document taken)."""
+    """Join documents to slots by block index: the columns of at and pass, shard, slot, from_word, n (words of the document taken)."""
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = at.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     # Slots grow with the corpus, though their plan starts at the small table of sources: never broadcast them.
-    joined = parts.join(mix.select("s", "block", "pass", "words").hint("merge"), ["s", "block"])
+    joined = parts.join(mix.select("s", "block", "pass", "shard", "slot", "words").hint("merge"), ["s", "block"])
     return joined.where(high > low).withColumn("from_word", low - F.col("start")).withColumn("n", high - low).drop("block", "words")
 
 
+#: Where words of a document go: the shard and the slot in it, the pass, the first word and how many.
+PLACE = ("shard", "slot", "pass", "from_word", "n")
+PLACES = "array<struct<shard:bigint,slot:bigint,pass:bigint,from_word:bigint,n:bigint>>"
+
+
+def _places() -> Column:
+    return F.sort_array(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in PLACE))))
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
+    """Per row of docs: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted), places.
+
+    places: the output shards and slots that the words are dealt to (see PLACE), sorted.
+    """
     sizes = cut(_sized(docs))
     targets = cut(source_targets(sizes))
     at = placed(sizes)
-    taken = pieces(at.select("s", "start", "size"), slots(targets)).groupBy("s", "start").agg(F.sum("n").alias("taken"))
+    taken = pieces(at.select("s", "start", "size"), slots(targets)).groupBy("s", "start").agg(F.sum("n").alias("taken"), _places().alias("places"))
     # start tells documents with words apart; those without take nothing.
-    some = at.where("size > 0").join(taken, ["s", "start"], "left").select("doc_id", "s", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    none = sizes.where("size = 0").select("doc_id", "s", "size", F.lit(0).cast("long").alias("taken"))
-    return some.union(none).join(F.broadcast(targets) if targets.count() <= 50_000 else targets, "s").select("doc_id", "size", "source_size", "target", "taken")
+    some = at.where("size > 0").join(taken, ["s", "start"], "left").select("doc_id", "s", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("places", F.array().cast(PLACES)).alias("places"))
+    none = sizes.where("size = 0").select("doc_id", "s", "size", F.lit(0).cast("long").alias("taken"), F.array().cast(PLACES).alias("places"))
+    return some.union(none).join(F.broadcast(targets) if targets.count() <= 50_000 else targets, "s").select("doc_id", "size", "source_size", "target", "taken", "places")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as rows with the columns of docs: a document once for each pass that takes words of it.
+    """The mix as rows with the columns of docs and places: a document once for each pass that takes words of it.
 
+    places: the output shards and slots that the row's words are dealt to (see PLACE), in the order of the words.
     Where a pass takes all its words the text is unchanged; else it is the words taken, joined by spaces, and n_chars
     follows it. Rows that repeat doc_id, source and text stand for one row, of which each pass takes what it takes of all.
     """
     sizes = cut(_sized(docs))
     targets = cut(source_targets(sizes))
     found = pieces(placed(sizes), slots(targets))
-    each = found.groupBy("doc_id", "s", "k1", "k2", "size", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n"))).alias("p"))
+    each = found.groupBy("doc_id", "s", "k1", "k2", "size", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n", "shard", "slot"))).alias("p"))
     keys = ["__qs_d", "__qs_s", "__qs_1", "__qs_2"]
     plan = each.groupBy(F.xxhash64("doc_id").alias("__qs_d"), F.col("s").alias("__qs_s"), F.col("k1").alias("__qs_1"), F.col("k2").alias("__qs_2")).agg(F.collect_list(F.struct("pass", "p", "size")).alias("__qs_p"))
     k1, k2 = text_key(text_or_empty())
@@ -161,4 +174,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    at = F.transform("__qs_p.p", lambda x: F.struct(*(F.col("__qs_p.pass") if c == "pass" else x[c] for c in PLACE))).cast(PLACES)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "places"), at.alias("places"))

@@ -253,3 +253,28 @@ def test_repetition_alone_is_rejected(spark):
     got = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
     assert not any(got[i].base_failed or got[i].kept for i in (900, 901))
     assert sum(not got[i].kept for i in range(120)) <= 2
+
+
+def test_shards_of_the_mix_are_dealt(spark):
+    rows = [(i, f"s{i % 3}", " ".join(f"w{i}x{j}" for j in range(1500 + 7 * i))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    report = mixing.mix_report(docs).collect()
+    assert all(sum(p.n for p in r.places) == r.taken for r in report)
+    words, sources = Counter(), {}
+    for r in report:
+        for p in r.places:
+            words[p.shard, p.slot] += p.n
+            assert sources.setdefault((p.shard, p.slot), r.doc_id % 3) == r.doc_id % 3
+    # Slots are filled without a gap, a block at most each; sources are spread over the shards' slots.
+    slots = len(words)
+    assert sorted(words) == [(i // mixing.SHARD_SLOTS, i % mixing.SHARD_SLOTS) for i in range(slots)] and max(words.values()) <= mixing.BLOCK
+    shares = Counter(sources.values())
+    for (shard, s), n in Counter((p[0], s) for p, s in sources.items()).items():
+        of = min(mixing.SHARD_SLOTS, slots - shard * mixing.SHARD_SLOTS)
+        share = shares[s] / slots
+        assert slots > 2 * mixing.SHARD_SLOTS and abs(n - of * share) <= 5 * (of * share * (1 - share)) ** 0.5
+    plan = {(r.shard, r.slot): r.words for r in mixing.slots(mixing.source_targets(mixing._sized(docs))).collect()}
+    assert plan == dict(words)
+    mixed = mixing.mixed_documents(docs).collect()
+    assert Counter((p.shard, p.slot) for r in mixed for p in r.places for _ in range(p.n)) == words
+    assert all(sum(p.n for p in r.places) == len(WORD.findall(r.text)) for r in mixed)
