@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing and BPE encoding, each stage over what the last one kept.
+"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing and BPE encoding and decoding, each stage over what the last one kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of documents; the mix adds places, the output shards and slots of a row's words.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstrata.llm import bpe, lines, mixing, quality, simhash_wide
 from quillstrata.llm.common import documents, ready_checkpoints
@@ -32,7 +33,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.bpe_encode(docs, tokenizer_path())
+    """doc_id, n_tokens, ids and the digest of the text that the ids decode to."""
+    decoded = bpe.bpe_decode(bpe.bpe_encode(docs, tokenizer_path()), tokenizer_path())
+    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("source mix", source_mix), ("bpe encoding", bpe_encoding)]

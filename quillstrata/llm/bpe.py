@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstrata.llm.common import kept_in_worker, lean, map_texts, text_or_empty, with_fields
+from quillstrata.llm.common import SLICE_BYTES, kept_in_worker, lean, map_texts, text_or_empty, with_fields
 
 #: Entries that a worker's table of encoded words may hold.
 WORD_TABLE = 240_000
@@ -196,16 +196,18 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Per row of encoded (doc_id, ids): doc_id and the decoded text. Null ids count as none."""
+    """Per row of encoded (doc_id, ids, ...): its columns and decoded, the decoded text. Null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(path).decode
         for b in batches:
-            said = pa.array([decode(x or ()) for x in b.column("ids").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), said], ["doc_id", "decoded"])
+            step = max(1, b.num_rows * SLICE_BYTES // max(1, b.column("ids").nbytes))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                said = pa.array([decode(x or ()) for x in part.column("ids").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, said], [*part.schema.names, "decoded"])
 
-    rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(lean(run, keeps=True), with_fields([rows.schema["doc_id"]], "decoded string"))
+    return encoded.mapInArrow(lean(run, keeps=True), with_fields(encoded.schema.fields, "decoded string"))
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

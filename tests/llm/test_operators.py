@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillstrata.llm import balltree, bpe, licenses, lines, mixing, quality, secrets, simhash, simhash_wide, urls, windows
 from quillstrata.llm.queries import tokenizer_path
 
@@ -278,3 +279,9 @@ def test_shards_of_the_mix_are_dealt(spark):
     mixed = mixing.mixed_documents(docs).collect()
     assert Counter((p.shard, p.slot) for r in mixed for p in r.places for _ in range(p.n)) == words
     assert all(sum(p.n for p in r.places) == len(WORD.findall(r.text)) for r in mixed)
+
+
+def test_pipeline_decodes_what_it_encodes(docs, spark):
+    got = corpus_pipeline.bpe_encoding(spark, docs, DATA).collect()
+    want = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.bpe_digests(docs, tokenizer_path()).collect()}
+    assert {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in got} == want and all(len(r.ids) == r.n_tokens for r in got)
