@@ -6,10 +6,12 @@ the spot from the templates below (whole, halved and with words left out) and fr
 SAMPLE_ROWS ordinary paragraphs of the corpus, picked by hash. A held-out share of these rows calibrates the unknown
 class: the bar on a family's probability is the lowest at which held-out paragraphs reach PRECISION. A prediction below the bar is
 unknown; one above it must be confirmed: the paragraph shares at least OVERLAP of the word 3-grams of the smaller of it
-and one template of that family. An unconfirmed one is unknown too.
+and one template of that family. An unconfirmed one is unknown too, and so is one that the model takes for ordinary text but
+that shares as much with a template.
 
-Confirmation needs a 3-gram of a template, and every sentence of the templates holds a cue word (tests check it), so only
-paragraphs with a cue are scored: the others could not be confirmed and their families stay as they are.
+Confirmation needs a 3-gram of a template, so the paragraphs that share one are scored, and besides those with a cue word,
+which may read like a notice of no template here (unknown). The others could not be confirmed and their families stay as
+they are; ordinary paragraphs of the training sample are drawn from them.
 
 Null text has no paragraphs. Repeated rows get a row each. Ties between families go to the first in the order of names.
 An empty table gives an empty result; without ordinary paragraphs the templates alone train the model. The weights that are
@@ -18,6 +20,8 @@ broadcast are bounded by the templates' n-grams: VOCABULARY rows at most.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
@@ -49,7 +53,7 @@ TEMPLATES = {
     "proprietary": ("All rights reserved.", "All rights reserved. Unauthorized copying, distribution or use of this material without written permission is prohibited.", "This document is confidential and proprietary; no license to use it is granted."),
     "public-domain": ("This is free and unencumbered software released into the public domain without copyright.", "This work has been released into the public domain; no copyright is claimed."),
 }
-# Stems of which every template has at least one.
+# Stems of notices.
 CUES = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "rights reserved")
 CUE = "(?i)" + "|".join(CUES)
 
@@ -67,6 +71,24 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, ngrams(words, 2)))
 
 
+def _words(text: str) -> list[str]:
+    """tokens() of a template."""
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+TRIGRAMS = sorted({" ".join(w[i : i + 3]) for texts in TEMPLATES.values() for w in map(_words, texts) for i in range(len(w) - 2)})
+FIRST_WORDS = sorted({x.split(" ")[0] for x in TRIGRAMS})
+
+
+def notice_like(line: Column) -> Column:
+    """Has a cue word, or shares a word 3-gram with a template."""
+    # Most words start no 3-gram of a template; whole 3-grams are made for the others only. The words are bound once.
+    places = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
+    at = lambda w, i: F.get(w, i)
+    same = lambda w: F.exists(places(w), lambda i: at(w, i - 1).isin(FIRST_WORDS) & F.concat_ws(" ", at(w, i - 1), at(w, i), at(w, i + 1)).isin(TRIGRAMS))
+    return line.rlike(CUE) | F.coalesce(F.get(F.transform(F.array(tokens(line)), same), F.lit(0)), F.lit(False))
+
+
 def _template_rows(spark) -> DataFrame:
     rows = [F.struct(F.lit(family).alias("family"), F.lit(text).alias("text")) for family, texts in TEMPLATES.items() for text in texts]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
@@ -98,7 +120,7 @@ def train(ordinary: DataFrame) -> LicenseModel:
     """ordinary: a column line of paragraphs that are no licence notices; at most SAMPLE_ROWS of them are used."""
     spark = ordinary.sparkSession
     classes = [*sorted(TEMPLATES), OTHER]
-    few = ordinary.where(~F.col("line").rlike(CUE)).orderBy(F.xxhash64("line"), "line").limit(SAMPLE_ROWS)
+    few = ordinary.where(~notice_like(F.col("line"))).orderBy(F.xxhash64("line"), "line").limit(SAMPLE_ROWS)
     rows = _variants(_template_rows(spark)).union(few.select(F.lit(OTHER), F.slice(tokens(F.col("line")), 1, 60)))
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
     labelled = cut(rows.select(place.cast("double").alias("label"), grams(F.col("w")).alias("grams"), (F.pmod(F.xxhash64("w"), F.lit(5)) == 0).alias("held")))
@@ -127,29 +149,35 @@ def _classified(cued: DataFrame, model: LicenseModel) -> DataFrame:
     return sums.select("r", "j", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("z", top).cast("int")).alias("family"), share.alias("p"))
 
 
-def _confirmed(lines: DataFrame) -> DataFrame:
-    """r, j of predicted lines that share enough 3-grams with a template of their family."""
+def _confirmed(lines: DataFrame, any_family: bool = False) -> DataFrame:
+    """r, j of predicted lines that share enough 3-grams with a template of their family, or of any."""
     templates = _template_rows(lines.sparkSession).select("family", F.array_distinct(ngrams(tokens(F.col("text")), 3)).alias("t"))
     own = lines.select("r", "j", "family", F.array_distinct(ngrams(tokens(F.col("line")), 3)).alias("g"))
     shared = F.size(F.array_intersect("g", "t")) / F.greatest(F.lit(1), F.least(F.size("g"), F.size("t")))
+    if any_family:
+        return own.drop("family").crossJoin(F.broadcast(templates.drop("family"))).where(shared >= OVERLAP).select("r", "j").distinct()
     return own.join(F.broadcast(templates), "family").where(shared >= OVERLAP).select("r", "j").distinct()
 
 
 def license_verdicts(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_paragraphs, n_cued, families (confirmed ones, sorted, comma-joined), n_confirmed, n_unknown.
 
-    n_unknown: paragraphs that read like a licence notice but are below the bar or match no template.
+    n_cued: paragraphs that were scored. n_unknown: paragraphs that read like a licence notice, by the model or by a template's 3-grams, but are below the bar or match no
+    template of the predicted family.
     """
     k1, k2 = text_key(text_or_empty())
     split = paragraphs(docs.select("doc_id", "text"))
-    cued = F.filter("lines", lambda x: x.rlike(CUE))
+    cued = F.filter("lines", notice_like)
     # The lines of a hash-picked few rows stand for ordinary text.
     some = F.when(F.pmod(k2, F.lit(64)) == 0, F.slice("lines", 1, 4))
     rows = cut(split.select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), cued.alias("cued"), some.alias("some")).withColumn("r", F.monotonically_increasing_id()))
     model = train(rows.select(F.explode("some").alias("line")))
     lines = rows.select("r", F.posexplode("cued").alias("j", "line"))
-    found = cut(_classified(lines, model).where(F.col("family") != OTHER).join(lines, ["r", "j"]))
-    sure = found.where(F.col("p") >= model.bar)
+    scored = cut(_classified(lines, model).join(lines, ["r", "j"]))
+    # A part of a template that the model takes for ordinary text still reads like a notice.
+    other = scored.where(F.col("family") == OTHER)
+    found = cut(scored.where(F.col("family") != OTHER).union(other.join(_confirmed(other, any_family=True), ["r", "j"], "left_semi").select(*scored.columns)))
+    sure = found.where((F.col("family") != OTHER) & (F.col("p") >= model.bar))
     good = _confirmed(sure).withColumn("ok", F.lit(True))
     per = (
         found.join(good, ["r", "j"], "left").groupBy("r")

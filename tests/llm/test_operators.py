@@ -285,3 +285,14 @@ def test_pipeline_decodes_what_it_encodes(docs, spark):
     got = corpus_pipeline.bpe_encoding(spark, docs, DATA).collect()
     want = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.bpe_digests(docs, tokenizer_path()).collect()}
     assert {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in got} == want and all(len(r.ids) == r.n_tokens for r in got)
+
+
+def test_licence_lines_without_a_cue(docs, spark):
+    lines = ["CC BY-SA 4.0", "Unless required by applicable law or agreed to in writing, software", "modify it under the terms of the GNU General Public", "to deal in the Software without restriction", "a walk in the garden with a dog"]
+    assert not any(re.search(licenses.CUE, x) for x in lines)
+    said = spark.createDataFrame([(9300 + i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_verdicts(docs.select("doc_id", "text").union(said)).collect()}
+    assert [got[9300 + i].n_cued for i in range(5)] == [1, 1, 1, 1, 0]
+    # What the classifier is not sure of counts as unknown.
+    assert [got[9300 + i].n_confirmed + got[9300 + i].n_unknown for i in range(5)] == [1, 1, 1, 1, 0]
+    assert got[9300].families == "cc-by-sa"
