@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on other token-like strings.
 
 A candidate is a longest run of at least MIN_LENGTH characters of the base64, base64url or hex alphabets that holds a
-digit and is no plain number. Its encoding is the smallest alphabet that holds it. Three tests ask whether it could be ordinary text:
+digit and is no plain number. Its encoding is the smallest alphabet that holds it. A run that fits none, with '+' or '/'
+and '-' or '_', is split at either pair, and each part that is long enough is a candidate (so a key is found beside what
+joins it to its surroundings). A discovery that lies within another one is not given out twice. Three tests ask whether it could be ordinary text:
 
 - chi-squared uniformity: the null is a noncentral chi-squared whose noncentrality per character is that of the letters
   of the whole corpus, so a small p-value says that the token is too even for text;
@@ -43,6 +45,8 @@ FALSE_DISCOVERY_RATE = 0.01
 BINS_A_UNIT, LAST_BIN = 8, 800
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_LENGTH)
+#: Parts of a run that fits no alphabet: those in the base64 and those in the base64url alphabet.
+_PARTS = (re.compile(r"[A-Za-z0-9+/]+={0,2}"), re.compile(r"[A-Za-z0-9_-]+={0,2}"))
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 #: Below this p-value the side tests take a token for text.
 SIDE_LEVEL = 0.001
@@ -79,6 +83,27 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, _ in ALPHABETS if all(c in _PLACES[name] for c in body)), None)
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, token) of a text's candidates; those of a split run may overlap."""
+    found = []
+    for m in _CANDIDATE.finditer(text):
+        token, at = m.group(), m.start()
+        parts = [(0, token)]
+        if infer_encoding(token) is None:
+            parts = sorted({(p.start(), p.group()) for apart in _PARTS for p in apart.finditer(token)})
+        found += [(at + i, at + i + len(x), x) for i, x in parts if len(x.rstrip("=")) >= MIN_LENGTH and any(c.isdigit() for c in x) and not x.isdigit()]
+    return found
+
+
+def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans, without those that lie within another one."""
+    out: list[tuple[int, int]] = []
+    for a, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or e > out[-1][1]:
+            out.append((a, e))
+    return out
+
+
 def _tail(z: float) -> float:
     """Upper tail of the normal distribution."""
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -133,14 +158,11 @@ def _pass_one(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             base = base_spans(text)
             kinds = [k for _, k, _ in base]
             starts, ends, tokens = [], [], []
-            for m in _CANDIDATE.finditer(text):
-                token = m.group()
-                if len(token.rstrip("=")) < MIN_LENGTH or not any(c.isdigit() for c in token):
-                    continue
-                if token.isdigit() or any(a < m.end() and m.start() < b for a, _, b in base):
+            for start, end, token in candidates(text):
+                if any(a < end and start < b for a, _, b in base):
                     continue
-                starts.append(m.start())
-                ends.append(m.end())
+                starts.append(start)
+                ends.append(end)
                 tokens.append(token)
             letters = np.bincount(np.frombuffer(text.lower().encode(), np.uint8), minlength=256)[97:123]
             return kinds.count(0), kinds.count(1), kinds.count(2), said(base), starts, ends, tokens, letters
@@ -204,7 +226,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             spans = []
             for base, starts, ends, groups, bins in zip(*(b.column(c).to_pylist() for c in ("base", "starts", "ends", "groups", "bins")), strict=True):
-                new = [(a, 3, e) for a, e, g, x in zip(starts, ends, groups, bins, strict=True) if x >= bars.get(g, LAST_BIN + 1)]
+                new = [(a, 3, e) for a, e in outermost([(a, e) for a, e, g, x in zip(starts, ends, groups, bins, strict=True) if x >= bars.get(g, LAST_BIN + 1)])]
                 old = [(int(x[1]), KINDS.index(x[0]), int(x[2])) for s in base.split(",") if s for x in [s.split(":")]]
                 spans.append(said(sorted(old + new)) if new else base)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base")), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])

@@ -296,3 +296,13 @@ def test_licence_lines_without_a_cue(docs, spark):
     # What the classifier is not sure of counts as unknown.
     assert [got[9300 + i].n_confirmed + got[9300 + i].n_unknown for i in range(5)] == [1, 1, 1, 1, 0]
     assert got[9300].families == "cc-by-sa"
+
+
+def test_secrets_joined_to_their_surroundings(spark):
+    rng = np.random.default_rng(6)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda more: "".join(rng.choice([*alphabet, *more], 60)) + more + "7"
+    a, b, c = key("/"), key("+/"), key("_-")
+    rows = [(1, f"see my-{a} there"), (2, f"sk-{b} there"), (3, f"at bucket/{c} there"), (4, "one/of-the/and-then/there-was/a-word/and-the/end-1 there")]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: f"random:7:{7 + len(a)}", 2: f"random:3:{3 + len(b)}", 3: f"random:10:{10 + len(c)}", 4: ""}
