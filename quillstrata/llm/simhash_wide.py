@@ -8,8 +8,8 @@ a probability of 0.97, at 0.85 of 0.999: unlike the two-bit links this search is
 
 Postings of one text are dropped first. The first round only saves work: over FIRST_KEYS sets of positions, all pairs of
 a posting of at most ALL_PAIRS texts are tried; in longer ones the first text leads, those close to it are linked to it,
-and the rest go on with their own first text. What verified links join is one root. JOINING rounds over all sets then link
-each text to the nearest one of another root in its posting. The last round leaves nothing out: every pair of different
+and the rest go on with their own first text. What verified links join is one root. The second round, over all sets of
+positions, leaves nothing out: every pair of different
 roots that shares a posting and differs in at most MOST_BITS is verified, however long the posting; all texts of a root
 take part wherever another root shares the posting. Long postings are
 dealt to blocks of about BLOCK texts, and two blocks meet in a task of their own. Pairs of one root are joined already, so
@@ -37,8 +37,6 @@ MOST_BITS = 110
 ALL_PAIRS = 4
 #: Keys of the first round.
 FIRST_KEYS = 32
-#: Rounds of nearest links before all pairs of different roots are tried; they only save pairs.
-JOINING = 2
 #: Texts of a long posting that one task holds on either side; rows compared at a time.
 BLOCK, STRIP = 2_048, 256
 _LANES = WIDE_BYTES // 8
@@ -142,15 +140,15 @@ def _members(texts: DataFrame, keys: int) -> DataFrame:
 
 
 def _facing(texts: DataFrame, keys: int) -> DataFrame:
-    """post, id, fp of all texts in postings where at least two roots meet; texts: id, root, fp."""
+    """post, root, id, fp of all texts in postings where at least two roots meet; texts: id, root, fp."""
 
     def met(post: np.ndarray, roots: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], post[1:] != post[:-1]]))[: len(post)]
         if len(post):
             two = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
             keep = np.repeat(two, np.diff(np.append(starts, len(post))))
-            post, ids = post[keep], ids[keep]
-        return pa.RecordBatch.from_arrays([pa.array(post), pa.array(ids)], ["post", "id"])
+            post, roots, ids = post[keep], roots[keep], ids[keep]
+        return pa.RecordBatch.from_arrays([pa.array(post), pa.array(roots), pa.array(ids)], ["post", "root", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
@@ -164,7 +162,7 @@ def _facing(texts: DataFrame, keys: int) -> DataFrame:
         yield met(*held)
 
     rows = _postings(texts, keys, fold=False).repartition("post").sortWithinPartitions("post")
-    return rows.mapInArrow(lean(run), "post long, id long").join(texts.select("id", "fp"), "id").select("post", "id", "fp")
+    return rows.mapInArrow(lean(run), "post long, root long, id long").join(texts.select("id", "fp"), "id").select("post", "root", "id", "fp")
 
 
 def close_pairs(ids: list[int], fps: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
@@ -258,29 +256,12 @@ def cross_pairs(key: int, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, s
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def nearest_links(ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the nearest one of another root, where that differs in at most most bits."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(ids), STRIP):
-        bits = _apart(fps[at : at + STRIP], fps)
-        bits[roots[at : at + STRIP, None] == roots[None, :]] = most + 1
-        near = bits.argmin(axis=1)
-        ok = bits[np.arange(len(bits)), near] <= most
-        x, y = ids[at : at + STRIP][ok], ids[near[ok]]
-        a.append(np.minimum(x, y))
-        b.append(np.maximum(x, y))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _compared(members: DataFrame, every: bool) -> DataFrame:
-    """a, b: close pairs of different roots. members: post, root, id, fp. every: all such pairs; else nearest links."""
+def _compared(members: DataFrame) -> DataFrame:
+    """a, b: all close pairs of different roots that share a posting. members: post, root, id, fp."""
     long_ = members.groupBy("post").count().where(F.col("count") > BLOCK)
     parts = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
     dealt = members.join(long_, "post", "left").withColumn("parts", parts).withColumn("u", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    if every:
-        dealt = dealt.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    else:
-        dealt = dealt.withColumn("v", F.col("u"))
+    dealt = dealt.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("post", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "root", "id", "fp")
 
     def pairs(table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -290,11 +271,8 @@ def _compared(members: DataFrame, every: bool) -> DataFrame:
         for end in ends.tolist():
             r = roots[start:end]
             if end - start > 1 and (r[0] != r).any():
-                if every:
-                    split = int((u[start:end] == i[start]).sum()) if i[start] != j[start] else None
-                    x, y = cross_pairs(int(post[start]) >> 24, ids[start:end], r, fps[start:end], split)
-                else:
-                    x, y = nearest_links(ids[start:end], r, fps[start:end])
+                split = int((u[start:end] == i[start]).sum()) if i[start] != j[start] else None
+                x, y = cross_pairs(int(post[start]) >> 24, ids[start:end], r, fps[start:end], split)
                 a.append(x)
                 b.append(y)
             start = end
@@ -350,20 +328,10 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
 
     verified = lambda pairs: cut(_verified(cut(pairs.distinct()), texts, shingle, similarity))
     edges = verified(_pairs(_members(distinct.withColumn("root", F.col("id")), FIRST_KEYS), MOST_BITS))
-    members = cut(_facing(_rooted(distinct, edges), KEYS))
-    for _ in range(JOINING):
-        found = verified(_compared(_rooted(members, edges), every=False))
-        edges = edges.union(found)
-        if found.isEmpty():
-            break
-    edges = edges.union(verified(_compared(_rooted(members, edges), every=True)))
-    return connected_components(edges).withColumnRenamed("node", "id")
-
-
-def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows (id, ...) with root, the least text that edges join to id."""
     roots = connected_components(edges).withColumnRenamed("node", "id")
-    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = cut(distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    met = cut(_facing(rooted, KEYS))
+    return connected_components(edges.union(verified(_compared(met)))).withColumnRenamed("node", "id")
 
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
