@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +123,9 @@ class BpeCodec:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a] << 16 | vocab[b]] = rank << 16 | vocab[a + b]
         self.token = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        # Tokens by their ids, for whole rows of ids.
+        self._row = np.array([self.token.get(i) for i in range(max(self.token) + 1)], object)
+        self._whole = len(self.token) == len(self._row)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # Two generations: what was used lately survives when the younger one is full.
@@ -152,23 +156,32 @@ class BpeCodec:
         for i, part in enumerate(self._cut.split(text) if self._cut and "<|" in text else (text,)):
             if i % 2:
                 yield 1, str(self.special[part]), part
-            elif part and _PLAIN.fullmatch(part) and unicodedata.is_normalized("NFC", part):
+            elif part and _PLAIN.fullmatch(low := part.lower()) and unicodedata.is_normalized("NFC", part):
+                # Judged in lower case: some capitals below U+0250 have small letters beyond it.
                 known, new = self._known.get, self._new
-                for piece in _PIECES.findall(part.lower()):
+                for piece in _PIECES.findall(low):
                     yield known(piece) or new(piece)
             elif part:
                 for chunk in self._normalize(part).split(" "):
                     for piece, _ in self._split(chunk) if chunk else ():
-                        # The library's pieces are rows of byte symbols; a mark keeps them apart from plain ones.
-                        yield self._known.get("\0" + piece) or self._hit("\0" + piece, [*(self.symbol[c] for c in piece[:-1]), self.last[piece[-1]]])
+                        # The library's pieces are rows of byte symbols; a blank, which no piece holds, keeps them apart from plain ones.
+                        yield self._known.get(" " + piece) or self._hit(" " + piece, [*(self.symbol[c] for c in piece[:-1]), self.last[piece[-1]]])
+
+    def encode_row(self, text: str) -> np.ndarray:
+        return np.fromstring(" ".join([ids for _, ids, _ in self._chunks(text)]), np.int32, sep=" ")
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for _, ids, _ in self._chunks(text) for x in ids.split(" ")]
+        return self.encode_row(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder, so tokens are joined by spaces."""
         return " ".join(self.token[i] for i in ids if i in self.token)
 
+    def decode_row(self, ids: np.ndarray) -> str:
+        known = ids[(ids >= 0) & (ids < len(self._row))]
+        found = self._row[known].tolist()
+        return " ".join(found) if self._whole else " ".join(x for x in found if x is not None)
+
     def digest(self, text: str) -> tuple[int, str, str]:
         rows = list(self._chunks(text))
         sha = lambda i: hashlib.sha256(" ".join([r[i] for r in rows]).encode()).hexdigest()
@@ -184,7 +197,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Per row of docs: doc_id, n_tokens, ids (array of int). path must be readable on every executor."""
 
     def make():
-        encode = codec(path).encode
+        encode = codec(path).encode_row
 
         def run(texts):
             ids = [encode(t) for t in texts]
@@ -199,12 +212,13 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """Per row of encoded (doc_id, ids, ...): its columns and decoded, the decoded text. Null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = codec(path).decode
+        decode, none = codec(path).decode_row, np.zeros(0, np.int32)
         for b in batches:
             step = max(1, b.num_rows * SLICE_BYTES // max(1, b.column("ids").nbytes))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                said = pa.array([decode(x or ()) for x in part.column("ids").to_pylist()], pa.string())
+                rows = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else none for x in part.column("ids"))
+                said = pa.array([decode(x) for x in rows], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, said], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(lean(run, keeps=True), with_fields(encoded.schema.fields, "decoded string"))
