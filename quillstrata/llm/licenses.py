@@ -3,15 +3,17 @@
 A paragraph is a line of text with a word. The classifier is a multinomial logistic regression over sparse word 1- and
 2-grams (lower-cased ASCII words), with one class for each licence family and one for anything else. It is trained on
 the spot from the templates below (whole, halved and with words left out) and from a bounded sample of at most
-SAMPLE_ROWS ordinary paragraphs of the corpus, picked by hash. A held-out share of these rows calibrates the unknown
-class: the bar on a family's probability is the lowest at which held-out paragraphs reach PRECISION. A prediction below the bar is
-unknown; one above it must be confirmed: the paragraph shares at least OVERLAP of the word 3-grams of the smaller of it
-and one template of that family. An unconfirmed one is unknown too, and so is one that the model takes for ordinary text but
-that shares as much with a template.
+SAMPLE_ROWS ordinary paragraphs of the corpus, picked by hash: those that don't share OVERLAP of their 3-grams with a
+template, with cue words or without. The unknown class is calibrated by cross-fitting: the templates of each family are
+dealt to two folds, and a model of one fold judges the whole templates and the ordinary paragraphs of the other, none of
+which it has seen in any form. The bar on a family's probability is the lowest at which what reaches it is right in
+PRECISION of cases. A prediction below the bar is unknown; one above it must be confirmed: the paragraph shares at least
+OVERLAP of the word 3-grams of the smaller of it and one template of that family. An unconfirmed one is unknown too, and
+so is one that the model takes for ordinary text but that shares as much with a template.
 
 Confirmation needs a 3-gram of a template, so the paragraphs that share one are scored, and besides those with a cue word,
 which may read like a notice of no template here (unknown). The others could not be confirmed and their families stay as
-they are; ordinary paragraphs of the training sample are drawn from them.
+they are.
 
 Null text has no paragraphs. Repeated rows get a row each. Ties between families go to the first in the order of names.
 An empty table gives an empty result; without ordinary paragraphs the templates alone train the model. The weights that are
@@ -90,18 +92,19 @@ def notice_like(line: Column) -> Column:
 
 
 def _template_rows(spark) -> DataFrame:
-    rows = [F.struct(F.lit(family).alias("family"), F.lit(text).alias("text")) for family, texts in TEMPLATES.items() for text in texts]
+    """family, text, fold: templates of a family are dealt to two folds in turn."""
+    rows = [F.struct(F.lit(family).alias("family"), F.lit(text).alias("text"), F.lit(i % 2).alias("fold")) for family, texts in TEMPLATES.items() for i, text in enumerate(texts)]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def _variants(templates: DataFrame) -> DataFrame:
-    """Templates whole, in halves, and nine times with about a sixth of the words left out."""
+    """family, fold, w, whole: templates whole, in halves, and nine times with about a sixth of the words left out."""
     words = templates.withColumn("w", tokens(F.col("text")))
     half = F.ceil(F.size("w") / 2).cast("int")
-    whole = words.select("family", F.explode(F.array("w", F.slice("w", 1, half), F.slice("w", half + 1, half))).alias("w"))
+    halves = words.select("family", "fold", F.explode(F.array(F.struct("w", F.lit(True).alias("whole")), *(F.struct(F.slice("w", a, half).alias("w"), F.lit(False).alias("whole")) for a in (F.lit(1), half + 1)))).alias("x")).select("family", "fold", "x.*")
     thinned = words.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    left = thinned.select("family", F.filter("w", lambda x, i: F.pmod(F.xxhash64(x, i, F.col("id")), F.lit(6)) > 0).alias("w"))
-    return whole.union(left).where(F.size("w") >= 4)
+    left = thinned.select("family", "fold", F.filter("w", lambda x, i: F.pmod(F.xxhash64(x, i, F.col("id")), F.lit(6)) > 0).alias("w"), F.lit(False).alias("whole"))
+    return halves.union(left).where((F.size("w") >= 4) | F.col("whole"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -116,26 +119,39 @@ class LicenseModel:
         self.weights, self.bias, self.classes, self.bar = weights, bias, classes, bar
 
 
+def _fitted(data: DataFrame, counted, classes: list[str]):
+    """A model of rows (label, features); one row without grams keeps the class of ordinary text where there are none."""
+    blank = counted.transform(data.sparkSession.range(1).select(F.lit(float(len(classes) - 1)).alias("label"), F.array().cast("array<string>").alias("grams"))).select("label", "features")
+    return LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.0, maxIter=60).fit(data.select("label", "features").union(blank))
+
+
 def train(ordinary: DataFrame) -> LicenseModel:
-    """ordinary: a column line of paragraphs that are no licence notices; at most SAMPLE_ROWS of them are used."""
+    """ordinary: a column line of paragraphs; at most SAMPLE_ROWS of those that match no template are used."""
     spark = ordinary.sparkSession
     classes = [*sorted(TEMPLATES), OTHER]
-    few = ordinary.where(~notice_like(F.col("line"))).orderBy(F.xxhash64("line"), "line").limit(SAMPLE_ROWS)
-    rows = _variants(_template_rows(spark)).union(few.select(F.lit(OTHER), F.slice(tokens(F.col("line")), 1, 60)))
+    templates = _template_rows(spark)
+    picked = cut(ordinary.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_ROWS).withColumn("n", F.monotonically_increasing_id()))
+    few = picked.join(_confirmed(picked.select(F.col("n").alias("r"), F.lit(0).alias("j"), "line", F.lit("").alias("family")), any_family=True), F.col("n") == F.col("r"), "left_anti")
+    own = few.select(F.lit(OTHER).alias("family"), F.pmod(F.xxhash64("line", F.lit(1)), F.lit(2)).cast("int").alias("fold"), F.slice(tokens(F.col("line")), 1, 60).alias("w"), F.lit(True).alias("whole"))
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    labelled = cut(rows.select(place.cast("double").alias("label"), grams(F.col("w")).alias("grams"), (F.pmod(F.xxhash64("w"), F.lit(5)) == 0).alias("held")))
+    labelled = cut(_variants(templates).unionByName(own).select(place.cast("double").alias("label"), "fold", "whole", grams(F.col("w")).alias("grams")))
     counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2.0, binary=True).fit(labelled.where("label < " + str(len(classes) - 1)))
-    data = counted.transform(labelled)
-    model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.0, maxIter=60).fit(data.where("not held"))
-    matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    weights = spark.createDataFrame([(gram, [float(x) for x in matrix[:, i]]) for i, gram in enumerate(counted.vocabulary)], "gram string, w array<double>")
-    seen = model.transform(data.where("held")).select("label", "prediction", F.array_max(vector_to_array("probability")).alias("p")).where(F.col("prediction") < len(classes) - 1)
-    points = seen.groupBy(F.floor(F.col("p") * 100).alias("at")).agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("int")).alias("right")).collect()
+    data = cut(counted.transform(labelled).select("label", "fold", "whole", "features"))
+    points: dict[int, list[int]] = {}
+    for fold in (0, 1):
+        judged = _fitted(data.where(F.col("fold") != fold), counted, classes).transform(data.where((F.col("fold") == fold) & F.col("whole")))
+        seen = judged.select("label", "prediction", F.array_max(vector_to_array("probability")).alias("p")).where(F.col("prediction") < len(classes) - 1)
+        for r in seen.groupBy(F.floor(F.col("p") * 100).alias("at")).agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("int")).alias("right")).collect():
+            n, right = points.get(r["at"], (0, 0))
+            points[r["at"]] = (n + r["n"], right + r["right"])
     bar = 0.99
     for at in range(99, 29, -1):
-        above = [r for r in points if r["at"] >= at]
-        if above and sum(r["right"] for r in above) >= PRECISION * sum(r["n"] for r in above):
+        above = [x for place_, x in points.items() if place_ >= at]
+        if above and sum(x[1] for x in above) >= PRECISION * sum(x[0] for x in above):
             bar = at / 100
+    model = _fitted(data, counted, classes)
+    matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    weights = spark.createDataFrame([(gram, [float(x) for x in matrix[:, i]]) for i, gram in enumerate(counted.vocabulary)], "gram string, w array<double>")
     return LicenseModel(weights, [float(x) for x in bias], classes, bar)
 
 
@@ -151,12 +167,12 @@ def _classified(cued: DataFrame, model: LicenseModel) -> DataFrame:
 
 def _confirmed(lines: DataFrame, any_family: bool = False) -> DataFrame:
     """r, j of predicted lines that share enough 3-grams with a template of their family, or of any."""
-    templates = _template_rows(lines.sparkSession).select("family", F.array_distinct(ngrams(tokens(F.col("text")), 3)).alias("t"))
-    own = lines.select("r", "j", "family", F.array_distinct(ngrams(tokens(F.col("line")), 3)).alias("g"))
-    shared = F.size(F.array_intersect("g", "t")) / F.greatest(F.lit(1), F.least(F.size("g"), F.size("t")))
-    if any_family:
-        return own.drop("family").crossJoin(F.broadcast(templates.drop("family"))).where(shared >= OVERLAP).select("r", "j").distinct()
-    return own.join(F.broadcast(templates), "family").where(shared >= OVERLAP).select("r", "j").distinct()
+    templates = _template_rows(lines.sparkSession).withColumn("t", F.monotonically_increasing_id())
+    known = templates.select("family", "t", F.array_distinct(ngrams(tokens(F.col("text")), 3)).alias("g")).select("family", "t", F.size("g").alias("n_t"), F.explode("g").alias("gram"))
+    own = lines.select("r", "j", F.col("family").alias("said"), F.array_distinct(ngrams(tokens(F.col("line")), 3)).alias("g")).select("r", "j", "said", F.size("g").alias("n_g"), F.explode("g").alias("gram"))
+    met = own.join(F.broadcast(known), "gram").where(F.lit(any_family) | (F.col("said") == F.col("family")))
+    shared = met.groupBy("r", "j", "t").agg(F.count("*").alias("n"), F.least(F.first("n_g"), F.first("n_t")).alias("least"))
+    return shared.where(F.col("n") >= OVERLAP * F.col("least")).select("r", "j").distinct()
 
 
 def license_verdicts(docs: DataFrame) -> DataFrame:
@@ -165,7 +181,7 @@ def license_verdicts(docs: DataFrame) -> DataFrame:
     n_cued: paragraphs that were scored. n_unknown: paragraphs that read like a licence notice, by the model or by a template's 3-grams, but are below the bar or match no
     template of the predicted family.
     """
-    k1, k2 = text_key(text_or_empty())
+    _, k2 = text_key(text_or_empty())
     split = paragraphs(docs.select("doc_id", "text"))
     cued = F.filter("lines", notice_like)
     # The lines of a hash-picked few rows stand for ordinary text.
