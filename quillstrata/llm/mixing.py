@@ -2,14 +2,17 @@
 
 A source's words, its documents in a fixed order, are packed into blocks of BLOCK words. A source's target says how many
 block slots it fills: whole passes over its blocks, then the first blocks of one more pass, the last slot cut so that
-the words meet the target exactly. All slots of the mix are dealt to output shards of SHARD_SLOTS slots by one
-pseudorandom permutation of the slot numbers: the counts of sources in a shard are then a multinomial draw given the
-sources' totals (unconditioned draws would leave small sources far from their targets). Within a source and pass, slots
-are mapped through a pseudorandom permutation of its block numbers, and slots and blocks are joined by that index. The
-short last block of a source is the last of its pass.
+the words meet the target exactly. The mix has as many slots as all sources fill, in output shards of SHARD_SLOTS.
 
-The permutations are swap-or-not ciphers (Hoang, Morris, Rogaway 2012), which work on any range; keys come from xxhash64
-of SEED, so reruns agree. All of it is DataFrame expressions.
+Every slot of a shard draws its source by the sources' shares of the slots, so a shard's source counts are a multinomial
+draw. The draws are then reconciled with the targets: a source's slots are numbered over the shards in order, those beyond
+what it fills are given, one by one, to the sources that were drawn too seldom (about the square root of all slots).
+Within a shard, a pseudorandom permutation gives the places of the sources' slots; within a source and pass, slots are
+mapped through a pseudorandom permutation of its block numbers, and slots and blocks are joined by that index. The short
+last block of a source is the last of its pass.
+
+The permutations are swap-or-not ciphers (Hoang, Morris, Rogaway 2012), which work on any range; keys and draws come from
+xxhash64 of SEED, so reruns agree. All of it is DataFrame expressions.
 
 Null text has no words, null source is a source of its own and the last. Documents without words take part with nothing
 taken. Repeated rows are separate documents. An empty table gives an empty result.
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import cut, text_or_empty, text_key, word_count
+from quillstrata.llm.common import cut, join_counted, text_key, text_or_empty, word_count
 
 BLOCK = 512
 SHARD_SLOTS = 1_024
@@ -30,9 +33,11 @@ ROUNDS = 16
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
-#: Parts into which a source's documents are dealt for running sums; slots that one row unfolds to.
+#: Parts into which a source's documents are dealt for running sums, and shards whose draws are summed together.
 BUCKETS = 1_024
-CHUNK = 4_096
+SHARDS_A_PART = 1_024
+#: Cells of the unit interval by which a draw finds its source.
+CELLS = 4_096
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -79,34 +84,71 @@ def placed(sizes: DataFrame) -> DataFrame:
     return run.join(parts.select("s", "bucket", offset.alias("offset")), ["s", "bucket"]).withColumn("start", F.col("offset") + F.col("run")).drop("bucket", "run", "offset")
 
 
-def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """The mix: shard, slot, s, pass, block, words (how many of the block's words, from its first, the slot takes)."""
+def slot_plan(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A row for each source with slots: s, n (slots it fills), base (slots of the sources before it), and what places them."""
     full = F.floor(F.col("source_size") / block)
-    tail = F.col("source_size") - full * block
-    plan = (
+    return (
         targets.where("source_size > 0")
         .withColumn("words", F.round("target").cast("long"))
-        .withColumn("full", full).withColumn("tail", tail)
+        .withColumn("full", full).withColumn("tail", F.col("source_size") - full * block)
         .withColumn("a_pass", F.col("full") + (F.col("tail") > 0).cast("long"))
         .withColumn("passes", F.floor(F.col("words") / F.col("source_size")))
         .withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
         .withColumn("n", F.col("passes") * F.col("a_pass") + F.ceil(F.col("rest") / block))
-        .withColumn("base", F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-        .withColumn("all", F.sum("n").over(Window.partitionBy()))
         .where("n > 0")
+        .withColumn("base", F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+        .select("s", "n", "base", "full", "tail", "a_pass", "passes", "rest")
     )
-    chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))).repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "chunk")
-    first = F.col("chunk") * CHUNK
-    each = chunks.withColumn("r", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("n")) - 1)))
+
+
+def drawn_counts(plan: DataFrame, total: int, sources: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, s, c: how many of a shard's slots draw each source."""
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = plan.sparkSession.range(0, total, 1, max(parts, total // 4_000_000 + 1)).select((F.col("id") / shard_slots).cast("long").alias("shard"), "id")
+    u = F.xxhash64(F.lit(SEED + 2), "id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    draws = place.select("shard", u.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    low, high = F.col("base") / F.lit(float(total)), (F.col("base") + F.col("n")) / F.lit(float(total))
+    cells = plan.select("s", low.alias("low"), high.alias("high")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
+    met = join_counted(draws, cells, CELLS + sources, ["cell"]).where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    return met.groupBy("shard", "s").agg(F.count("*").alias("c"))
+
+
+def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix: shard, slot, s, pass, block, words (how many of the block's words, from its first, the slot takes)."""
+    plan = cut(slot_plan(targets, block))
+    size = plan.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, sources = int(size[0]), int(size[1])
+    counts = cut(drawn_counts(plan, total, sources, shard_slots))
+    # The number of a source's first slot in a shard, by running sums over parts of SHARDS_A_PART shards, then within them.
+    part = counts.withColumn("part", (F.col("shard") / SHARDS_A_PART).cast("long"))
+    run = lambda col, *by: F.sum(col).over(Window.partitionBy("s", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0)) - F.col(col)
+    parts = part.groupBy("s", "part").agg(F.sum("c").alias("all")).withColumn("before", run("all", "part")).drop("all")
+    within = F.sum("c").over(Window.partitionBy("shard").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    numbered = part.withColumn("own", run("c", "part", "shard")).join(parts, ["s", "part"]).withColumn("at", within)
+    first = F.col("before") + F.col("own")
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = numbered.select("shard", "s", "at", first.alias("first"), "c").repartition(tasks, "shard", "s").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    here = F.least(F.lit(shard_slots), F.lit(total) - F.col("shard") * shard_slots)
+    placed_ = each.select("shard", permuted(F.col("at") + F.col("k"), here, F.lit("slots"), F.col("shard")).alias("slot"), "s", (F.col("first") + F.col("k")).alias("r"))
+    # Reconciled: slots that a source was drawn beyond its n go to those drawn less, in the order of the sources.
+    sums = counts.groupBy("s").agg(F.sum("c").alias("drawn"))
+    over = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    spare, missing = F.greatest(F.col("drawn") - F.col("n"), F.lit(0)), F.greatest(F.col("n") - F.col("drawn"), F.lit(0))
+    told = plan.join(sums, "s", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("spare", spare).withColumn("missing", missing)
+    told = cut(told.withColumn("spare_base", F.sum("spare").over(over) - F.col("spare")).withColumn("missing_base", F.sum("missing").over(over) - F.col("missing")))
+    given = told.where("missing > 0").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") - 1))).select((F.col("missing_base") + F.col("g")).alias("q"), F.col("s").alias("to"), (F.col("drawn") + F.col("g")).alias("to_r"))
+    known = join_counted(placed_, told.select("s", "n", "spare_base"), sources, ["s"])
+    kept = known.where("r < n").select("shard", "slot", "s", "r")
+    moved = known.where("r >= n").withColumn("q", F.col("spare_base") + F.col("r") - F.col("n")).join(given, "q").select("shard", "slot", F.col("to").alias("s"), F.col("to_r").alias("r"))
     at = (
-        each.withColumn("pass", F.floor(F.col("r") / F.col("a_pass")))
+        join_counted(kept.union(moved), told.select("s", "full", "tail", "a_pass", "passes", "rest"), sources, ["s"])
+        .withColumn("pass", F.floor(F.col("r") / F.col("a_pass")))
         .withColumn("i", F.col("r") - F.col("pass") * F.col("a_pass"))
         .withColumn("block", F.when(F.col("i") == F.col("full"), F.col("full")).otherwise(permuted(F.col("i"), F.greatest(F.col("full"), F.lit(1)), F.col("s"), F.col("pass"))))
-        .withColumn("place", permuted(F.col("base") + F.col("r"), F.col("all"), F.lit("slots")))
     )
     length = F.when(F.col("block") == F.col("full"), F.col("tail")).otherwise(F.lit(block))
     taken = F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, F.col("rest") - F.col("i") * block))
-    return at.select(F.floor(F.col("place") / shard_slots).alias("shard"), F.pmod("place", F.lit(shard_slots)).alias("slot"), "s", "pass", "block", taken.alias("words"))
+    return at.select("shard", "slot", "s", "pass", "block", taken.alias("words"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
