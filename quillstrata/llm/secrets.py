@@ -3,25 +3,28 @@
 A candidate is a longest run of at least MIN_LENGTH characters of the base64, base64url or hex alphabets that holds a
 digit and is no plain number. Its encoding is the smallest alphabet that holds it. A run that fits none, with '+' or '/'
 and '-' or '_', is split at either pair, and each part that is long enough is a candidate (so a key is found beside what
-joins it to its surroundings). A discovery that lies within another one is not given out twice. Three tests ask whether it could be ordinary text:
+joins it to its surroundings). A discovery that lies within another one is not given out twice.
 
-- chi-squared uniformity: the null is a noncentral chi-squared whose noncentrality per character is that of the letters
-  of the whole corpus, so a small p-value says that the token is too even for text;
-- runs above and below the middle of the alphabet, and serial correlation of neighbouring symbols: a token that a random
-  string would match in fewer than SIDE_LEVEL of cases counts as text (p-value 1).
+Four p-values say how well a candidate fits random symbols of its encoding: chi-squared uniformity over the symbols of the
+alphabet and over its kinds of symbols (capitals, small letters, digits, others), runs above and below the middle of the
+alphabet, and serial correlation of neighbours. Their logarithms are summed (Fisher's method); the sum is the score.
 
-Benjamini-Hochberg then runs over the whole corpus, separately for each encoding and length class, so that many short
-tokens don't loosen the bar for long ones, nor the reverse.
+The null is ordinary text written as one word: identifiers, slugs, constants and the like. Its scores come from DECOYS
+strings for each encoding and length class, made of words that follow the letter pairs of the whole corpus (outside of
+candidates), joined in the ways of that encoding, with a number among them. A candidate's p-value is the share of decoys
+of its class that score as high; beyond the highest TAIL of them the share falls off exponentially, which is cautious as
+scores end at zero. Benjamini-Hochberg then runs over all candidates of the corpus, separately for each encoding and
+length class, so that many short tokens don't loosen the bar for long ones, nor the reverse.
 
-The fixed patterns always stay. Null text counts as empty. Repeated rows count as often as they occur. An empty table
-gives an empty result. Spans count code points, end exclusive.
+The fixed patterns always stay. Null text counts as empty. Repeated rows count as often as they occur. Without letters in
+the corpus nothing is added. An empty table gives an empty result. Spans count code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +44,19 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_LENGTH = 20
 FALSE_DISCOVERY_RATE = 0.01
-#: Classes of -ln(p): this many a unit, up to the last.
-BINS_A_UNIT, LAST_BIN = 8, 800
+#: Decoys for each encoding and length class, and the share of them from which on the tail is extrapolated.
+DECOYS = 8_000
+TAIL = 0.01
+SEED = 9
+#: Classes of the score: this many a unit, down to the first.
+BINS_A_UNIT, FIRST_BIN = 8, -1_600
+#: Length classes for each doubling of the length.
+CLASSES_AN_OCTAVE, LAST_CLASS = 4, 24
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_LENGTH)
 #: Parts of a run that fits no alphabet: those in the base64 and those in the base64url alphabet.
 _PARTS = (re.compile(r"[A-Za-z0-9+/]+={0,2}"), re.compile(r"[A-Za-z0-9_-]+={0,2}"))
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-#: Below this p-value the side tests take a token for text.
-SIDE_LEVEL = 0.001
-
 # Alphabets from the smallest to the largest.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -104,107 +110,202 @@ def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _tail(z: float) -> float:
-    """Upper tail of the normal distribution."""
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def text_excess(letters: list[int], encoding: str) -> float | None:
-    """How much more uneven than uniform over the alphabet the corpus's own letters are, a character; None without letters."""
-    names = dict(ALPHABETS)[encoding]
-    upper = not any(c.islower() for c in names)
-    own = [letters[ord(c.lower()) - 97] for c in names if c.isalpha() and (c.isupper() if upper else c.islower())]
-    total = sum(own)
-    return len(names) * sum((x / total) ** 2 for x in own) - 1 if total else None
-
-
-def battery(token: str, encoding: str, excess: float) -> float:
-    """p-value of 'this is ordinary text'; excess: text_excess() of the encoding."""
-    places = _PLACES[encoding]
-    row = [places[c] for c in token.rstrip("=")]
-    n, k = len(row), len(places)
-    counts: dict[int, int] = {}
-    for x in row:
-        counts[x] = counts.get(x, 0) + 1
-    chi = k / n * sum(c * c for c in counts.values()) - n
-    mean, spread = (k - 1) + n * excess, math.sqrt(2 * (k - 1) + 4 * n * max(0.0, excess))
-    p_text = _tail((mean - chi) / spread)
-    half = [x * 2 >= k for x in row]
-    ups = sum(half)
-    if 0 < ups < n:
-        runs = 1 + sum(a != b for a, b in zip(half, half[1:], strict=False))
-        expected = 1 + 2 * ups * (n - ups) / n
-        var = (expected - 1) * (expected - 2) / (n - 1)
-        p_runs = 2 * _tail(abs(runs - expected) / math.sqrt(var)) if var > 1e-9 else 1.0
-    else:
-        p_runs = 2.0 ** (1 - n)
-    m = sum(row) / n
-    around = sum((x - m) ** 2 for x in row)
-    serial = sum((a - m) * (b - m) for a, b in zip(row, row[1:], strict=False)) / around if around else 1.0
-    p_serial = 2 * _tail(abs(serial + 1 / n) * math.sqrt(n))
-    side = min(1.0, 2 * min(p_runs, p_serial))
-    return p_text if side >= SIDE_LEVEL else 1.0
+_KIND = np.array([0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 else 2 if 48 <= c <= 57 else 3 for c in range(128)])
+
+
+def _upper_tail(z: np.ndarray) -> np.ndarray:
+    """Of the normal distribution: for large z by its bound, which is close there."""
+    z = np.asarray(z, np.float64)
+    t = 1 / (1 + 0.2316419 * np.abs(z))
+    # Abramowitz and Stegun 26.2.17.
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    low = np.exp(-0.5 * np.square(z)) / math.sqrt(2 * math.pi) * poly
+    return np.clip(np.where(z >= 0, low, 1 - low), 1e-300, 1.0)
+
+
+def _chi_tail(x: np.ndarray, df: int) -> np.ndarray:
+    """Upper tail of chi-squared, by Wilson and Hilferty."""
+    return _upper_tail((np.cbrt(np.maximum(x, 0) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+
+def scores(rows: np.ndarray, encoding: str) -> np.ndarray:
+    """The score of each row of ASCII codes (tokens of one length, without padding): the sum of the tests' ln p."""
+    letters = dict(ALPHABETS)[encoding]
+    m, n = rows.shape
+    k = len(letters)
+    table = np.full(128, -1)
+    table[[ord(c) for c in letters]] = np.arange(k)
+    x = table[rows]
+    counts = np.zeros((m, k))
+    np.add.at(counts, (np.arange(m)[:, None], x), 1)
+    p_symbols = _chi_tail(k / n * np.square(counts).sum(axis=1) - n, k - 1)
+    share = np.bincount(_KIND[[ord(c) for c in letters]], minlength=4) / k
+    used = np.flatnonzero(share)
+    seen = np.stack([(_KIND[rows] == c).sum(axis=1) for c in used], axis=1)
+    p_kinds = _chi_tail((np.square(seen - n * share[used]) / (n * share[used])).sum(axis=1), len(used) - 1) if len(used) > 1 else np.ones(m)
+    half = x * 2 >= k
+    ups = half.sum(axis=1)
+    runs = 1 + (half[:, 1:] != half[:, :-1]).sum(axis=1)
+    expected = 1 + 2 * ups * (n - ups) / n
+    spread = np.sqrt(np.maximum((expected - 1) * (expected - 2) / max(1, n - 1), 1e-9))
+    p_runs = np.where((ups > 0) & (ups < n), np.minimum(1.0, 2 * _upper_tail(np.abs(runs - expected) / spread)), 2.0 ** np.maximum(1 - n, -900))
+    gap = x - x.mean(axis=1, keepdims=True)
+    around = np.square(gap).sum(axis=1)
+    serial = np.where(around > 0, (gap[:, 1:] * gap[:, :-1]).sum(axis=1) / np.maximum(around, 1e-9), 1.0)
+    p_serial = np.minimum(1.0, 2 * _upper_tail(np.abs(serial + 1 / n) * math.sqrt(n)))
+    return sum(np.log(np.maximum(p, 1e-300)) for p in (p_symbols, p_kinds, p_runs, p_serial))
+
+
+def score_bin(score: np.ndarray) -> np.ndarray:
+    return np.maximum(np.floor(score * BINS_A_UNIT), FIRST_BIN).astype(np.int32)
+
+
+def token_scores(tokens: list[str]) -> list[tuple[str, int]]:
+    """(group, class of the score) of each token; group: encoding and length class, "" where no alphabet holds it."""
+    out: list[tuple[str, int]] = [("", FIRST_BIN)] * len(tokens)
+    alike: dict[tuple[str, int], list[int]] = {}
+    for i, token in enumerate(tokens):
+        encoding = infer_encoding(token)
+        if encoding:
+            alike.setdefault((encoding, len(token.rstrip("="))), []).append(i)
+    for (encoding, n), places in alike.items():
+        for at in range(0, len(places), 4_096):
+            some = places[at : at + 4_096]
+            rows = np.frombuffer("".join(tokens[i].rstrip("=") for i in some).encode(), np.uint8).reshape(len(some), n)
+            for i, b in zip(some, score_bin(scores(rows, encoding)).tolist(), strict=True):
+                out[i] = (f"{encoding}/{length_class(n)}", b)
+    return out
 
 
 def length_class(n: int) -> int:
-    return min(12, int(2 * math.log2(n / MIN_LENGTH)))
+    return min(LAST_CLASS, int(CLASSES_AN_OCTAVE * math.log2(n / MIN_LENGTH)))
+
+
+def letter_pairs(text: str) -> np.ndarray:
+    """27 x 27 counts, as one row, of neighbours among the letters a to z (either case) and anything else (26)."""
+    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    place = np.where((raw >= 97) & (raw <= 122), raw - 97, 26).astype(np.int64)
+    place = np.concatenate([[26], place, [26]])
+    return np.bincount(place[:-1] * 27 + place[1:], minlength=729)
+
+
+def _words(pairs: np.ndarray, allowed: str, count: int, rng: np.random.Generator) -> list[str]:
+    """Words that follow the letter pairs, of the allowed letters only."""
+    table = pairs.reshape(27, 27).astype(np.float64).copy()
+    table[26, 26] = 0
+    table[:, [i for i in range(26) if chr(97 + i) not in allowed]] = 0
+    table[:26, 26] += 1e-9  # every word ends
+    total = table.sum(axis=1, keepdims=True)
+    table = np.where(total > 0, table / np.maximum(total, 1e-300), np.eye(27)[26])
+    below, state, rows = np.cumsum(table, axis=1), np.full(count, 26), []
+    for _ in range(24):
+        new = np.minimum((rng.random(count)[:, None] > below[state]).sum(axis=1), 26)
+        state = np.where((state == 26) & bool(rows), 26, new)
+        rows.append(state)
+    return [w for w in ("".join(chr(97 + c) for c in row if c < 26) for row in np.stack(rows, axis=1).tolist()) if w]
+
+
+# Ways in which text is written as one word, by encoding: form of a word and what joins words.
+FORMS = {
+    "hex": ((str.lower, ""),),
+    "HEX": ((str.upper, ""),),
+    "base32": ((str.upper, ""),),
+    "base36": ((str.lower, ""),),
+    "base64": ((str.capitalize, ""), (str.capitalize, ""), (str.lower, "/"), (str.capitalize, "/"), (str.upper, "/")),
+    "base64url": ((str.lower, "-"), (str.lower, "_"), (str.capitalize, "-"), (str.upper, "_"), (str.capitalize, "_")),
+}
+
+
+def decoys(pairs: np.ndarray, encoding: str, lengths: Sequence[int], count: int = DECOYS) -> list[str]:
+    """Ordinary text as single words of the encoding, with a number in each; none where the corpus has no letters of it."""
+    rng = np.random.default_rng([SEED, [x for x, _ in ALPHABETS].index(encoding), min(lengths)])
+    letters = dict(ALPHABETS)[encoding]
+    words = _words(pairs, "".join(sorted({c.lower() for c in letters if c.isalpha()})), 4_000, rng)
+    if not words:
+        return []
+    digits = [c for c in letters if c.isdigit()]
+    out, size = [], np.array(lengths)[rng.integers(0, len(lengths), count)]
+    form, where, long_ = rng.integers(0, 1 << 30, count), rng.random(count), rng.random(count)
+    for i, n in enumerate(size.tolist()):
+        make, join = FORMS[encoding][form[i] % len(FORMS[encoding])]
+        number = "".join(rng.choice(digits, int(rng.integers(5, 9)) if long_[i] < 0.15 else int(rng.integers(1, 5))))
+        parts: list[str] = []
+        room = n - len(number)
+        while room > 0:
+            parts.append(make(words[int(rng.integers(0, len(words)))]))
+            room -= len(parts[-1]) + len(join)
+        at = len(parts) if where[i] < 0.6 else int(where[i] * 1e6) % (len(parts) + 1)
+        parts.insert(at, number)
+        # Cut to length so that the number stays.
+        word = join.join(parts)
+        out.append(word[:n] if at < len(parts) - 1 and any(c.isdigit() for c in word[:n]) else word[len(word) - n :])
+    return out
+
+
+def null_tail(pairs: np.ndarray, group: str) -> Callable[[int], float] | None:
+    """p-value by class of the score, of a group; None without decoys."""
+    encoding, at = group.split("/")
+    low, high = (math.ceil(MIN_LENGTH * 2 ** (int(c) / CLASSES_AN_OCTAVE) - 1e-9) for c in (at, int(at) + 1))
+    made: dict[int, list[str]] = {}
+    for token in decoys(pairs, encoding, range(low, max(high, low + 1))):
+        made.setdefault(len(token), []).append(token)
+    if not made:
+        return None
+    rows = [scores(np.frombuffer("".join(x).encode(), np.uint8).reshape(len(x), n), encoding) for n, x in made.items()]
+    found = np.sort(np.concatenate(rows))
+    edge = found[int(len(found) * (1 - TAIL))]
+    fall = max(float((found[found >= edge] - edge).mean()), 1 / BINS_A_UNIT)
+
+    def tail(bin_: int) -> float:
+        score = bin_ / BINS_A_UNIT
+        share = (len(found) - np.searchsorted(found, score) + 1) / (len(found) + 1)
+        return float(min(share, 1.0)) if score <= edge else TAIL * math.exp(-(score - edge) / fall)
+
+    return tail
 
 
 def _pass_one(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: the fixed spans, the candidates beside them, and how often each letter occurs."""
+    """Per row: the fixed spans, the candidates beside them with their scores; pairs: letter pairs of a batch, once a batch."""
 
     def make():
-        def one(text: str):
-            base = base_spans(text)
-            kinds = [k for _, k, _ in base]
-            starts, ends, tokens = [], [], []
-            for start, end, token in candidates(text):
-                if any(a < end and start < b for a, _, b in base):
-                    continue
-                starts.append(start)
-                ends.append(end)
-                tokens.append(token)
-            letters = np.bincount(np.frombuffer(text.lower().encode(), np.uint8), minlength=256)[97:123]
-            return kinds.count(0), kinds.count(1), kinds.count(2), said(base), starts, ends, tokens, letters
-
-        return lambda texts: zip(*map(one, texts), strict=True)
+        def run(texts: list[str]):
+            rows, tokens = [], []
+            pairs = np.zeros(729, np.int64)
+            for text in texts:
+                base = base_spans(text)
+                kinds = [k for _, k, _ in base]
+                own = [x for x in candidates(text) if not any(a < x[1] and x[0] < b for a, _, b in base)]
+                rest, done = [], 0
+                for a, b in outermost([(a, b) for a, b, _ in own]):
+                    rest.append(text[done:a])
+                    done = b
+                pairs += letter_pairs(" ".join([*rest, text[done:]]))
+                rows.append([kinds.count(0), kinds.count(1), kinds.count(2), said(base), [a for a, _, _ in own], [b for _, b, _ in own]])
+                tokens.append([t for _, _, t in own])
+            scored = iter(token_scores([t for row in tokens for t in row]))
+            for i, (row, own) in enumerate(zip(rows, tokens, strict=True)):
+                found = [next(scored) for _ in own]
+                row += [[g for g, _ in found], [b for _, b in found], None if i else pairs]
+            return zip(*rows, strict=True)
+
+        return run
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_texts(rows, make, {"n_assign": "long", "n_access": "long", "n_hex": "long", "base": "string", "starts": "array<int>", "ends": "array<int>", "tokens": "array<string>", "letters": "array<long>"})
-
+    return map_texts(rows, make, {"n_assign": "long", "n_access": "long", "n_hex": "long", "base": "string", "starts": "array<int>", "ends": "array<int>", "groups": "array<string>", "bins": "array<int>", "pairs": "array<long>"})
 
-def _tested(tokens: DataFrame, excess: dict[str, float]) -> DataFrame:
-    """Adds groups (encoding and length class) and bins (class of -ln p) of a row's candidates."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            groups, bins = [], []
-            for row in b.column("tokens").to_pylist():
-                g, x = [], []
-                for token in row:
-                    enc = infer_encoding(token)
-                    known = enc in excess
-                    p = battery(token, enc, excess[enc]) if known else 1.0
-                    g.append(f"{enc}/{length_class(len(token))}" if known else "none")
-                    x.append(min(LAST_BIN, int(-math.log(max(p, 1e-300)) * BINS_A_UNIT)))
-                groups.append(g)
-                bins.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(groups, pa.list_(pa.string())), pa.array(bins, pa.list_(pa.int32()))], [*b.schema.names, "groups", "bins"])
-
-    return tokens.mapInArrow(run, with_fields(tokens.schema.fields, "groups array<string>, bins array<int>"))
-
-
-def discovery_bars(counts: list[tuple[str, int, int]], rate: float) -> dict[str, int]:
-    """Benjamini-Hochberg on classes of p: per group the lowest class of -ln(p) that is a discovery."""
+def discovery_bars(counts: list[tuple[str, int, int]], pairs: np.ndarray, rate: float) -> dict[str, int]:
+    """Benjamini-Hochberg on classes of the score: per group the lowest class that is a discovery."""
     by: dict[str, dict[int, int]] = {}
     for group, b, n in counts:
         by.setdefault(group, {})[b] = n
     bars = {}
     for group, classes in by.items():
+        tail = null_tail(pairs, group)
         total, seen = sum(classes.values()), 0
         for b in sorted(classes, reverse=True):
             seen += classes[b]
-            if b and math.exp(-b / BINS_A_UNIT) * total <= rate * seen:
+            if tail and b > FIRST_BIN and tail(b) * total <= rate * seen:
                 bars[group] = b
     return bars
 
@@ -212,27 +313,29 @@ def discovery_bars(counts: list[tuple[str, int, int]], rate: float) -> dict[str,
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
     """Per row of docs: doc_id, n_assign, n_access, n_hex, base (the fixed spans), spans (all spans).
 
-    What comes to the driver is bounded: 26 letter counts, and a count for each encoding, length class and class of p.
+    What comes to the driver is bounded: the counts of letter pairs, and a count for each encoding, length class and class
+    of the score.
     """
     first = cut(_pass_one(docs, id_col, text_col))
-    sums = first.agg(*(F.coalesce(F.sum(F.col("letters")[i]), F.lit(0)).alias(f"c{i}") for i in range(26))).first()
-    excess = {name: x for name, _ in ALPHABETS if (x := text_excess(list(sums), name)) is not None}
-    plain = first.drop("letters")
-    seen = _tested(plain.where(F.size("tokens") > 0).select("tokens"), excess)
-    counts = seen.select(F.explode(F.arrays_zip("groups", "bins")).alias("x")).groupBy("x.groups", "x.bins").count().collect()
-    bars = discovery_bars([tuple(r) for r in counts if r[0] != "none"], rate)
+    # The pairs of a batch are summed place by place.
+    placed = first.where("pairs is not null").select(F.posexplode("pairs").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
+    pairs = np.zeros(729, np.int64)
+    for r in placed:
+        pairs[r["at"]] = r["n"]
+    plain = first.drop("pairs")
+    counts = plain.where(F.size("groups") > 0).select(F.explode(F.arrays_zip("groups", "bins")).alias("x")).groupBy("x.groups", "x.bins").count().collect()
+    bars = discovery_bars(sorted(tuple(r) for r in counts if r[0]), pairs, rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = []
             for base, starts, ends, groups, bins in zip(*(b.column(c).to_pylist() for c in ("base", "starts", "ends", "groups", "bins")), strict=True):
-                new = [(a, 3, e) for a, e in outermost([(a, e) for a, e, g, x in zip(starts, ends, groups, bins, strict=True) if x >= bars.get(g, LAST_BIN + 1)])]
+                new = [(a, 3, e) for a, e in outermost([(a, e) for a, e, g, x in zip(starts, ends, groups, bins, strict=True) if g in bars and x >= bars[g]])]
                 old = [(int(x[1]), KINDS.index(x[0]), int(x[2])) for s in base.split(",") if s for x in [s.split(":")]]
                 spans.append(said(sorted(old + new)) if new else base)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base")), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
-    tested = _tested(plain, excess)
-    return tested.mapInArrow(run, with_fields([plain.schema[c] for c in ("doc_id", "n_assign", "n_access", "n_hex", "base")], "spans string"))
+    return plain.mapInArrow(run, with_fields([plain.schema[c] for c in ("doc_id", "n_assign", "n_access", "n_hex", "base")], "spans string"))
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
