@@ -1,25 +1,29 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates per language and source.
 
-Five statistics of a text become a vector (see vector()). Per language and source, concentration steps over all rows
-look for the three quarters of the vectors whose covariance has the least determinant: each step bins the squared
-Mahalanobis distances, sums counts, vectors and products per group and bin, keeps the bins that hold the nearest three
-quarters, and so gets the next mean and covariance. A step is one aggregate over all rows, and what is left of a group
-is at most LAST_BIN + 1 rows, so a hot group never meets in one task. The start is the per-coordinate median and
-quartile range, from exact histograms of the coordinates on a fixed grid.
-
-The bar follows the fitted distances of a group: the floors shorten them, so the chi-squared bar is scaled by the group's
-median squared distance over the chi-squared median, within LEAST_FAR and the unscaled bar. So each of the shares of
-repeated lines and windows can reject by itself.
+Five statistics of a text become a vector (see vector()). Per language and source, the estimate is the mean and covariance
+of the CORE share of the vectors whose covariance has the least determinant, found by concentration steps from several
+starts (as DetMCD, Hubert, Rousseeuw and Verdonck 2012): medians with quartile ranges, with the correlation of tanh
+values, and with that of spatial signs. Each start takes FIRST_STEPS steps, the best of a group goes on until its determinant
+falls no more. A step is one aggregate over all rows: squared Mahalanobis distances are binned, counts, vectors and
+products are summed per group and bin, and the nearest bins make the core, the last of them by the share that is wanted.
+So what is left of a group is at most LAST_BIN + 1 rows, and a hot group never meets in one task. A last step reweights:
+all vectors within the USUAL share's distance make the final mean and covariance.
+
+Distances of the verdict allow for FLOOR: differences so small are no fault, however even a group is. The bar follows the
+fitted distances of a group: the floors shorten them, so the chi-squared bar is scaled by the group's median squared
+distance over the chi-squared median, within LEAST_FAR and the unscaled bar. So each of the shares of repeated lines and
+windows can reject by itself.
 
 Documents that fail a base rule take no part in the estimates and are not kept. Groups with fewer than LEAST_GROUP rows
-are pooled by language, then over all; with fewer still, the base rules decide alone. Null text has no words and fails
-the base rule; null language or source is a group of its own. Repeated rows count as often as they occur. An empty
-table gives an empty result.
+are pooled by language, then over all; a last pool of fewer than LEAST_POOL rows has no covariance, and the base rules
+decide alone. Null text has no words and fails the base rule; null language or source is a group of its own. Repeated rows
+count as often as they occur. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,8 +42,14 @@ CORE = 0.75
 REJECTED = 1e-9
 #: Squared distance in floors within which nothing is rejected: three of them.
 LEAST_FAR = 9.0
-LEAST_GROUP = 50
-STEPS = 6
+#: Rows of a group: ten for each coordinate; of the last pool: more than twice the coordinates.
+LEAST_GROUP, LEAST_POOL = 10 * DIMS, 2 * DIMS + 1
+#: Concentration steps of each start, and of the best at most.
+FIRST_STEPS, STEPS = 2, 12
+#: Share of a normal group that the last step rests on.
+USUAL = 0.975
+#: Added to each variance, so that a constant coordinate has an inverse.
+GUARD = 1e-6
 #: Standard deviations added to each coordinate: smaller differences are never a fault by themselves.
 FLOOR = (0.30, 0.10, 0.045, 0.20, 0.20)
 #: Classes of distance: so many a unit of ln(1 + squared distance), up to the last.
@@ -123,42 +133,74 @@ def chi2_bar(tail: float, k: int) -> float:
     return high
 
 
-def _scaled_precision(cov: np.ndarray) -> np.ndarray:
-    """Inverse of the covariance, made consistent for the core share and floored."""
-    factor = CORE / chi2_cdf(chi2_bar(1 - CORE, DIMS), DIMS + 2)
-    return np.linalg.inv(cov * factor + np.diag(np.square(FLOOR)))
+def _consistent(cov: np.ndarray, share: float) -> np.ndarray:
+    """The covariance of a normal group whose nearest share has covariance cov."""
+    return cov * (share / chi2_cdf(chi2_bar(1 - share, DIMS), DIMS + 2))
 
 
-def _flat(g: str, mean: np.ndarray, precision: np.ndarray) -> dict:
-    return {"g": g, "m": mean.tolist(), "p": [float(precision[i, j]) * (1 if i == j else 2) for i, j in PAIRS]}
+def _flat(g: str, start: int, mean: np.ndarray, cov: np.ndarray) -> dict:
+    """A model: m, p (the precision's entries as PAIRS has them, those off the diagonal twice), det (its logarithm)."""
+    whole = cov + np.diag(np.full(DIMS, GUARD))
+    precision = np.linalg.inv(whole)
+    return {"g": g, "start": start, "m": mean.tolist(), "p": [float(precision[i, j]) * (1 if i == j else 2) for i, j in PAIRS], "det": float(np.linalg.slogdet(whole)[1])}
 
 
-_MODEL = "g string, m array<double>, p array<double>"
+_MODEL = "g string, start int, m array<double>, p array<double>, det double"
 
 
-def _start(table: pd.DataFrame) -> pd.DataFrame:
-    """table: g, dim, bin, n of one group."""
+def _middle(table: pd.DataFrame) -> pd.DataFrame:
+    """table: g, dim, bin, n of one group. Medians and quartile ranges."""
     mean, scale = np.zeros(DIMS), np.ones(DIMS)
     for dim, part in table.groupby("dim"):
         part = part.sort_values("bin")
         run = part["n"].cumsum().to_numpy()
         at = [part["bin"].to_numpy()[np.searchsorted(run, q * run[-1])] * GRID for q in (0.25, 0.5, 0.75)]
-        mean[dim], scale[dim] = at[1] + GRID / 2, (at[2] - at[0]) / 1.349
-    return pd.DataFrame([_flat(table["g"].iloc[0], mean, np.linalg.inv(np.diag(scale**2 + np.square(FLOOR))))])
+        mean[dim], scale[dim] = at[1] + GRID / 2, max((at[2] - at[0]) / 1.349, GRID)
+    return pd.DataFrame([{"g": table["g"].iloc[0], "middle": mean.tolist(), "scale": scale.tolist()}])
+
+
+def _square(products: Sequence[float]) -> np.ndarray:
+    out = np.zeros((DIMS, DIMS))
+    for (i, j), x in zip(PAIRS, products, strict=True):
+        out[i, j] = out[j, i] = x
+    return out
+
+
+def _starts(table: pd.DataFrame) -> pd.DataFrame:
+    """table: one row g, middle, scale, tanh (sums of products), sign (the same). One model a start."""
+    row = table.iloc[0]
+    mean, scale = np.asarray(row["middle"]), np.asarray(row["scale"])
+    rows = [_flat(row["g"], 0, mean, np.diag(scale**2))]
+    for start, name in ((1, "tanh"), (2, "sign")):
+        both = _square(row[name])
+        size = np.sqrt(np.maximum(np.diag(both), 1e-12))
+        # Shrunk a little, so that the start has an inverse.
+        rows.append(_flat(row["g"], start, mean, (0.95 * both / np.outer(size, size) + 0.05 * np.eye(DIMS)) * np.outer(scale, scale)))
+    return pd.DataFrame(rows)
+
+
+def _moments(table: pd.DataFrame, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the nearest wanted vectors; table: bin, n, s (sums), q (sums of products), sorted by bin."""
+    n = table["n"].to_numpy(np.float64)
+    part = np.clip((wanted - (np.cumsum(n) - n)) / n, 0.0, 1.0)
+    mean = part @ np.stack(table["s"].map(np.asarray).to_list()) / (part @ n)
+    return mean, _square(part @ np.stack(table["q"].map(np.asarray).to_list()) / (part @ n)) - np.outer(mean, mean)
 
 
 def _step(table: pd.DataFrame) -> pd.DataFrame:
-    """table: g, bin, n, s (sums), q (sums of products) of one group."""
+    """table: g, start, bin, n, s, q of one group and start."""
     table = table.sort_values("bin")
-    run = table["n"].cumsum().to_numpy()
-    core = table.iloc[: int(np.searchsorted(run, CORE * run[-1])) + 1]
-    n = core["n"].sum()
-    mean = np.sum([np.asarray(x) for x in core["s"]], axis=0) / n
-    both = np.sum([np.asarray(x) for x in core["q"]], axis=0) / n
-    cov = np.zeros((DIMS, DIMS))
-    for (i, j), x in zip(PAIRS, both, strict=True):
-        cov[i, j] = cov[j, i] = x - mean[i] * mean[j]
-    return pd.DataFrame([_flat(table["g"].iloc[0], mean, _scaled_precision(cov))])
+    return pd.DataFrame([_flat(table["g"].iloc[0], int(table["start"].iloc[0]), *_moments(table, CORE * table["n"].sum()))])
+
+
+def _reweighted(table: pd.DataFrame) -> pd.DataFrame:
+    """table: as for _step, binned by the core's model. The last model: with floors, for verdicts."""
+    table = table.sort_values("bin")
+    # The core's distances are those of its own covariance; the usual distance is that of the consistent one.
+    far = chi2_bar(1 - USUAL, DIMS) * (CORE / chi2_cdf(chi2_bar(1 - CORE, DIMS), DIMS + 2))
+    wanted = max(CORE * table["n"].sum(), table["n"][table["bin"] < math.floor(math.log1p(far) * BINS_A_UNIT)].sum())
+    mean, cov = _moments(table, wanted)
+    return pd.DataFrame([_flat(table["g"].iloc[0], 0, mean, _consistent(cov, max(CORE, min(USUAL, wanted / table["n"].sum()))) + np.diag(np.square(FLOOR)))])
 
 
 def _bar(table: pd.DataFrame) -> pd.DataFrame:
@@ -179,6 +221,43 @@ def _key(*cols: str) -> Column:
     return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cols))
 
 
+def _binned(data: DataFrame, model: DataFrame, rows: int) -> DataFrame:
+    bin_ = F.least(F.lit(LAST_BIN), F.floor(F.log1p(F.greatest(distance2(), F.lit(0.0))) * BINS_A_UNIT)).cast("int")
+    return join_counted(data, model, rows, ["g"]).withColumn("bin", bin_)
+
+
+def _summed(data: DataFrame, model: DataFrame, rows: int) -> DataFrame:
+    """g, start, bin, n, s, q: the vectors of each group and start, binned by their distances."""
+    sums = F.array(*(F.sum(F.col("x")[i]) for i in range(DIMS))).alias("s")
+    products = F.array(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS)).alias("q")
+    return _binned(data, model, rows).groupBy("g", "start", "bin").agg(F.count("*").alias("n"), sums, products)
+
+
+def cores(data: DataFrame, rows: int) -> DataFrame:
+    """Models of the cores of least determinant; data: g, x; rows: how many groups there may be."""
+    cells = data.select("g", F.posexplode("x").alias("dim", "v")).groupBy("g", "dim", F.floor(F.col("v") / GRID).alias("bin")).agg(F.count("*").alias("n"))
+    middle = cut(cells.groupBy("g").applyInPandas(_middle, "g string, middle array<double>, scale array<double>"))
+    z = [(F.col("x")[i] - F.col("middle")[i]) / F.col("scale")[i] for i in range(DIMS)]
+    length = F.sqrt(sum((F.col("z")[i] * F.col("z")[i] for i in range(1, DIMS)), F.col("z")[0] * F.col("z")[0]))
+    signed = join_counted(data, middle, rows, ["g"]).select("g", F.array(*z).alias("z")).withColumn("t", F.transform("z", F.tanh)).withColumn("u", F.transform("z", lambda x: F.when(length > 0, x / length).otherwise(0.0)))
+    both = lambda c: F.array(*(F.sum(F.col(c)[i] * F.col(c)[j]) for i, j in PAIRS))
+    model = cut(signed.groupBy("g").agg(both("t").alias("tanh"), both("u").alias("sign")).join(middle, "g").groupBy("g").applyInPandas(_starts, _MODEL))
+    stepped = lambda m: cut(_summed(data, m, 3 * rows).groupBy("g", "start").applyInPandas(_step, _MODEL))
+    for _ in range(FIRST_STEPS):
+        model = stepped(model)
+    best = F.min_by(F.struct("start", "m", "p", "det"), F.struct("det", "start"))
+    model = cut(model.groupBy("g").agg(best.alias("b")).select("g", "b.*"))
+    for _ in range(STEPS):
+        new = stepped(model)
+        fell = new.join(model.select("g", F.col("det").alias("before")), "g")
+        if fell.where(F.col("det") < F.col("before") - 1e-6).isEmpty():
+            break
+        old = model.select("g", *(F.col(c).alias(f"old_{c}") for c in ("start", "m", "p", "det")))
+        less = F.col("det") < F.col("old_det")
+        model = cut(new.join(old, "g").select("g", *(F.when(less, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in ("start", "m", "p", "det"))))
+    return model
+
+
 def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """stats: lang, source, the statistics, base_failed. Returns (language-source key -> group), models and their size."""
     good = stats.where("not base_failed").select(_key("lang", "source").alias("k"), _key("lang").alias("l"), F.array(*vector()).alias("x"))
@@ -188,17 +267,10 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     group = F.when(F.col("count") >= LEAST_GROUP, F.col("k")).when(F.col("pool") >= LEAST_GROUP, F.concat(F.lit("pool "), F.col("l"))).otherwise("pool")
     groups = cut(sizes.join(rest, "l", "left").select("k", group.alias("g")))
     data = cut(join_counted(good, groups, rows, ["k"]).select("g", "x"))
-    cells = data.select("g", F.posexplode("x").alias("dim", "v")).groupBy("g", "dim", F.floor(F.col("v") / GRID).alias("bin")).agg(F.count("*").alias("n"))
-    model = cut(cells.groupBy("g").applyInPandas(_start, _MODEL))
-    bin_ = F.least(F.lit(LAST_BIN), F.floor(F.log1p(F.greatest(distance2(), F.lit(0.0))) * BINS_A_UNIT)).cast("int")
-    sums = F.array(*(F.sum(F.col("x")[i]) for i in range(DIMS))).alias("s")
-    products = F.array(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS)).alias("q")
-    for _ in range(STEPS):
-        binned = join_counted(data, model, rows, ["g"]).withColumn("bin", bin_)
-        model = cut(binned.groupBy("g", "bin").agg(F.count("*").alias("n"), sums, products).groupBy("g").applyInPandas(_step, _MODEL))
-    distances = join_counted(data, model, rows, ["g"]).withColumn("bin", bin_).groupBy("g", "bin").agg(F.count("*").alias("n"))
-    model = cut(model.join(distances.groupBy("g").applyInPandas(_bar, "g string, bar double"), "g"))
-    least = data.groupBy("g").count().where(F.col("count") >= LEAST_GROUP).select("g")
+    model = cut(_summed(data, cores(data, rows), rows).groupBy("g").applyInPandas(_reweighted, _MODEL))
+    distances = _binned(data, model, rows).groupBy("g", "bin").agg(F.count("*").alias("n"))
+    model = cut(model.join(distances.groupBy("g").applyInPandas(_bar, "g string, bar double"), "g").select("g", "m", "p", "bar"))
+    least = data.groupBy("g").count().where(F.col("count") >= LEAST_POOL).select("g")
     return groups, model.join(least, "g", "left_semi"), rows
 
 
