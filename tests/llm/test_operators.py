@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -79,13 +80,49 @@ def test_simhash(docs):
     same(simhash.simhash_digests(docs), [(d, f"{f:016x}", least[find(f)]) for d, f in rows])
 
 
-def test_long_postings_keep_every_link():
+def test_lists_keep_every_link(spark):
     rng = np.random.default_rng(1)
-    fps = sorted({int(x) for x in rng.integers(0, 1 << 16, 300)})
-    joined = simhash.forest(fps, 0xFFFF)
-    root = dict(joined)
-    top = lambda x: root.get(x, x)
-    assert all(top(a) == top(b) for a in fps for b in fps if (a ^ b).bit_count() <= 2)
+    fps = np.unique(rng.integers(0, 1 << 16, 300).astype(np.int64))
+    for joined in (dict(simhash.probed_forest(fps, 0xFFFF)), dict(simhash.forest(fps, simhash.OPEN[-1]))):
+        top = lambda x: joined.get(x, x)  # noqa: B023, E731
+        assert all(top(i) == top(j) for i, a in enumerate(fps.tolist()) for j, b in enumerate(fps.tolist()) if (a ^ b).bit_count() <= 2)
+    # Bytes are tallied: candidates are the pairs of at least six equal positional bytes.
+    wide = rng.integers(0, 3, (80, 4)).astype(np.uint8)
+    rows = np.unique(np.concatenate([wide, np.full((80, 4), 7, np.uint8)], axis=1).view(np.uint64).ravel())
+    i, j = simhash.tallied(rows, 0xFFFFFFFF)
+    by = rows.view(np.uint8).reshape(-1, 8)
+    assert set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True)) == {(x, y) for x in range(len(rows)) for y in range(x + 1, len(rows)) if (by[x] == by[y]).sum() >= 6}
+    # Short and long lists join the same: clusters around a few centres, over several batches.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    centres = rng.integers(-(1 << 63), 1 << 63, 6)
+    near = {int(c) ^ int(np.int64(sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 4), replace=False)))) for c in centres for _ in range(150)}
+    table = spark.createDataFrame([(x,) for x in near], "fp long").repartition(3)
+    all_ = sorted(near)
+    root = {x: x for x in all_}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(all_):
+        for y in all_[a + 1 :]:
+            if ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 2:
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    for short in (1, 7, 10_000):
+        edges = simhash.links(table, short).collect()
+        assert all(((r.a ^ r.b) & 0xFFFFFFFFFFFFFFFF).bit_count() >= 1 and find(r.a) == find(r.b) for r in edges)
+        mine = {x: x for x in all_}
+
+        def own(x):
+            while mine[x] != x:  # noqa: B023
+                x = mine[x]  # noqa: B023
+            return x
+
+        for r in edges:
+            mine[max(own(r.a), own(r.b))] = min(own(r.a), own(r.b))
+        assert all((own(x) == own(y)) == (find(x) == find(y)) for x in all_ for y in all_[:40])
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_near_copies_leave_one(docs, spark):
@@ -106,8 +143,13 @@ def test_bpe(docs):
         want.append((d, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
     same(bpe.bpe_digests(docs, tokenizer_path()), want)
     codec = bpe.BpeCodec(tokenizer_path())
-    for x in ("ΑΣ ΟΔΟΣ<|endoftext|>b", "a" * 3000, "don't I'LL", "".join(map(chr, range(1, 700)))):
-        assert codec.encode(x) == t.encode(x, add_special_tokens=False).ids
+    odd = ["ΑΣ ΟΔΟΣ<|endoftext|>b", "a" * 3000, "don't I'LL", "".join(map(chr, range(1, 700))), "Bakı Əli", " \x00.", " Ɓ."]
+    # Every code point of the fast path, and some beyond, between letters, digits, marks and special tokens.
+    points = [*range(0x250), *range(0x2010, 0x2028), 0x259, 0x301, 0x1E9E, 0x2C65]
+    odd += [f"{a}{chr(c)}{b}" for c in points for a, b in (("a", "b"), ("1", "2"), ("'", "s"), (" ", "."), ("<|endoftext|>", "Z"))]
+    for x in odd:
+        assert codec.encode(x) == t.encode(x, add_special_tokens=False).ids, ascii(x)
+        assert codec.digest(x)[2] == sha(t.decode(t.encode(x, add_special_tokens=False).ids, skip_special_tokens=False)), ascii(x)
 
 
 def test_quality_statistics(docs):
@@ -161,6 +203,25 @@ def test_ball_tree(spark):
             best = sorted((-int(v @ x), i) for i, x in rows if i != q)[:10]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     same(balltree.top_inner_products(table), want)
+    assert balltree.top_inner_products(table.where("false")).count() == 0
+
+
+def test_ball_tree_over_shards(spark, monkeypatch):
+    """Many shards, blocks and lanes; ties of more than k rows, repeated ids, clashing columns, scores beyond long."""
+    for name, value in (("SHARD_ROWS", 40), ("BLOCK_ROWS", 8), ("BLOCKS_A_TASK", 2), ("LEAF", 4)):
+        monkeypatch.setattr(balltree, name, value)
+    rng = np.random.default_rng(7)
+    rows = [(int(i) * 100, rng.normal(size=6).round(3).tolist()) for i in range(150)]  # every id is a query
+    rows += [(7, [0.5] * 6)] * 15 + [(i, [0.25] * 6) for i in range(8, 40)] + [(1, [1e18, -1e18, 1e17, 0.0, 0.0, 0.0]), (2, [-1e300] * 6)]
+    table = spark.createDataFrame([(*r, 0, 1, 2, 3, 4) for r in rows], "vec_id long, embedding array<double>, shard int, block int, rank int, score int, v int")
+    low, high = -(1 << 63), (1 << 63) - 1
+    whole = [(i, [min(max(math.floor(1024 * x), low), high) for x in v]) for i, v in rows]
+    want = []
+    for q, v in whole:
+        if q % 100 == 0:
+            best = sorted((-min(max(sum(a * b for a, b in zip(v, x, strict=True)), low), high), i) for i, x in whole if i != q)[:10]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    same(balltree.top_inner_products(table), want)
 
 
 def test_secrets(docs, spark):
@@ -276,6 +337,17 @@ def test_shards_of_the_mix_are_dealt(spark):
         assert slots > 2 * mixing.SHARD_SLOTS and abs(n - of * share) <= 5 * (of * share * (1 - share)) ** 0.5
     plan = {(r.shard, r.slot): r.words for r in mixing.slots(mixing.source_targets(mixing._sized(docs))).collect()}
     assert plan == dict(words)
+    # Draws are reconciled: each source fills the slots of its plan, and each pass takes a block once.
+    targets = mixing.source_targets(mixing._sized(docs))
+    filled = mixing.slots(targets).collect()
+    wanted = {r.s: (r.n, r.a_pass) for r in mixing.slot_plan(targets).collect()}
+    assert Counter(r.s for r in filled) == {s: n for s, (n, _) in wanted.items()}
+    assert len({(r.s, r["pass"], r.block) for r in filled}) == len(filled)
+    assert all({r.block for r in filled if (r.s, r["pass"]) == (s, 0)} == set(range(a)) for s, (n, a) in wanted.items() if n >= a)
+    drawn = Counter()
+    for r in mixing.drawn_counts(mixing.slot_plan(targets), slots, len(wanted)).collect():
+        drawn[r.s] += r.c
+    assert sum(drawn.values()) == slots and drawn != Counter(r.s for r in filled)
     mixed = mixing.mixed_documents(docs).collect()
     assert Counter((p.shard, p.slot) for r in mixed for p in r.places for _ in range(p.n)) == words
     assert all(sum(p.n for p in r.places) == len(WORD.findall(r.text)) for r in mixed)
@@ -306,3 +378,158 @@ def test_secrets_joined_to_their_surroundings(spark):
     rows = [(1, f"see my-{a} there"), (2, f"sk-{b} there"), (3, f"at bucket/{c} there"), (4, "one/of-the/and-then/there-was/a-word/and-the/end-1 there")]
     got = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: f"random:7:{7 + len(a)}", 2: f"random:3:{3 + len(b)}", 3: f"random:10:{10 + len(c)}", 4: ""}
+
+
+def test_licences_of_empty_and_tiny_tables(spark):
+    rows = [(1, None), (2, "Released under the MIT License.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert licenses.license_verdicts(docs.where("false")).count() == 0
+    got = {r.doc_id: r for r in licenses.license_verdicts(docs).collect()}
+    assert (got[1].n_paragraphs, got[1].families) == (0, "") and (got[2].n_cued, got[2].n_confirmed + got[2].n_unknown) == (1, 1)
+
+
+def test_licence_scores_equal_plain_sums(docs, spark):
+    lines = ["Licensed under the MIT License, as is usual.", "permission is hereby granted free of charge to any person", "a licence for the garden", "GNU General Public License version 3", "copyright"]
+    model = licenses.train(docs.select(F.explode(F.split("text", "\n")).alias("line")))
+    weights = {r.gram: r.w for r in model.weights.collect()}
+    assert len(model.bias) == len(model.classes) == len(licenses.TEMPLATES) + 1
+    table = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "r long, j int, line string")
+    got = {r.r: r for r in licenses._classified(table, model).collect()}
+    for i, x in enumerate(lines):
+        words = re.findall("[a-z0-9]+", x.lower())
+        own = {*words, *(" ".join(words[k : k + 2]) for k in range(len(words) - 1))} & set(weights)
+        if not own:
+            assert i not in got
+            continue
+        z = np.array(model.bias) + sum(np.array(weights[g]) for g in sorted(own))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i].family == model.classes[int(z.argmax())] and abs(got[i].p - p.max()) < 1e-9
+    # The template step, by sets: hard-wrapped lines of a notice share their 3-grams with it.
+    three = lambda t: {tuple(w[i : i + 3]) for w in [re.findall("[a-z0-9]+", t.lower())] for i in range(len(w) - 2)}
+    wrapped = ["of this software and associated documentation files, to deal in the Software without restriction", "free of charge, to any person obtaining a copy of this software and", "nothing of the kind is said in here", "All rights reserved."]
+    rows = spark.createDataFrame([(i, 0, x, f) for i, x in enumerate(wrapped) for f in ["mit"]], "r long, j int, line string, family string")
+    want = lambda texts: {i for i, x in enumerate(wrapped) if any(three(x) and three(t) and len(three(x) & three(t)) >= licenses.OVERLAP * min(len(three(x)), len(three(t))) for t in texts)}
+    assert {r.r for r in licenses._confirmed(rows).collect()} == want(licenses.TEMPLATES["mit"]) == {0, 1}
+    assert {r.r for r in licenses._confirmed(rows, any_family=True).collect()} == want([t for x in licenses.TEMPLATES.values() for t in x]) == {0, 1, 3}
+    said = spark.createDataFrame([(9400 + i, x) for i, x in enumerate(wrapped)], "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.license_verdicts(docs.select("doc_id", "text").union(said)).where("doc_id >= 9400").collect()}
+    assert [found[9400 + i].n_confirmed + found[9400 + i].n_unknown for i in range(4)] == [1, 1, 0, 1]
+
+
+def test_lines_equal_a_plain_suffix_array(spark):
+    rng = np.random.default_rng(8)
+    rows, say = [], [f"line {i}" for i in range(40)]
+    for i in range(30):
+        row = [say[x] for x in rng.integers(0, 40, int(rng.integers(0, 25)))]
+        if i % 3 == 0:
+            row[5:5] = say[3:14]  # a run of eleven lines
+        if i % 5 == 0:
+            row.append("a line of eight words that comes back again")
+        rows.append((i // 2 if i < 10 else i, "\n\n".join(row)))
+    rows += [(100, "same\n" * 37), (101, "same\n" * 21), (102, rows[3][1]), (102, rows[3][1]), (103, None), (104, " \n\t"), (None, rows[4][1])]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, __qs_kept int")
+    # Suffixes of all sequences, sorted; the longest prefix shared with an earlier suffix is that of neighbours in the array.
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, xxhash_key(spark, rows[r][1]), r))
+    seqs = {r: [x for x in (rows[r][1] or "").split("\n") if x.strip()] for r in order}
+    suffixes = sorted(((tuple(seqs[r][p:]), at, p) for at, r in enumerate(order) for p in range(len(seqs[r]))))
+    gone = {at: set() for at in range(len(order))}
+    lcp = [next((k for k, (x, y) in enumerate(zip(a[0], b[0], strict=False)) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+    for n, (words, at, p) in enumerate(suffixes):
+        best = 0
+        for step in (-1, 1):
+            low, m = 1 << 30, n
+            while 0 <= m + step < len(suffixes):
+                low = min(low, lcp[m if step > 0 else m - 1])
+                m += step
+                if low <= best:
+                    break
+                if suffixes[m][1:] < (at, p):
+                    best = low
+                    break
+        if best >= 2:
+            gone[at].update(range(p, p + best))
+        elif best == 1 and len(words[0].split()) >= 8:
+            gone[at].add(p)
+    want = sorted((str(rows[r][0]), len(seqs[r]), len(gone[at])) for at, r in enumerate(order))
+    got = lines.remove_repeated_lines(docs).collect()
+    assert sorted((str(r.doc_id), r["__qs_lines"], r["__qs_removed"]) for r in got) == want and sum(x[2] for x in want) > 100
+    # Maximal runs come out whole: the eleven lines are one run.
+    two = spark.createDataFrame([(1, "\n".join(say[:30])), (2, "\n".join([*say[30:], *say[5:16], *say[30:33]]))], "doc_id long, text string")
+    assert [[tuple(x) for x in r.runs] for r in lines.repeated_runs(two, lines.copies(two)).collect()] == [[(10, 23)]]
+
+
+def xxhash_key(spark, text):
+    return [r[0] for r in spark.createDataFrame([(text or "",)], "t string").select(F.explode(F.array(*lines.text_key(F.col("t")))))  .collect()]
+
+
+def planted_tokens(rng):
+    words = "report quarterly customer invoice network account balance service transfer holder section agreement capital market value review".split()
+    pick = lambda n: [words[x] for x in rng.integers(0, len(words), n)]
+    ordinary = []
+    for _ in range(300):
+        n = str(rng.integers(0, 3000))
+        ordinary.append("".join(w.capitalize() for w in pick(4)) + n)
+        ordinary.append("-".join(pick(4)) + "-" + n)
+    random = {}
+    for name, letters in secrets.ALPHABETS:
+        for size in (20, 24, 32, 48, 64):
+            made = ["".join(rng.choice(list(letters), size)) for _ in range(60)]
+            random[name, size] = [x for x in made if any(c.isdigit() for c in x) and secrets.infer_encoding(x) == name]
+    return [x for x in ordinary if len(x) >= 20], random
+
+
+def secret_figures(spark, docs, seed=12):
+    """False discoveries among all discoveries, and the share of planted random tokens found by encoding and length."""
+    ordinary, random = planted_tokens(np.random.default_rng(seed))
+    rows = [(-1 - i, f"it says {x} there") for i, x in enumerate(ordinary)]
+    of = {}
+    for key, tokens in random.items():
+        for x in tokens:
+            of[-100_000 - len(of)] = key
+            rows.append((-100_000 - len(of) + 1, f"it says {x} there"))
+    got = secrets.scan_secrets(docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id < 0").collect()
+    found = {r.doc_id for r in got if r.spans}
+    wrong = sum(i > -100_000 for i in found)
+    share = {}
+    for i, key in of.items():
+        n, hit = share.get(key, (0, 0))
+        share[key] = (n + 1, hit + (i in found))
+    return wrong, len(found), {key: hit / n for key, (n, hit) in share.items()}
+
+
+def test_false_discoveries_stay_at_the_rate(docs, spark):
+    wrong, found, share = secret_figures(spark, docs)
+    assert found > 500 and wrong <= 0.02 * found
+    assert all(x >= 0.9 for (name, size), x in share.items() if size >= 48), share
+
+
+def test_cores_have_the_least_determinant(spark):
+    """Against plain concentration steps from many random starts; a fifth of each group lies apart, some of it in a lump."""
+    rng = np.random.default_rng(15)
+    groups = {}
+    for g in range(3):
+        mix = rng.normal(size=(5, 5))
+        near = rng.normal(size=(160, 5)) @ mix
+        far = np.concatenate([rng.normal(size=(20, 5)) @ mix * 6, rng.normal(size=(20, 5)) * 0.1 + 5 * mix.sum(axis=0)])
+        groups[f"g{g}"] = np.concatenate([near, far])
+    data = spark.createDataFrame([(g, x.tolist()) for g, rows in groups.items() for x in rows], "g string, x array<double>")
+    models = {r.g: r for r in quality.cores(data, 3).collect()}
+    for g, x in groups.items():
+        h, best = int(quality.CORE * len(x)), np.inf
+        for _ in range(200):
+            own = x[rng.permutation(len(x))[:8]]
+            for _ in range(30):
+                m, c = own.mean(axis=0), np.cov(own.T, bias=True) + quality.GUARD * np.eye(5)
+                own = x[np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), kind="stable")[:h]]
+            found = np.linalg.slogdet(np.cov(own.T, bias=True) + quality.GUARD * np.eye(5))[1]
+            if found < best:
+                best, mean = found, own.mean(axis=0)
+        assert models[g].det <= best + 0.1
+        assert np.abs((np.array(models[g].m) - mean) / x[:160].std(axis=0)).max() < 0.15
+    # What lies apart is rejected, the rest stays.
+    rows = 3
+    last = {r.g: r for r in quality._summed(data, quality.cores(data, rows), rows).groupBy("g").applyInPandas(quality._reweighted, quality._MODEL).collect()}
+    for g, x in groups.items():
+        gap = x - np.array(last[g].m)
+        d = sum(p * gap[:, i] * gap[:, j] for p, (i, j) in zip(last[g].p, quality.PAIRS, strict=True))
+        assert np.median(d[:160]) < 6 and d[180:].min() > np.quantile(d[:160], 0.95)
