@@ -39,11 +39,13 @@ def text_key(text: Column) -> list[Column]:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is set (local tests) make one."""
+    """Use the cluster's shared folder; only where the driver is the whole cluster (local tests) and none is set, make one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillstrata-checkpoints-"))
 
 

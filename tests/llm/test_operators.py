@@ -533,3 +533,67 @@ def test_cores_have_the_least_determinant(spark):
         gap = x - np.array(last[g].m)
         d = sum(p * gap[:, i] * gap[:, j] for p, (i, j) in zip(last[g].p, quality.PAIRS, strict=True))
         assert np.median(d[:160]) < 6 and d[180:].min() > np.quantile(d[:160], 0.95)
+
+
+def test_pipeline_stages_against_plain_python(docs, spark):
+    """Each stage on what the one before it kept, against plain rules; run() gives the same rows as the stages by themselves."""
+    from tokenizers import Tokenizer
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    now = docs.select(*names).cache()
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    took = [now]
+    for _, stage in corpus_pipeline.STAGES:
+        took.append(stage(spark, took[-1], DATA).cache())
+    judged = {(r.doc_id, r.n_words): r.kept for r in quality.quality_verdicts(now).collect()}
+    assert rows(took[1]) == sorted(str(tuple(r)) for r in now.collect() if judged[r.doc_id, len(WORD.findall(r.text or ""))])
+    con = duckdb.connect()
+    con.register("documents", took[1].select("doc_id", "text").toArrow())
+    want = con.sql(lines.LINE_SQL.replace("SELECT doc_id, count(gone)", "SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL OR NOT gone) AS kept, count(gone)")).fetchall()
+    assert sorted((r.doc_id, r.text or "") for r in took[2].collect()) == sorted((x[0], x[1] or "") for x in want)
+    texts = [(r.doc_id, r.text or "") for r in took[2].collect()]
+    sets = [set(simhash_wide.shingle_hashes(t).tolist()) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = {}
+    for i, x in enumerate(sets):
+        for h in x:
+            by.setdefault(h, []).append(i)
+    for i, j in {(a, b) for group in by.values() for k, a in enumerate(group) for b in group[k + 1 :]}:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[find(i)] = find(j)
+    empty = [i for i, x in enumerate(sets) if not x]
+    for i in empty:
+        root[find(i)] = find(empty[0])
+    least = {}
+    for i, (d, _) in enumerate(texts):
+        least[find(i)] = min(d, least.get(find(i), d))
+    assert sorted(r.doc_id for r in took[3].collect()) == sorted(least.values())
+    words = {r.doc_id: WORD.findall(r.text or "") for r in took[3].collect()}
+    taken = Counter()
+    for r in took[4].collect():
+        taken[r.doc_id] += sum(p.n for p in r.places)
+        own = words[r.doc_id]
+        said = [x for p in r.places for x in own[p.from_word : p.from_word + p.n]]
+        assert WORD.findall(r.text) == said
+    assert {d: n for d, n in taken.items() if n} == {r.doc_id: r.taken for r in mixing.mix_report(took[3]).collect() if r.taken}
+    t = Tokenizer.from_file(tokenizer_path())
+    want = []
+    for r in took[4].collect():
+        ids = t.encode(r.text, add_special_tokens=False).ids
+        want.append(str((r.doc_id, len(ids), ids, sha(t.decode(ids, skip_special_tokens=False)))))
+    assert sorted(want) == rows(took[5].select("doc_id", "n_tokens", "ids", "decoded_sha256"))
+    assert took[4].count() > 50
+    assert rows(corpus_pipeline.run(spark, DATA)) == rows(_through(spark))
+
+
+def _through(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA).cache()
+    return docs
