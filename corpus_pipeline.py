@@ -40,16 +40,22 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("source mix", source_mix), ("bpe encoding", bpe_encoding)]
 
-#: The stages' statistics, fingerprints, permutations and merges are beyond SQL; tests hold run() against plain Python.
+#: The stages' statistics, fingerprints, permutations and merges are beyond SQL; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again."""
+    """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again.
+
+    A stage's rows are removed when the next stage's are written; the last stage's stay, for what is returned reads them.
+    """
     ready_checkpoints(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
