@@ -134,7 +134,8 @@ def train(ordinary: DataFrame) -> LicenseModel:
     few = picked.join(_confirmed(picked.select(F.col("n").alias("r"), F.lit(0).alias("j"), "line", F.lit("").alias("family")), any_family=True), F.col("n") == F.col("r"), "left_anti")
     own = few.select(F.lit(OTHER).alias("family"), F.pmod(F.xxhash64("line", F.lit(1)), F.lit(2)).cast("int").alias("fold"), F.slice(tokens(F.col("line")), 1, 60).alias("w"), F.lit(True).alias("whole"))
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    labelled = cut(_variants(templates).unionByName(own).select(place.cast("double").alias("label"), "fold", "whole", grams(F.col("w")).alias("grams")))
+    # SAMPLE_ROWS and the templates bound these rows, and every step of a fit is a job over them: one task each.
+    labelled = cut(_variants(templates).unionByName(own).select(place.cast("double").alias("label"), "fold", "whole", grams(F.col("w")).alias("grams")).coalesce(1))
     counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2.0, binary=True).fit(labelled.where("label < " + str(len(classes) - 1)))
     data = cut(counted.transform(labelled).select("label", "fold", "whole", "features"))
     points: dict[int, list[int]] = {}
