@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstrata.functions.text import nfkc, normalize_space, strip
+from quillstrata.functions.text import nfc, normalize_space, strip
 
 # Characters and patterns of parsed filings.
 SPACES, DROPPED = "\u00a0\u202f", "\ufeff\u200b\u200c\u200d\u2060\u00ad"
@@ -15,13 +15,13 @@ WORD = r"(?U)\b[\w'-]+\b"
 UNIT = r"(?i)\b(?:(?:amounts?|dollars)\s+in|in)\s+(?:thousands|millions|billions)(?:\s+of\s+(?:u\.s\.\s+)?dollars)?\b"
 NAVIGATION_TITLES = ("table of contents", "form 10-k cross-reference index")
 IGNORED_SECTIONS = ("forward looking statements", "table of contents")
-ITEM, ITEM_START, PAGE_END = r"(?i)\bitem\s+\d{1,2}[a-c]?\b", r"(?i)^item\s+(\d{1,2}[a-c]?)\s*[.:]", r"(?:\||\s)\d{1,3}\s*$"
+ITEM, ITEM_START, PAGE_END = r"(?i)\bitem\s+\d{1,2}[a-c]?\b", r"(?i)^item\s+(\d{1,2}[a-c]?)(?:\s*[.\-:–—]|\s|$)", r"(?:\||\s)\d{1,3}\s*$"
 SHORT = 120
 
 
 def clean(text: Column, compose: bool = False) -> Column:
-    """Zero-width characters and soft hyphens dropped, white space normalised; compose: compatibility composition first."""
-    return normalize_space(F.translate(nfkc(text) if compose else text, SPACES + DROPPED, " " * len(SPACES)))
+    """Zero-width characters and soft hyphens dropped, white space normalised; compose: canonical composition first."""
+    return normalize_space(F.translate(nfc(text) if compose else text, SPACES + DROPPED, " " * len(SPACES)))
 
 
 def _lines(text: Column) -> Column:
@@ -81,14 +81,19 @@ def table_context(section: Column, header: Column, description: Column) -> Colum
     return F.nullif(F.concat_ws("\n", *(F.concat(F.lit(f"{n}: "), v) for n, v in lines)), F.lit(""))
 
 
-def filled_items(elements: DataFrame) -> DataFrame:
-    """elements: doc, place, text. Adds item: the last one that began at or before the row.
+def item_starts(elements: DataFrame) -> DataFrame:
+    """elements: doc, place, text. Adds started: the item's number, in upper case, that begins at the row, or null.
 
     A heading may be spread over up to three elements, together of at most 120 characters.
     """
     order = Window.partitionBy("doc").orderBy("place")
     joined = lambda n: clean(F.replace(F.concat_ws(" ", *(F.lead("text", i).over(order) if i else F.col("text") for i in range(n))), F.lit("|"), F.lit(" ")))
     found = lambda n: F.when(F.length(F.col(f"__qs_{n}")) <= SHORT, F.nullif(F.upper(F.regexp_extract(f"__qs_{n}", ITEM_START, 1)), F.lit("")))
-    rows = elements.withColumns({f"__qs_{n}": joined(n) for n in (1, 2, 3)}).withColumn("__qs_item", F.coalesce(*(found(n) for n in (1, 2, 3))))
-    item = F.last("__qs_item", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("item", F.concat(F.lit("Item "), item)).drop("__qs_1", "__qs_2", "__qs_3", "__qs_item")
+    rows = elements.withColumns({f"__qs_{n}": joined(n) for n in (1, 2, 3)}).withColumn("started", F.coalesce(*(found(n) for n in (1, 2, 3))))
+    return rows.drop("__qs_1", "__qs_2", "__qs_3")
+
+
+def filled_items(elements: DataFrame) -> DataFrame:
+    """elements: doc, place, text. Adds item: the last one that began at or before the row."""
+    upto = Window.partitionBy("doc").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return item_starts(elements).withColumn("item", F.concat(F.lit("Item "), F.last("started", ignorenulls=True).over(upto))).drop("started")

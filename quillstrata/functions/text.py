@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Patterns of filings.
-TOKEN = r"(?U)(?<!\w)[a-z0-9]+(?:[._-][a-z0-9]+)*%?(?!\w)"
+# The text is in lower case, so a capital can stand for any letter beyond ASCII: \w need not know Unicode.
+TOKEN = r"(?<!\w)[a-z0-9]+(?:[._-][a-z0-9]+)*%?(?!\w)"
+BEYOND_ASCII = r"[^\x00-\x7F]"
+WIDE_WORD = r"[[^\x00-\x7F]&&[\p{L}\p{N}]]"
 SEC_ITEM = r"(?im)^(?:\*\*|__)?\s*item\s+(\d{1,2}[a-c]?)\s*[.:]"
 SECTION_TITLE = r"^\s*(?:\*\*|__)([^*\n]{1,160})(?:\*\*|__)"
 NAVIGATION = ("**form 10-k index**", "form 10-k index", "**table of contents**", "table of contents")
@@ -20,12 +23,19 @@ VALUE = r"(?i)^(?:[$€£¥]\s*)?\(?[-+]?\d[\d,\s]*(?:\.\d+)?\)?\s*(?:%|x|bps)?\
 BLANK_VALUES = ("-", "—", "–", "nm", "n/m", "na", "n/a", "yes", "no")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import unicodedata
+def _normalized(form: str):
+    @F.pandas_udf(T.StringType())
+    def normal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import unicodedata
 
-    for s in batches:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+        for s in batches:
+            yield s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+
+    return normal
+
+
+#: Compatibility composition, and canonical composition alone, as pandas UDFs.
+nfkc, nfc = _normalized("NFKC"), _normalized("NFC")
 
 
 def strip(text: Column) -> Column:
@@ -36,14 +46,25 @@ def normalize_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-def normalize_lexical(text: Column, compose: bool = False) -> Column:
-    """Dashes to hyphens, commas between digits removed; compose: NFKC first (a pandas UDF; ASCII text doesn't need it)."""
-    plain = F.translate(nfkc(text) if compose else text, "–—", "--")
+# Characters beyond these may change by compatibility composition; most texts hold none.
+NFKC_STABLE = r"\x00-\x9F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u2010\u2012-\u2015\u2018-\u2022\u20AC"
+
+
+def composed(text: Column) -> Column:
+    """NFKC; only texts that it may change go through the pandas UDF."""
+    return F.coalesce(nfkc(F.when(text.rlike(f"[^{NFKC_STABLE}]"), text)), text)
+
+
+def normalize_lexical(text: Column, compose: bool = True) -> Column:
+    """NFKC (left out without compose), dashes to hyphens, commas between digits removed."""
+    plain = F.translate(composed(text) if compose else text, "–—", "--")
     return F.regexp_replace(plain, r"(?<=\d),(?=\d)", "")
 
 
-def financial_tokens(text: Column, compose: bool = False) -> Column:
-    return F.regexp_extract_all(F.lower(normalize_lexical(text, compose)), F.lit(TOKEN), F.lit(0))
+def financial_tokens(text: Column, compose: bool = True) -> Column:
+    low = F.lower(normalize_lexical(text, compose))
+    plain = F.when(low.rlike(BEYOND_ASCII), F.regexp_replace(low, WIDE_WORD, "A")).otherwise(low)
+    return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
 
 
 def is_navigation(text: Column) -> Column:

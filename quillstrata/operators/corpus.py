@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.functions import matrices as M
 from quillstrata.functions import text as X
+from quillstrata.operators import descriptions
 from quillstrata.operators.folds import Counter, bounded_parts, counted, fold_runs, segment_runs
 from quillstrata.operators.records import corpus_violations, word_tokens
 
@@ -68,7 +69,7 @@ def _described(rows: DataFrame) -> DataFrame:
         "xbrl_tags": F.array_sort(F.array_distinct("xbrl_tags")), "chunk_variant": F.lit("structure_aware"), "chunker_version": F.lit(VERSION), "retrieval_eligible": F.lit(True),
     })
     text = X.embedding_text(F.col("ticker"), F.col("legal_name"), F.col("report_date"), F.col("record_type"), F.col("page_start"), F.col("page_end"), F.col("document"), F.col("section_title"))
-    kept = (*FILING, *SPAN, "element_ids", "xbrl_tags", "sec_item", "sec_item_source", "sec_item_confidence", "section_title", "chunk_variant", "chunker_version", "retrieval_eligible", "record_type", "text_kind", "table_id", "table_index", "table_type")
+    kept = (*FILING, *SPAN, "element_ids", "xbrl_tags", "sec_item", "sec_item_source", "sec_item_confidence", "section_title", "chunk_variant", "chunker_version", "retrieval_eligible", "record_type", "text_kind", "table_id", "table_index", "table_type", "description_provenance")
     return rows.select("record_id", "target_chunk_id", "record_type", text.alias("embedding_text"), "document", F.struct(*kept).alias("metadata"))
 
 
@@ -107,24 +108,27 @@ def _tables(elements: DataFrame, grids: DataFrame | None) -> DataFrame:
     return made.withColumns({"retrieval_eligible": ~F.col("table_type").isin(*NOT_SEARCHED), "element_ids": F.array("id"), "xbrl_tags": F.col("tags")})
 
 
-def build_corpus(filings: DataFrame, pages: DataFrame, count: Counter = word_tokens, grids: DataFrame | None = None, synopsis: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def build_corpus(filings: DataFrame, pages: DataFrame, count: Counter = word_tokens, grids: DataFrame | None = None, synopsis: Callable[[Column, Column], Column] | None = None, describe: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """chunks (record_id, target_chunk_id, record_type, embedding_text, document, metadata) and tables (table_id,
     table_index, table_type, retrieval_eligible, document, cell_matrices, metadata).
 
     grids: accession_number, id, grids (cells of HTML tables; markdown is parsed where they are absent). synopsis: from a
-    table's document and its description to a text that is added to the description.
+    table's document and its description to a text that is added to the description. describe: descriptions.described with
+    its mode and client bound; what it says replaces the description, and its provenance is in the metadata.
     """
     about = filings.select(*FILING, "legal_name")
     elements = ordered_elements(pages).where("content <> '' or kind = 'table'")
     texts = _text_chunks(elements, count).join(about, "accession_number")
     own = X.chunk_id(F.col("accession_number"), "structure_aware", F.col("child_key"), F.col("element_ids"), F.col("document"))
-    nothing = {"table_id": F.lit(None).cast("string"), "table_index": F.lit(None).cast("int"), "table_type": F.lit(None).cast("string")}
+    nothing = {"table_id": F.lit(None).cast("string"), "table_index": F.lit(None).cast("int"), "table_type": F.lit(None).cast("string"), "description_provenance": F.lit(None).cast(descriptions.PROVENANCE)}
     texts = texts.withColumns({"target_chunk_id": own, "record_type": F.lit("text"), "section_title": X.section_title(F.col("document")), **nothing}).withColumn("record_id", F.concat(F.lit("structure_aware::"), F.col("target_chunk_id")))
     tables = _tables(elements, grids).join(about, "accession_number")
     said = M.table_description(F.col("content"), F.col("cell_matrices"))
     if synopsis is not None:
         said = F.concat(said, F.lit("\nLLM synopsis: "), synopsis(F.col("content"), said))
-    searched = tables.where("retrieval_eligible").withColumns({"record_id": F.concat(F.lit("structure_aware::table::"), F.col("table_id")), "target_chunk_id": F.col("table_id"), "record_type": F.lit("table"), "text_kind": F.lit(None).cast("string"), "document": said})
+    eligible = tables.where("retrieval_eligible")
+    told = (describe or descriptions.described)(eligible.select("table_id", said.alias("local"), "content", "ticker", "report_date", "section_title", "page_start", "page_end"))
+    searched = eligible.join(told, "table_id").withColumns({"record_id": F.concat(F.lit("structure_aware::table::"), F.col("table_id")), "target_chunk_id": F.col("table_id"), "record_type": F.lit("table"), "text_kind": F.lit(None).cast("string"), "document": F.col("description"), "description_provenance": F.col("provenance")})
     meta = F.struct(*FILING, *SPAN, "element_ids", F.array_sort(F.array_distinct("xbrl_tags")).alias("xbrl_tags"), "section_title", F.col("element_index").alias("source_element_index"), F.col("id").alias("table_element_id"))
     store = tables.select("table_id", "table_index", "table_type", "retrieval_eligible", F.col("content").alias("document"), "cell_matrices", meta.alias("metadata"))
     return _described(texts).unionByName(_described(searched)), store

@@ -42,13 +42,14 @@ def latest_filings(feeds: DataFrame, form: str = "10-K") -> DataFrame:
     return rows.withColumns({"source_url": F.concat(F.lit(ARCHIVE), F.col("cik").cast("long").cast("string"), F.lit("/"), place), "local_html_path": F.concat_ws("/", "cik", place)}).drop("accession_path")
 
 
-def fetched(rows: DataFrame, fetch: Callable[[str], bytes], per_second: float = 5.0) -> DataFrame:
-    """Adds content (binary) from source_url. The rate is of each task, so coalesce first to bound it over all.
+def fetched(rows: DataFrame, fetch: Callable[[str], bytes], per_second: float = 5.0, tasks: int = 1) -> DataFrame:
+    """Adds content (binary) from source_url, in so many tasks, whose shares of the rate make it hold over all of them.
 
     A failed fetch gives a null content and its message in error; the others go on.
     """
-    if not 0 < per_second <= 10:
-        raise ValueError("per_second must be above 0 and at most 10")
+    if not 0 < per_second <= 10 or tasks < 1:
+        raise ValueError("per_second must be above 0 and at most 10, tasks at least 1")
+    rows = rows.repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -59,13 +60,25 @@ def fetched(rows: DataFrame, fetch: Callable[[str], bytes], per_second: float =
                     got.append((fetch(url), None))
                 except Exception as failed:
                     got.append((None, f"{type(failed).__name__}: {failed}"))
-                time.sleep(max(0.0, 1 / per_second - (time.monotonic() - began)))
+                time.sleep(max(0.0, tasks / per_second - (time.monotonic() - began)))
             yield pdf.assign(content=[c for c, _ in got], error=[e for _, e in got])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, f"{fields}, content binary, error string")
 
 
+# Where a company's feed is, and the fields of a feed that are read.
+FEED = "https://data.sec.gov/submissions/CIK{cik}.json"
+FEED_SCHEMA = "tickers array<string>, filings struct<recent:struct<form:array<string>,accessionNumber:array<string>,filingDate:array<string>,reportDate:array<string>,primaryDocument:array<string>>>"
+
+
+def parsed_feeds(fetched_rows: DataFrame) -> DataFrame:
+    """fetched_rows: cik, ticker, legal_name, content (JSON bytes), error. What latest_filings reads, of the rows that came."""
+    feed = F.from_json(F.decode("content", "UTF-8"), FEED_SCHEMA, {"mode": "FAILFAST"})
+    rows = fetched_rows.where("error is null").withColumn("feed", feed)
+    return rows.select("cik", "ticker", "legal_name", F.col("feed.tickers").alias("tickers"), F.col("feed.filings.recent").alias("recent"))
+
+
 def merge_manifest(old: DataFrame, new: DataFrame, registry: DataFrame) -> DataFrame:
     """New rows replace old ones by ticker; only enabled companies stay; place is that of the registry (ticker, enabled, place)."""
     both = old.withColumn("__qs_age", F.lit(0)).unionByName(new.withColumn("__qs_age", F.lit(1)))
@@ -74,6 +87,12 @@ def merge_manifest(old: DataFrame, new: DataFrame, registry: DataFrame) -> DataF
     return both.withColumn("__qs_n", F.row_number().over(order)).where("__qs_n = 1").drop("__qs_n", "__qs_age").join(F.broadcast(registry.where("enabled").select("ticker", "place")), "ticker")
 
 
+def excluded(rows: DataFrame, *tickers: str) -> DataFrame:
+    """Rows of other tickers than these (each may list several, comma-separated); a null ticker stays."""
+    out = sorted({t.strip().upper() for a in tickers for t in a.split(",") if t.strip()})
+    return rows.where(~F.coalesce(F.upper("ticker").isin(*out), F.lit(False))) if out else rows
+
+
 def chosen(rows: DataFrame, *asked: str) -> DataFrame:
     """Rows of the tickers asked for (each may list several, comma-separated); all rows where none is. Unknown ones are an error."""
     wanted = {t.strip().upper() for a in asked for t in a.split(",") if t.strip()}

@@ -6,12 +6,15 @@ required_evidence_groups array<struct<entity string, target_chunk_ids array<stri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.functions.text import normalize_space
 from quillstrata.operators.retrieval import MOST_QUERIES
 
+#: Words of the run by which a passage is looked up.
+RUN = 3
+
 STATUSES = ("answerable", "ambiguous", "unsupported")
 RELEVANT, GROUPS = "relevant_target_chunk_ids", "required_evidence_groups"
 
@@ -66,37 +69,58 @@ def status_counts(queries: DataFrame) -> DataFrame:
     return queries.groupBy("status").agg(F.count("*").alias("query_count"))
 
 
-def passage_judgements(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs: doc_id, text; passages: query_id, passage. query_id, target: documents that hold the passage verbatim.
+def _runs(words: Column) -> Column:
+    """Hashes of all runs of RUN words, each once."""
+    places = F.when(F.size(words) >= RUN, F.sequence(F.lit(1), F.size(words) - (RUN - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(RUN)))))
+
+
+def containing(docs: DataFrame, id_col: str, text: str, needles: DataFrame, key: str, needle: str) -> DataFrame:
+    """key, id_col: the documents whose text holds the needle verbatim.
 
-    The substring test is a nested loop over a passage set that is counted first; a larger one goes in blocks.
+    A document that holds a needle holds its inner words whole, those between its first and last blank, so needles are
+    looked up by one run of RUN inner words: the run that the fewest documents hold. Pairs that meet by a run are verified.
+    Needles of fewer inner words are tried on all documents; they are counted first, and go in blocks where they are many.
     """
-    n = passages.count()
-    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
-    out = None
+    # Words are columns before runs are made of them, or each run would split its text again.
+    split = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), r"[\x20\x09-\x0D]+", -1)
+    parted = needles.select(key, needle, split(needle).alias("w")).where(F.col(needle).isNotNull())
+    rows = parted.withColumn("w", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))).withColumn("__qs_runs", _runs(F.col("w")))
+    long_ = rows.where(F.size("__qs_runs") > 0)
+    wanted = long_.select(key, F.explode("__qs_runs").alias("__qs_run"))
+    held = docs.select(id_col, split(text).alias("w")).select(id_col, F.explode(_runs(F.col("w"))).alias("__qs_run")).join(wanted.select("__qs_run").distinct(), "__qs_run", "left_semi")
+    counted = wanted.join(held.groupBy("__qs_run").agg(F.count("*").alias("n")), "__qs_run", "left")
+    rarest = counted.groupBy(key).agg(F.min_by("__qs_run", F.struct(F.coalesce("n", F.lit(0)), "__qs_run")).alias("__qs_run"))
+    met = held.join(rarest, "__qs_run").select(key, id_col)
+    found = met.join(docs.select(id_col, text), id_col).join(long_.select(key, needle), key).where(F.contains(text, needle)).select(key, id_col)
+    short = rows.where(F.size("__qs_runs") == 0).select(key, needle)
+    n = short.count()
+    blocks = 0 if not n else 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
     for b in range(blocks):
-        block = passages if blocks == 1 else passages.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        hits = docs.join(F.broadcast(block), F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("target"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        block = short if blocks == 1 else short.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        found = found.unionByName(docs.select(id_col, text).join(F.broadcast(block), F.contains(text, needle)).select(key, id_col))
+    return found
+
+
+def passage_judgements(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """docs: doc_id, text; passages: query_id, passage. query_id, target: documents that hold the passage verbatim."""
+    return containing(docs, "doc_id", "text", passages, "query_id", "passage").withColumnRenamed("doc_id", "target")
 
 
 def anchored_judgements(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """docs: target, document; anchors: query_id, anchors array<string>. query_id, target, is_primary.
 
     A document fits if it holds all anchors, without regard to case and white space; the shortest one is primary (ties:
-    smaller target). An empty anchor list fits nothing. The anchor set is counted, and goes in blocks where it is large.
+    smaller target). An empty anchor list fits nothing. Each anchor is looked up by itself.
     """
     plain = lambda x: F.lower(normalize_space(x))
     whole = docs.select("target", plain(F.col("document")).alias("text"))
-    wanted = anchors.where(F.size("anchors") > 0).select("query_id", F.transform("anchors", plain).alias("anchors"))
-    n = wanted.count()
-    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
-    out = None
-    for b in range(blocks):
-        block = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        hits = whole.join(F.broadcast(block), F.forall("anchors", lambda a: F.contains("text", a))).select("query_id", "target", F.length("text").alias("n"))
-        out = hits if out is None else out.unionByName(hits)
+    each = anchors.where(F.size("anchors") > 0).select("query_id", F.explode(F.array_distinct(F.transform("anchors", plain))).alias("anchor"))
+    needles = each.select("anchor").distinct()
+    hits = containing(whole, "target", "text", needles.select(F.col("anchor").alias("needle_id"), "anchor"), "needle_id", "anchor").withColumnRenamed("needle_id", "anchor")
+    need = each.groupBy("query_id").agg(F.count("*").alias("need"))
+    full = each.join(hits, "anchor").groupBy("query_id", "target").agg(F.count_distinct("anchor").alias("has")).join(need, "query_id").where("has = need").select("query_id", "target")
+    out = full.join(whole.select("target", F.length("text").alias("n")), "target")
     first = out.groupBy("query_id").agg(F.min(F.struct("n", "target")).alias("first"))
     return out.join(first, "query_id").select("query_id", "target", (F.col("target") == F.col("first.target")).alias("is_primary"))
 

@@ -2,27 +2,36 @@
 
 Records are (doc_id, text, ...) and queries (query_id, text or vector). Scores are rounded to DIGITS before ranking, so
 that ties don't hang on the order of floating-point sums; ties go to the smaller doc_id (the record's place).
+
+A lexical index can be stored: postings in buckets of their tokens, so that a search reads the buckets of its own tokens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstrata.functions.text import financial_tokens
+from quillstrata.sources import sinks
 
 DIGITS = 6
 K1, B = 1.5, 0.75
 RRF_K, CANDIDATES, LIMIT = 60, 30, 10
-#: Query rows that may be sent to every task at once.
-MOST_QUERIES = 20_000
+#: Query rows, and bytes of query vectors, that may be sent to every task at once.
+MOST_QUERIES, MOST_QUERY_BYTES = 20_000, 32_000_000
+#: Buckets of a stored index's postings.
+BUCKETS = 256
 
 
 @dataclass
 class LexicalIndex:
-    """postings (token, doc_id, tf), doc_len (doc_id, dl), term_df (token, df) and stats (n, avgdl: one row)."""
+    """postings (token, doc_id, tf, dl), doc_len (doc_id, dl), term_df (token, df) and stats (n, avgdl: one row)."""
 
     postings: DataFrame
     doc_len: DataFrame
@@ -30,47 +39,102 @@ class LexicalIndex:
     stats: DataFrame
 
 
-def tokenized(records: DataFrame, text: str = "text", compose: bool = False) -> DataFrame:
+def tokenized(records: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:
     return records.select("doc_id", financial_tokens(F.col(text), compose).alias("tokens"))
 
 
+def _postings(tokens: DataFrame) -> DataFrame:
+    """token, doc_id, tf, dl; a document's tokens are counted where they are, nothing is shuffled."""
+    placed = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.array_sort("tokens").alias("s"))
+    n = F.size("s")
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.when((n > 0) & ((i == 0) | (F.get("s", i) != F.get("s", i - 1))), i)), lambda i: i.isNotNull())
+    runs = placed.select("doc_id", "dl", "s", starts.alias("at"))
+    items = F.transform("at", lambda i, k: F.struct(F.get("s", i).alias("token"), (F.coalesce(F.get("at", k + 1), F.size("s")) - i).cast("long").alias("tf")))
+    return runs.select("doc_id", "dl", F.explode(items).alias("x")).select("x.token", "doc_id", "x.tf", "dl")
+
+
 def lexical_index(records: DataFrame, text: str = "text", vocabulary: DataFrame | None = None) -> LexicalIndex:
     """vocabulary (token): only its postings are built; the statistics are of all records all the same."""
     tokens = tokenized(records, text)
     doc_len = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    terms = tokens.select("doc_id", F.explode("tokens").alias("token"))
+    postings = _postings(tokens)
     if vocabulary is not None:
-        terms = terms.join(vocabulary.select("token").distinct(), "token", "left_semi")
-    postings = terms.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
+        postings = postings.join(vocabulary.select("token").distinct(), "token", "left_semi")
     return LexicalIndex(postings, doc_len, postings.groupBy("token").agg(F.count("*").alias("df")), doc_len.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def store_index(records: DataFrame, path: str, text: str = "text", buckets: int = BUCKETS, overwrite: bool = False) -> None:
+    """The index of records below path: texts are split once, postings go to folders by bucket, sorted by token."""
+
+    def write(place: str) -> None:
+        tokenized(records, text).write.parquet(f"{place}/tokens")
+        tokens = records.sparkSession.read.parquet(f"{place}/tokens")
+        split = _postings(tokens).withColumn("bucket", _bucket(F.col("token"), buckets))
+        split.repartition("bucket").sortWithinPartitions("bucket", "token", "doc_id").write.partitionBy("bucket").parquet(f"{place}/postings")
+        postings = records.sparkSession.read.parquet(f"{place}/postings")
+        postings.groupBy("bucket", "token").agg(F.count("*").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{place}/term_df")
+        tokens.select("doc_id", F.size("tokens").cast("long").alias("dl")).write.parquet(f"{place}/doc_len")
+        records.sparkSession.read.parquet(f"{place}/doc_len").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{place}/stats")
+
+    sinks.published(records.sparkSession, path, write, overwrite)
+
+
+def stored_index(spark: SparkSession, path: str, queries: DataFrame | None = None) -> LexicalIndex:
+    """The stored index, or the buckets of the tokens of queries (query_id, text) alone."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    stats = read("stats")
+    postings, term_df = read("postings"), read("term_df")
+    if queries is not None:
+        buckets = int(stats.first()["buckets"])
+        asked = _asked(queries).select(_bucket(F.col("token"), buckets).alias("b")).distinct()
+        wanted = [r[0] for r in asked.collect()]  # numbers below buckets
+        postings, term_df = (df.where(F.col("bucket").isin(wanted)) for df in (postings, term_df))
+    return LexicalIndex(postings.drop("bucket"), read("doc_len"), term_df.drop("bucket"), stats.select("n", "avgdl"))
+
+
 def ranked(scores: DataFrame, limit: int, method: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumn("method", F.lit(method))
 
 
-def bm25_scores(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score > 0. Repeated query tokens count repeatedly, unknown ones not at all."""
-    asked = tokenized(queries.withColumnRenamed("query_id", "doc_id")).select(F.col("doc_id").alias("query_id"), F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    tokens = tokenized(records)
-    sized = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    postings = sized.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+def _asked(queries: DataFrame) -> DataFrame:
+    """query_id, token, qtf."""
+    tokens = tokenized(queries.withColumnRenamed("query_id", "doc_id")).select(F.col("doc_id").alias("query_id"), F.explode("tokens").alias("token"))
+    return tokens.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
+def bm25_scores(records: DataFrame | LexicalIndex, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, score > 0. Repeated query tokens count repeatedly, unknown ones not at all.
+
+    records: or an index of them. Without one, texts are split once: lengths, frequencies and scores come from the postings
+    of the queries' tokens and from one row of sums, which a document's tokens give by the way.
+    """
+    asked = _asked(queries)
+    words = asked.select("token").distinct()
+    if isinstance(records, LexicalIndex):
+        postings, stats = records.postings.join(words, "token", "left_semi"), records.stats
+        df = records.term_df.join(words, "token", "left_semi")
+    else:
+        tokens = tokenized(records)
+        postings = _postings(tokens).join(words, "token", "left_semi")
+        df = postings.groupBy("token").agg(F.count("*").alias("df"))
+        stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     # stats is one row, so the join that adds it multiplies nothing.
-    weighed = postings.join(df, "token").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    hits = weighed.select("token", "doc_id", weight.alias("w")).join(asked, "token")
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), DIGITS).alias("score")).where("score > 0")
+    rare = df.crossJoin(F.broadcast(stats)).select("token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
+    hits = postings.join(asked.join(rare, "token"), "token").select("query_id", "doc_id", (weight * F.col("qtf")).alias("w"))
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score")).where("score > 0")
 
 
-def bm25_topk(records: DataFrame, queries: DataFrame, limit: int = LIMIT, where: Column | None = None) -> DataFrame:
-    """where filters the ranked records; statistics stay those of all records."""
+def bm25_topk(records: DataFrame | LexicalIndex, queries: DataFrame, limit: int = LIMIT, where: Column | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """where filters the ranked records (rows: where the filter's columns are, if records is an index); statistics stay those of all."""
     scores = bm25_scores(records, queries)
     if where is not None:
-        scores = scores.join(records.where(where).select("doc_id"), "doc_id", "left_semi")
+        scores = scores.join((records if rows is None else rows).where(where).select("doc_id"), "doc_id", "left_semi")
     return ranked(scores, limit, "bm25")
 
 
@@ -83,22 +147,76 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_faults(rows: DataFrame, key: str, vector: str, width: int | None = None) -> DataFrame:
+    """Rows (rule, key) of vectors that cannot be compared: absent, empty, of another width, not finite, or of length zero."""
+    x = F.col(vector)
+    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
+    zero = ~F.exists(x, lambda c: c.cast("double") != 0)
+    rule = F.when(x.isNull() | (F.size(x) < 1), "empty vector").when(bad, "not finite")
+    if width is not None:
+        rule = rule.when(F.size(x) != width, "another width")
+    return rows.select(rule.when(zero, "zero vector").alias("rule"), F.col(key).cast("string").alias("key")).where("rule is not null")
+
+
+def _width(rows: DataFrame, vector: str) -> int | None:
+    low, high = rows.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} components")
+    return high
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of length one, in double precision."""
+    rows = np.asarray(column.flatten(), np.float64).reshape(-1, width)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, where: Column | None = None) -> DataFrame:
-    """Exact cosine of unit vectors (doc_id, embedding) against queries (query_id, vector).
+    """Exact cosine of vectors (doc_id, embedding) against queries (query_id, vector), whatever their lengths.
 
-    A query set of up to MOST_QUERIES goes to every task; a larger one is ranked in blocks of about half that size, each
-    over all vectors.
+    Vectors of several widths, with a component that is not finite, or of length zero fail the query. A query set goes to
+    every task in blocks of at most MOST_QUERIES rows and MOST_QUERY_BYTES, each over all vectors: a batch is one matrix
+    product, and only what may be among its best limit leaves the task.
     """
-    pool = vectors.where(where) if where is not None else vectors
+    width = _width(vectors, "embedding")
+    wrong = vector_faults(queries, "query_id", "vector", width).unionByName(vector_faults(vectors, "doc_id", "embedding", width))
+    if some := wrong.limit(3).collect():
+        raise ValueError("; ".join(f"{r['rule']}: {r['key']}" for r in some))
+    pool = (vectors.where(where) if where is not None else vectors).select("doc_id", "embedding")
     n = queries.count()
-    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
+    blocks = max(1, -(-2 * n // MOST_QUERIES) if n > MOST_QUERIES else 1, -(-8 * (width or 1) * n // MOST_QUERY_BYTES))
+    named = queries.select("query_id", "vector")
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType), T.StructField("raw", T.DoubleType())])
     out = None
     for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scores = pool.crossJoin(F.broadcast(block)).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("vector")), DIGITS).alias("score"))
-        top = ranked(scores, limit, "dense")
-        out = top if out is None else out.unionByName(top)
-    return out
+        block = named if blocks == 1 else named.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        table = block.toArrow().combine_chunks()
+        if table.num_rows and width:
+            top = _scored(pool, table, width, limit, schema)
+            out = top if out is None else out.unionByName(top)
+    scores = out if out is not None else pool.sparkSession.createDataFrame([], schema)
+    return ranked(scores.select("query_id", "doc_id", F.round("raw", DIGITS).alias("score")), limit, "dense")
+
+
+def _scored(pool: DataFrame, asked: pa.Table, width: int, limit: int, schema: T.StructType) -> DataFrame:
+    sent = pool.sparkSession.sparkContext.broadcast((_matrix(asked.column("vector").combine_chunks(), width), asked.column("query_id").combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, names = sent.value
+        # What rounding may lift to the limit-th place stays.
+        slack = 2 * 10.0**-DIGITS
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4_096):
+                part = batch.slice(at, 4_096)
+                scores = _matrix(part.column("embedding"), width) @ matrix.T
+                if part.num_rows > limit:
+                    bar = np.partition(scores, part.num_rows - limit, axis=0)[part.num_rows - limit]
+                    i, j = np.nonzero(scores >= bar - slack)
+                else:
+                    i, j = np.indices(scores.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), part.column("doc_id").take(pa.array(i)), pa.array(scores[i, j])], ["query_id", "doc_id", "raw"])
+
+    return pool.mapInArrow(run, schema)
 
 
 def rrf(dense: DataFrame, bm25: DataFrame, limit: int = LIMIT, k: int = RRF_K) -> DataFrame:
@@ -130,6 +248,28 @@ def rerank(hits: DataFrame, score: Column, limit: int = LIMIT) -> DataFrame:
     return again.where(F.col("new_rank") <= limit)
 
 
+def model_reranked(hits: DataFrame, make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], limit: int = LIMIT, batch: int = 4) -> DataFrame:
+    """hits: query_id, query, text, rank, ... Adds reranker_score, by an injected model, and new_rank; the best limit stay.
+
+    make builds the scorer of (query, text) pairs once a task. Ties go to the better rank of before. hits stay as they are.
+    """
+    if limit < 1 or batch < 1:
+        raise ValueError("limit and batch must be at least 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = None
+        for b in batches:
+            score = score or make()
+            pairs = list(zip(b.column("query").to_pylist(), b.column("text").to_pylist(), strict=True))
+            found = [float(x) for i in range(0, len(pairs), batch) for x in score(pairs[i : i + batch])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "reranker_score"])
+
+    schema = T.StructType([*hits.schema.fields, T.StructField("reranker_score", T.DoubleType())])
+    scored = hits.mapInArrow(run, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("reranker_score"), "rank")
+    return scored.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= limit)
+
+
 def candidate_pool(dense: DataFrame, bm25: DataFrame, fused: int = 20, each: int = 5, most: int = 30, k: int = RRF_K) -> DataFrame:
     """query_id, doc_id, rank: the best fused hits, then each method's best that are not among them, most at most."""
     named = lambda df, step: df.select("query_id", "doc_id", F.struct(F.lit(step).alias("step"), "rank").alias("at"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,22 @@ def hashed_words(width: int = 64) -> Encoder:
     return model
 
 
+@dataclass(frozen=True)
+class Model:
+    """An encoder with the name and revision that an archive states; make builds it once a task."""
+
+    name: str
+    make: Callable[[], Encoder]
+    revision: str = "unknown"
+
+
+def model_at(place: str, revision: str | None = None) -> Model:
+    """The model that module:function builds; its revision is the function's attribute of that name, if none is given."""
+    module, _, name = place.partition(":")
+    make = getattr(importlib.import_module(module), name)
+    return Model(place, make, revision or str(getattr(make, "revision", None) or "unknown"))
+
+
 def encoded(rows: DataFrame, key: str, text: str, make: Callable[[], Encoder], batch: int = BATCH, count: Callable[[str], int] = word_tokens, most: int = MOST_TOKENS) -> DataFrame:
     """key, embedding. make builds the model once a task. Texts of more than most tokens fail: none is cut silently."""
 
@@ -88,18 +106,21 @@ def filtered(records: DataFrame, ticker: str | None = None, record_type: str | N
     return condition
 
 
-def search(mode: str, records: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, limit: int = retrieval.LIMIT, candidates: int = retrieval.CANDIDATES, rrf_k: int = retrieval.RRF_K, where: Column | None = None) -> DataFrame:
-    """dense, bm25 or hybrid. records: doc_id, text and what where names; queries: query_id, text, vector (but for bm25)."""
+def search(mode: str, records: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, limit: int = retrieval.LIMIT, candidates: int = retrieval.CANDIDATES, rrf_k: int = retrieval.RRF_K, where: Column | None = None, index: retrieval.LexicalIndex | None = None) -> DataFrame:
+    """dense, bm25 or hybrid. records: doc_id, text and what where names; queries: query_id, text, vector (but for bm25).
+
+    index: the lexical index of the records, if there is one.
+    """
     if mode not in ("dense", "bm25", "hybrid") or limit < 1:
         raise ValueError("mode is dense, bm25 or hybrid, and limit at least 1")
     if mode == "bm25":
-        return retrieval.bm25_topk(records, queries.select("query_id", "text"), limit, where)
+        return retrieval.bm25_topk(records if index is None else index, queries.select("query_id", "text"), limit, where, records)
     if vectors is None or "vector" not in queries.columns:
         raise ValueError(f"{mode} search needs vectors")
-    if mode == "hybrid" and (candidates < limit or rrf_k < 0):
-        raise ValueError("candidates must be at least limit, and rrf_k not negative")
+    if mode == "hybrid" and (candidates < limit or rrf_k < 1):
+        raise ValueError("candidates must be at least limit, and rrf_k at least 1")
     pool = vectors if where is None else vectors.join(records.where(where).select("doc_id"), "doc_id", "left_semi")
     dense = retrieval.dense_topk(pool, queries.select("query_id", "vector"), limit if mode == "dense" else candidates)
     if mode == "dense":
         return dense
-    return retrieval.rrf(dense, retrieval.bm25_topk(records, queries.select("query_id", "text"), candidates, where), limit, rrf_k)
+    return retrieval.rrf(dense, retrieval.bm25_topk(records if index is None else index, queries.select("query_id", "text"), candidates, where, records), limit, rrf_k)

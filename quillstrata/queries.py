@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.functions import matrices as M
 from quillstrata.functions import text as X
-from quillstrata.operators import corpus, folds, ingest, locators, metrics, qrels, records, retrieval, vectors
+from quillstrata.operators import corpus, folds, ingest, locators, metrics, qrels, records, reports, retrieval, vectors
 from quillstrata.sources.files import page_elements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +36,7 @@ bm25_scores AS (
 )"""
 _DENSE = """
 dense_scores AS (
-    SELECT b.item_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+    SELECT b.item_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score
     FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id, embeddings e
 )"""
 
@@ -159,10 +159,10 @@ def financial_tokens(t):
     return t("documents").select("doc_id", F.sha2(F.array_join(X.financial_tokens(F.col("text")), " "), 256).alias("tokens_sha256"))
 
 
-@query("SELECT doc_id, 'Bank: ' || source || chr(10) || 'Entity: ' || source || chr(10) || 'Report: 2025 10-K' || chr(10) || 'Evidence type: ' || lang || chr(10) || 'Internal pages: 1-2' || chr(10) || 'Section: ' || lang || chr(10) || chr(10) || substr(text, 1, 40) AS embedding_text FROM documents")
+@query("SELECT doc_id, sha256('Bank: ' || source || chr(10) || 'Entity: ' || source || chr(10) || 'Report: 2025 10-K' || chr(10) || 'Evidence type: ' || lang || chr(10) || 'Internal pages: 1-2' || chr(10) || 'Section: ' || lang || chr(10) || chr(10) || text) AS embedding_sha256 FROM documents")
 def embedding_text(t):
-    made = X.embedding_text(F.col("source"), F.lit(None).cast("string"), F.lit("2025-12-31"), F.col("lang"), F.lit(1), F.lit(2), F.substring("text", 1, 40), F.col("lang"))
-    return t("documents").select("doc_id", made.alias("embedding_text"))
+    made = X.embedding_text(F.col("source"), F.lit(None).cast("string"), F.lit("2025-12-31"), F.col("lang"), F.lit(1), F.lit(2), F.col("text"), F.col("lang"))
+    return t("documents").select("doc_id", F.sha2(made, 256).alias("embedding_sha256"))
 
 
 @query("SELECT doc_id, sha256(concat_ws(chr(0), source, 'structure_aware', 'narrative:0:0', lang || ',' || source, text)) AS chunk_id FROM documents")
@@ -176,10 +176,16 @@ def retrieval_text_coalesce(t):
     return rows.select("doc_id", X.first_text(F.when(F.col("quality") == 1, F.concat(F.lit(" good "), F.col("doc_id"))), F.lit("  "), F.col("lang")).alias("retrieval_text"))
 
 
-@query(r"WITH n AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 12), '\s+', ' ', 'g')) AS x FROM documents) SELECT doc_id, x = '' OR starts_with(lower(x), 'table of contents') AS navigation, x = '' OR regexp_full_match(x, '\d{1,4}') AS furniture FROM n")
+@query(
+    r"""WITH made AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ' ' || (doc_id % 10000) || chr(10) WHEN 1 THEN 'Table  of Contents ' || text WHEN 2 THEN '**Form 10-K Index** ' || text WHEN 3 THEN '  ' ELSE text END AS text FROM documents),
+    n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM made)
+    SELECT doc_id, x = '' OR starts_with(lower(x), 'table of contents') OR starts_with(lower(x), '**table of contents**') OR starts_with(lower(x), 'form 10-k index') OR starts_with(lower(x), '**form 10-k index**') AS navigation, x = '' OR regexp_full_match(x, '\d{1,4}') AS furniture FROM n"""
+)
 def navigation_furniture_flags(t):
-    start = F.substring("text", 1, 12)
-    return t("documents").select("doc_id", X.is_navigation(start).alias("navigation"), X.is_page_furniture(start).alias("furniture"))
+    """Whole texts; two in three of them begin as navigation or are nothing but a page number or blank."""
+    k = F.col("doc_id") % 6
+    made = F.when(k == 0, F.concat(F.lit(" "), F.col("doc_id") % 10000, F.lit("\n"))).when(k == 1, F.concat(F.lit("Table  of Contents "), "text")).when(k == 2, F.concat(F.lit("**Form 10-K Index** "), "text")).when(k == 3, "  ").otherwise(F.col("text"))
+    return t("documents").select("doc_id", X.is_navigation(made).alias("navigation"), X.is_page_furniture(made).alias("furniture"))
 
 
 @query(r"SELECT conv_id, turn, nullif(upper(regexp_extract('Item ' || turn || 'a. ' || text, '^(?:\*\*|__)?\s*item\s+(\d{1,2}[a-c]?)\s*[.:]', 1, 'i')), '') AS item, regexp_replace('Head ' || role, '[.:]+$', '') AS title FROM conversations")
@@ -300,13 +306,12 @@ def corpus_summary(t):
 
 @query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source")
 def type_crosstab(t):
-    return t("documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count().na.fill(0)
+    return reports.crosstab(t("documents"), "source", "lang", ["de", "en", "es", "fr"])
 
 
-@query("WITH n AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY source) AS c FROM documents) SELECT source, n_chars AS p95 FROM n WHERE i = greatest(0, floor(0.95 * c)::INT - 1) + 1")
+@query("WITH n AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY source) AS c FROM documents), p AS (SELECT source, n_chars AS tokens_p95 FROM n WHERE i = greatest(0, floor(0.95 * c)::INT - 1) + 1) SELECT source, count(*) AS chunks, min(n_chars) AS tokens_min, round(avg(n_chars), 9) AS tokens_mean, max(n_chars) AS tokens_max, any_value(tokens_p95) AS tokens_p95 FROM documents JOIN p USING (source) GROUP BY source")
 def token_p95(t):
-    ranked = t("documents").select("source", "n_chars", F.row_number().over(Window.partitionBy("source").orderBy("n_chars")).alias("i"), F.count("*").over(Window.partitionBy("source")).alias("c"))
-    return ranked.where(F.col("i") == F.greatest(F.lit(0), F.floor(F.lit(0.95) * F.col("c")) - 1) + 1).select("source", F.col("n_chars").alias("p95"))
+    return reports.token_stats(t("documents"), "source", "n_chars")
 
 
 @query("SELECT count(*) AS n, count(vec_id) - count(DISTINCT vec_id) AS repeated, count(DISTINCT len(embedding)) AS widths, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS not_finite, count(*) FILTER (abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1e-5) AS not_unit FROM embeddings")
@@ -322,8 +327,7 @@ def vector_reuse(t):
 
 @query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')")
 def ticker_filter_multi(t):
-    asked = t("documents").sparkSession.range(1).select(F.explode(F.split(F.lit("SRC1,src2"), ",")).alias("s")).select(F.lower("s").alias("source"))
-    return t("documents").join(F.broadcast(asked), "source", "left_semi").select("doc_id")
+    return ingest.chosen(t("documents").withColumn("ticker", F.col("source")), "SRC1,src2").select("doc_id")
 
 
 @query("SELECT o_custkey AS c_custkey, 'order' AS origin FROM (SELECT DISTINCT o_custkey FROM orders) UNION ALL (SELECT c_custkey, 'idle' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))")
@@ -345,7 +349,11 @@ def table_description(t):
     return rows.select("n_regionkey", M.table_class(F.col("text"), F.col("m")).alias("class"), M.table_description(F.col("text"), F.col("m")).alias("description"), F.size(F.col("m")[0]).cast("long").alias("matrix_rows"))
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS p FROM documents),
+    s AS (SELECT doc_id, len(list_filter(string_split(regexp_replace(p, '([.!?])\s+([A-Z0-9*(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM p)
+    SELECT doc_id, coalesce(sum(n), 0)::INT AS units FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+)
 def sentence_units(t):
     return t("documents").select("doc_id", F.size(X.sentence_units(F.col("text"))).alias("units"))
 
@@ -355,9 +363,29 @@ def token_limit_chunks(t):
     return records.token_chunks(t("documents"))
 
 
-@query()
+def _fold_sql(text: str, is_table: str, after: str) -> str:
+    """Narrative runs of conversations by recursion: a row a turn; after: what ends a run behind the turn."""
+    return rf"""e AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, trim({text}) AS content, {is_table} AS is_table, {after} AS ends FROM conversations),
+    w AS (SELECT *, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS w, regexp_matches(content, '^\s*(?:\*\*|__)[^*\n]{{1,160}}(?:\*\*|__)') AND length(string_split(content, chr(10) || chr(10))[1]) <= 180 AS head FROM e),
+    f AS (
+        SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS o, 0::BIGINT AS next, NULL::BIGINT AS run FROM (SELECT DISTINCT conv_id FROM conversations)
+        UNION ALL
+        SELECT f.conv_id, w.i,
+            CASE WHEN w.is_table OR w.ends THEN 0 WHEN (CASE WHEN f.o > 0 AND (w.head OR f.o + w.w > 1024) THEN 0 ELSE f.o END) + w.w >= 512 THEN 0 ELSE (CASE WHEN f.o > 0 AND (w.head OR f.o + w.w > 1024) THEN 0 ELSE f.o END) + w.w END,
+            CASE WHEN w.is_table THEN f.next + (f.o > 0)::INT ELSE f.next + (f.o > 0 AND (w.head OR f.o + w.w > 1024))::INT + (w.ends OR (CASE WHEN f.o > 0 AND (w.head OR f.o + w.w > 1024) THEN 0 ELSE f.o END) + w.w >= 512)::INT END,
+            CASE WHEN NOT w.is_table THEN f.next + (f.o > 0 AND (w.head OR f.o + w.w > 1024))::INT END
+        FROM f JOIN w ON w.conv_id = f.conv_id AND w.i = f.i + 1
+    )"""
+
+
+_HEADED = "CASE WHEN turn % 4 = 3 THEN '**Head**' || chr(10) || chr(10) ELSE '' END || text"
+
+
+@query(f"WITH RECURSIVE {_fold_sql(_HEADED, 'role = ' + chr(39) + 'system' + chr(39), 'false')} SELECT conv_id AS doc, run::INT AS narrative, min(turn) AS first, max(turn) AS last, sha256(string_agg(content, chr(10) || chr(10) ORDER BY turn)) AS content_sha256 FROM f JOIN w USING (conv_id, i) WHERE run IS NOT NULL GROUP BY conv_id, run")
 def narrative_fold(t):
-    return folds.narrative_fold(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("place"), F.when(F.col("role") == "system", "table").otherwise("text").alias("kind"), F.col("text").alias("content")))
+    text = F.concat(F.when(F.col("turn") % 4 == 3, "**Head**\n\n").otherwise(""), "text")
+    made = folds.narrative_fold(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("place"), F.when(F.col("role") == "system", "table").otherwise("text").alias("kind"), text.alias("content")))
+    return made.select("doc", "narrative", "first", "last", F.sha2("content", 256).alias("content_sha256"))
 
 
 @query()
@@ -461,7 +489,13 @@ def _corpus(t) -> tuple[DataFrame, DataFrame]:
     return corpus.build_corpus(pages.select("accession_number").distinct().select("accession_number", *blank), pages)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_fold_sql('text', 'false', "role = 'system'")},
+    r AS (SELECT 'a-' || conv_id AS a, run, min(turn)::INT AS page_start, max(turn)::INT AS page_end, string_agg('e' || turn, ',' ORDER BY turn) AS ids, string_agg(content, chr(10) || chr(10) ORDER BY turn) AS document FROM f JOIN w USING (conv_id, i) GROUP BY ALL),
+    t AS (SELECT 'a-' || conv_id AS a, turn::INT AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 + count(*) FILTER (role = 'system') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS place, role, 'In millions' || chr(10) || chr(10) || '| Item | 2025 |' || chr(10) || '|---|---|' || chr(10) || '| Turn | ' || (turn + 10) || ' |' AS content FROM conversations)
+    SELECT 'structure_aware::' || sha256(concat_ws(chr(0), a, 'structure_aware', 'narrative:' || run || ':0', ids, document)) AS record_id, 'text' AS record_type, document, page_start, page_end FROM r
+    UNION ALL SELECT 'structure_aware::table::' || sha256(concat_ws(chr(0), a, 'structure_aware_parent', 'table-parent:' || place, 't' || page, content)), 'table', 'Introduction: In millions' || chr(10) || 'Columns/periods: Item; 2025' || chr(10) || 'Units: millions' || chr(10) || 'Significant rows: Turn', page, page FROM t WHERE role = 'system'"""
+)
 def corpus_chunks(t):
     return _corpus(t)[0].select("record_id", "record_type", "document", "metadata.page_start", "metadata.page_end")
 
@@ -472,8 +506,12 @@ def corpus_manifest(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quillstrata import archive_queries  # registers its own
+
+    assert archive_queries
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -1,8 +1,9 @@
-"""Sources and sinks: JSON lines, manifests, registries, raw HTML, vector archives, resumable appends."""
+"""Sources: JSON lines, query texts, manifests, registries, XML facts, raw HTML with its elements and grids."""
 
 from __future__ import annotations
 
 import html.parser
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,19 +11,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "table", "div", "title")
-_HIDDEN = ("script", "style", "noscript", "template")
+_HIDDEN = ("script", "style", "noscript", "template", "ix:header")
+_VOID = ("br", "hr", "img", "input", "meta", "link", "col", "wbr")
+
+
+def _is_hidden(attrs: dict) -> bool:
+    style = "".join((attrs.get("style") or "").split()).lower()
+    return "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object a line. Blank lines are skipped; anything else that is no object fails the query."""
+def _first_bad_line(spark: SparkSession, lines: DataFrame, is_bad) -> str | None:
+    """Says which line of which file is the first that is_bad (a condition on value) holds for; files are read whole only then."""
+    files = [r[0] for r in lines.where(is_bad).select(F.input_file_name()).distinct().sort("input_file_name()").limit(1).collect()]
+    if not files:
+        return None
+    whole = spark.read.text(files[0], wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r", -1)).alias("at", "value"))
+    at, value = whole.where(F.trim("value") != "").where(is_bad).sort("at").first()
+    try:
+        json.loads(value)
+        why = "a JSON object was expected"
+    except json.JSONDecodeError as error:
+        why = f"invalid JSON: {error.msg}"
+    return f"line {at + 1} of {files[0]}: {why}"
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """One JSON object a line, of one path, several or a glob. Blank lines are skipped; a line that is none is named in the error."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    row = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return lines.select(F.when(F.ltrim("value").startswith("{"), row).otherwise(F.raise_error(F.lit("line is no JSON object"))).alias("r")).select("r.*")
+    # A corrupt row has all fields null and its text in the last one.
+    row = F.from_json("value", f"{schema}, __qs_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__qs_corrupt"})
+    if said := _first_bad_line(spark, lines, ~F.ltrim("value").startswith("{") | F.coalesce(row["__qs_corrupt"].isNotNull(), F.lit(True))):
+        raise ValueError(said)
+    return lines.select(row.alias("r")).select("r.*").drop("__qs_corrupt")
+
+
+def read_query_texts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """place, query: the stripped questions of a query file in its order, the first limit of them; none may be blank."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
+    rows = read_jsonl(spark, path, "query string").withColumn("place", F.monotonically_increasing_id())
+    if rows.where(F.coalesce(F.trim("query") == "", F.lit(True))).limit(1).count() or rows.isEmpty():
+        raise ValueError("a query file needs questions, and none may be blank")
+    kept = rows.select("place", F.regexp_replace("query", r"(?U)^\s+|\s+$", "").alias("query"))
+    return kept if limit is None else kept.orderBy("place").limit(limit)
+
 
+def embedding_inputs(records: DataFrame) -> DataFrame:
+    """record_id, embedding_text, stripped: what is encoded; blank fields and repeated ids are errors."""
+    need = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+$", "")
+    rows = records.select(need("record_id").alias("record_id"), need("embedding_text").alias("embedding_text"))
+    n, ids, blank = rows.agg(F.count("*"), F.count_distinct("record_id"), F.count_if((F.col("record_id") == "") | (F.col("embedding_text") == ""))).first()
+    if not n or blank or ids < n:
+        raise ValueError(f"{n} records: {blank} with a blank field, {n - ids} with a repeated id")
+    return rows
 
-def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Published by Spark's commit protocol, so that a failed write leaves nothing half-done."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
+
+def read_xml_facts(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+    """Facts of XML instances, one row an element of that name; attributes are fields that begin with an underscore."""
+    return spark.read.format("xml").option("rowTag", row_tag).option("mode", "FAILFAST").schema(schema).load(path)
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,7 +103,7 @@ class _Elements(html.parser.HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, str, int]] = []
-        self._kind, self._text, self._links, self._hidden, self._in_link = "text", [], 0, 0, False
+        self._kind, self._text, self._links, self._hidden, self._in_link = "text", [], 0, None, False
 
     def _close(self) -> None:
         text = " ".join("".join(self._text).split())
@@ -66,14 +112,25 @@ class _Elements(html.parser.HTMLParser):
         self._text, self._links = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self._hidden += tag in _HIDDEN
+        # An element may be hidden by its name, its style or its attribute; what is inside it is hidden too.
+        if self._hidden:
+            self._hidden[1] += tag == self._hidden[0]
+            return
+        if tag in _HIDDEN or _is_hidden(dict(attrs)):
+            if tag in _BLOCKS:
+                self._close()
+            self._hidden = [tag, 1] if tag not in _VOID else None
+            return
         self._in_link |= tag == "a"
         if tag in _BLOCKS:
             self._close()
             self._kind = "heading" if tag[0] == "h" and tag[1:].isdigit() or tag == "title" else "cell" if tag in ("td", "th") else "item" if tag == "li" else "text"
 
     def handle_endtag(self, tag: str) -> None:
-        self._hidden = max(0, self._hidden - (tag in _HIDDEN))
+        if self._hidden:
+            self._hidden[1] -= tag == self._hidden[0]
+            self._hidden = self._hidden if self._hidden[1] else None
+            return
         if tag == "a":
             self._in_link = False
         if tag in _BLOCKS:
@@ -101,18 +158,6 @@ def page_elements(pages: DataFrame) -> DataFrame:
     return pages.where("page_id is not null").select("page_id", "html").mapInPandas(run, "page_id long, place int, kind string, text string, link_ratio double")
 
 
-def append_missing(new: DataFrame, path: str, key: str) -> int:
-    """Resumable append to Parquet: only rows whose key is not there yet. Returns how many were written."""
-    spark = new.sparkSession
-    try:
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as gone:
-        if "PATH_NOT_FOUND" not in str(gone):
-            raise
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count()
-
-
 class _Grids(html.parser.HTMLParser):
     """Cells of the tables below elements that carry the block attribute; a cell ends where the next begins."""
 
@@ -154,9 +199,6 @@ class _Grids(html.parser.HTMLParser):
             self._open[-1][-1][-1][0] += data
 
 
-_VOID = ("br", "hr", "img", "input", "meta", "link", "col", "wbr")
-
-
 def resolve_spans(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
     """A rectangular matrix: a cell's text fills all the places it spans, places without a cell are empty."""
     grid: dict[tuple[int, int], str] = {}

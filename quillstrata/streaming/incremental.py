@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from quillstrata.sources.files import append_missing
+from quillstrata.sources.sinks import append_missing
 
 
 def append_stream(rows: DataFrame, path: str, key: str, checkpoint: str, once: bool = True) -> StreamingQuery:

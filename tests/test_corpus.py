@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quillstrata import commands
 from quillstrata.functions import matrices as M
 from quillstrata.operators import corpus, folds, ingest, locators, qrels, records, retrieval, vectors
-from quillstrata.sources import files
+from quillstrata.sources import files, sinks
 from quillstrata.streaming.incremental import append_stream
 
 DATA = "/root/testdata/sf0.001"
@@ -154,8 +154,9 @@ def test_vectors_and_search(spark, built, tmp_path):
     place = lambda name: str(tmp_path / name)
     filings.write.parquet(place("filings"))
     pages.write.parquet(place("pages"))
-    commands.build_corpus(spark, place("filings"), place("pages"), place("out"), ticker=["bk"])
-    with pytest.raises(Exception, match="(?i)exists"):
+    made = commands.build_corpus(spark, place("filings"), place("pages"), place("out"), ticker=["bk"])
+    assert (made["chunk_count"], made["table_count"], made["filing_count"], len(made["outputs"])) == (6, 1, 1, 2)
+    with pytest.raises(FileExistsError):
         commands.build_corpus(spark, place("filings"), place("pages"), place("out"))
     chunks, tables, model = place("out/chunks"), place("out/tables"), "quillstrata.operators.vectors:hashed_words"
     assert commands.embed(spark, chunks, place("v"), model, limit=2) == 2
@@ -171,7 +172,13 @@ def test_vectors_and_search(spark, built, tmp_path):
         vectors.encoded(spark.createDataFrame([(1, "a b c")], "k long, t string"), "k", "t", vectors.hashed_words, most=2).collect()
     target = best.target_chunk_id
     spark.createDataFrame([("q", "Consumer portfolio", "answerable", [target], target, [("e", [target])])], QUERIES).write.parquet(place("q"))
-    measured, summary = commands.evaluate(spark, place("q"), chunks, place("v"), model)
+    commands.index(spark, chunks, place("index"))
+    measured, summary = commands.evaluate(spark, place("q"), chunks, place("v"), model, tables=tables, output=place("report.json"), lexical=place("index"))
+    import json
+
+    report = json.loads((tmp_path / "report.json").read_text())
+    assert report["summary"]["bm25"]["hits_at_1"] == 1 and report["corpus"]["embedding_revision_warning"] and report["qrels"]["answerable_count"] == 1 and {r["method"] for r in report["retrieved"]} == set(commands.MODES)
+    assert "document" not in commands.search(spark, "Consumer portfolio", chunks, tables, mode="bm25", lexical=place("index"), compact=True).columns
     assert {(r.method, r.query_count) for r in summary.collect()} == {(m, 1) for m in commands.MODES}
     assert measured.where("method = 'bm25'").first().complete_group_hit_at_1 == 1
 
@@ -197,20 +204,23 @@ def test_sources(spark, tmp_path):
     lines.write_text('{"a": 1, "b": "ž"}\n\n{"a": 2}\n', encoding="utf-8")
     assert sorted((r.a, r.b) for r in files.read_jsonl(spark, str(lines), "a int, b string").collect()) == [(1, "ž"), (2, None)]
     lines.write_text('{"a": 1}\n[1]\n', encoding="utf-8")
-    with pytest.raises(Exception, match="no JSON object"):
-        files.read_jsonl(spark, str(lines), "a int").collect()
+    with pytest.raises(ValueError, match="line 2 of .*a JSON object was expected"):
+        files.read_jsonl(spark, str(lines), "a int")
+    lines.write_text('{"a": 1}\n\n{"a": \n', encoding="utf-8")
+    with pytest.raises(ValueError, match="line 3 of .*invalid JSON"):
+        files.read_jsonl(spark, str(lines), "a int")
     for body in ('[{"a": 1}, {"a": 2}]', '{"filings": [{"a": 1}, {"a": 2}]}'):
         (tmp_path / "m.json").write_text(body)
         assert [r.a for r in files.read_manifest(spark, str(tmp_path / "m.json"), "a int").collect()] == [1, 2]
     out = str(tmp_path / "out.jsonl")
-    files.write_jsonl(spark.range(3), out)
-    with pytest.raises(Exception, match="(?i)exists"):
-        files.write_jsonl(spark.range(3), out)
+    sinks.write_jsonl(spark.range(3), out)
+    with pytest.raises(FileExistsError):
+        sinks.write_jsonl(spark.range(3), out)
     (tmp_path / "r.yaml").write_text("version: 1\nbanks:\n- {ticker: bk, cik: '01', legal_name: B}\n- {ticker: C, cik: '02', legal_name: C, enabled: false}\n")
     assert [(r.ticker, r.enabled) for r in files.read_registry(spark, str(tmp_path / "r.yaml")).orderBy("place").collect()] == [("BK", True), ("C", False)]
     (tmp_path / "p.html").write_bytes(b"<p>a\xff")
     assert files.read_html(spark, str(tmp_path / "p.html")).first().html == "<p>a�"
-    assert [files.append_missing(spark.range(n), str(tmp_path / "t"), "id") for n in (3, 5)] == [3, 5]
+    assert [sinks.append_missing(spark.range(n), str(tmp_path / "t"), "id") for n in (3, 5, 5)] == [3, 2, 0]
 
 
 def test_stream_appends_each_key_once(spark, tmp_path):
