@@ -140,7 +140,10 @@ def _members(texts: DataFrame, keys: int) -> DataFrame:
 
 
 def _facing(texts: DataFrame, keys: int) -> DataFrame:
-    """post, root, id, fp of all texts in postings where at least two roots meet; texts: id, root, fp."""
+    """post, root, id of all texts in postings where at least two roots meet; texts: id, root, fp.
+
+    Without fingerprints, which are most of a row: they are joined on once the rows go to the tasks that compare them.
+    """
 
     def met(post: np.ndarray, roots: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], post[1:] != post[:-1]]))[: len(post)]
@@ -162,7 +165,7 @@ def _facing(texts: DataFrame, keys: int) -> DataFrame:
         yield met(*held)
 
     rows = _postings(texts, keys, fold=False).repartition("post").sortWithinPartitions("post")
-    return rows.mapInArrow(lean(run), "post long, root long, id long").join(texts.select("id", "fp"), "id").select("post", "root", "id", "fp")
+    return rows.mapInArrow(lean(run), "post long, root long, id long")
 
 
 def close_pairs(ids: list[int], fps: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
@@ -256,13 +259,13 @@ def cross_pairs(key: int, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, s
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _compared(members: DataFrame) -> DataFrame:
-    """a, b: all close pairs of different roots that share a posting. members: post, root, id, fp."""
+def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: all close pairs of different roots that share a posting. members: post, root, id; texts: id, fp."""
     long_ = members.groupBy("post").count().where(F.col("count") > BLOCK)
     parts = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
     dealt = members.join(long_, "post", "left").withColumn("parts", parts).withColumn("u", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("post", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "root", "id", "fp")
+    dealt = dealt.select("post", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "root", "id").join(texts.select("id", "fp"), "id").select("post", "i", "j", "u", "root", "id", "fp")
 
     def pairs(table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
         post, i, j, u, roots, ids, fps = table
@@ -331,7 +334,7 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     roots = connected_components(edges).withColumnRenamed("node", "id")
     rooted = cut(distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     met = cut(_facing(rooted, KEYS))
-    return connected_components(edges.union(verified(_compared(met)))).withColumnRenamed("node", "id")
+    return connected_components(edges.union(verified(_compared(met, distinct)))).withColumnRenamed("node", "id")
 
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

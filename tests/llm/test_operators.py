@@ -272,8 +272,9 @@ def test_long_postings_try_every_pair(spark, monkeypatch):
     keys = [set(simhash_wide.posting_keys(f).tolist()) for f in fps]
     root = [i % 40 for i in range(60)]
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j] and keys[i] & keys[j] and (int.from_bytes(fps[i]) ^ int.from_bytes(fps[j])).bit_count() <= simhash_wide.MOST_BITS}
-    rows = [(p, root[i], i, fps[i]) for i in range(60) for p in keys[i]]
-    got = [(r.a, r.b) for r in simhash_wide._compared(spark.createDataFrame(rows, "post long, root long, id long, fp binary")).collect()]
+    rows = [(p, root[i], i) for i in range(60) for p in keys[i]]
+    texts = spark.createDataFrame(list(enumerate(fps)), "id long, fp binary")
+    got = [(r.a, r.b) for r in simhash_wide._compared(spark.createDataFrame(rows, "post long, root long, id long"), texts).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
 
 
