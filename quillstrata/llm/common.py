@@ -55,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files (and checkpoints, where it may) of tables that nothing refers to any more.
+
+    It works on what the driver's garbage collector finds, which may come long after the disk is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Arrow types by the names that schemas use here.
 _ARROW = {"long": "int64", "int": "int32", "string": "string", "boolean": "bool_", "double": "float64", "binary": "binary"}
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import cut, lean, map_texts, text_key, text_or_empty
+from quillstrata.llm.common import cut, lean, map_texts, release, text_key, text_or_empty
 from quillstrata.llm.components import connected_components
 
 SHINGLE = 5
@@ -333,7 +333,10 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     edges = verified(_pairs(_members(distinct.withColumn("root", F.col("id")), FIRST_KEYS), MOST_BITS))
     roots = connected_components(edges).withColumnRenamed("node", "id")
     rooted = cut(distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    del roots
+    release(docs.sparkSession)
     met = cut(_facing(rooted, KEYS))
+    release(docs.sparkSession)
     return connected_components(edges.union(verified(_compared(met, distinct)))).withColumnRenamed("node", "id")
 
 
