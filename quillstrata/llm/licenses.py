@@ -122,7 +122,7 @@ class LicenseModel:
 def _fitted(data: DataFrame, counted, classes: list[str]):
     """A model of rows (label, features); one row without grams keeps the class of ordinary text where there are none."""
     blank = counted.transform(data.sparkSession.range(1).select(F.lit(float(len(classes) - 1)).alias("label"), F.array().cast("array<string>").alias("grams"))).select("label", "features")
-    return LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.0, maxIter=60).fit(data.select("label", "features").union(blank))
+    return LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.0, maxIter=60).fit(data.select("label", "features").union(blank).coalesce(1))
 
 
 def train(ordinary: DataFrame) -> LicenseModel:
