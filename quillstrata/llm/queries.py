@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries with their production parameters, and their SQL where SQL can say it."""
+"""The thirteen operators and the pipeline as queries with their production parameters, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import balltree, bpe, licenses, lines, mixing, quality, secrets, simhash, urls, windows
+from quillstrata.llm import balltree, bpe, licenses, linefield, lines, mixing, quality, resample, secrets, simhash, urls, variants, windows
 from quillstrata.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,9 @@ def queries() -> dict[str, Query]:
         "op8_ball_tree_top_k": table("embeddings", balltree.top_inner_products),
         "op9_secret_scan": on_docs(secrets.secret_digests),
         "op10_bpe": on_docs(lambda d: bpe.bpe_digests(d, tokenizer_path())),
+        "op11_importance_resampling": lambda spark, sf_dir: resample.resample_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+        "op12_spelling_variants": on_docs(variants.spelling_variants),
+        "op13_quality_classifier": lambda spark, sf_dir: linefield.quality_predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     }
 
 
