@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.functions.text import is_heading_start
 from quillstrata.operators.records import MOST, OVERLAP, TARGET, split_tokens, word_tokens
+from quillstrata.operators.scans import scanned_runs
 
 Counter = Callable[[str], int]
 
@@ -73,12 +74,17 @@ def segment_runs(rows: DataFrame, doc: str, place: str, closes: Column, kept: Co
     return cut.select(doc, F.slice("__qs_items", F.col("__qs_run.first"), F.col("__qs_run.n")).alias("items"))
 
 
-def narrative_fold(elements: DataFrame, count: Counter = word_tokens, target: int = TARGET, most: int = MOST) -> DataFrame:
+def narrative_fold(elements: DataFrame, count: Counter = word_tokens, target: int = TARGET, most: int = MOST, block: int | None = None) -> DataFrame:
     """elements: doc, place, kind, content. doc, narrative, first, last, content: runs closed by headings, size and tables.
 
-    Blank texts are left out, null kinds are texts. Elements of one place are ordered by content.
+    Blank texts are left out, null kinds are texts. Elements of one place are ordered by content. block: fold by a scan over
+    blocks of so many rows, which no document is too long for; without it a segment's texts meet in one call.
     """
     rows = elements.select("doc", "place", (F.coalesce("kind", F.lit("text")) == "table").alias("table"), F.trim(F.coalesce("content", F.lit(""))).alias("content")).where("table or content <> ''")
-    runs = segment_runs(rows, "doc", "place", F.col("table") | is_heading_start(F.col("content")), ~F.col("table"), fold_runs(count, target, most))
+    closes, kept = F.col("table") | is_heading_start(F.col("content")), ~F.col("table")
+    ends = (F.col("items")[0]["place"].alias("first"), F.element_at("items", -1)["place"].alias("last"), F.array_join("items.content", "\n\n").alias("content"))
+    if block is not None:
+        return scanned_runs(rows, "doc", "place", closes, kept, count, target, most, block=block).select("doc", F.col("number").cast("int").alias("narrative"), *ends)
+    runs = segment_runs(rows, "doc", "place", closes, kept, fold_runs(count, target, most))
     order = Window.partitionBy("doc").orderBy(F.col("items")[0]["place"], F.col("items")[0]["content"])
-    return runs.select("doc", (F.row_number().over(order) - 1).alias("narrative"), F.col("items")[0]["place"].alias("first"), F.element_at("items", -1)["place"].alias("last"), F.array_join("items.content", "\n\n").alias("content"))
+    return runs.select("doc", (F.row_number().over(order) - 1).alias("narrative"), *ends)
