@@ -6,8 +6,13 @@ required_evidence_groups array<struct<entity string, target_chunk_ids array<stri
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstrata.functions.text import normalize_space
 from quillstrata.operators.retrieval import MOST_QUERIES
@@ -80,15 +85,16 @@ def containing(docs: DataFrame, id_col: str, text: str, needles: DataFrame, key:
 
     A document that holds a needle holds its inner words whole, those between its first and last blank, so needles are
     looked up by one run of RUN inner words: the run that the fewest documents hold. Pairs that meet by a run are verified.
-    Needles of fewer inner words are tried on all documents; they are counted first, and go in blocks where they are many.
+    Needles of fewer inner words are found in one pass over each text by an automaton of them all; they are counted first,
+    and go in blocks where they are many.
     """
     # Words are columns before runs are made of them, or each run would split its text again.
     split = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), r"[\x20\x09-\x0D]+", -1)
-    parted = needles.select(key, needle, split(needle).alias("w")).where(F.col(needle).isNotNull())
-    rows = parted.withColumn("w", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))).withColumn("__qs_runs", _runs(F.col("w")))
+    parted = needles.select(key, needle, split(needle).alias("__qs_w")).where(F.col(needle).isNotNull())
+    rows = parted.withColumn("__qs_w", F.slice("__qs_w", 2, F.greatest(F.size("__qs_w") - 2, F.lit(0)))).withColumn("__qs_runs", _runs(F.col("__qs_w")))
     long_ = rows.where(F.size("__qs_runs") > 0)
     wanted = long_.select(key, F.explode("__qs_runs").alias("__qs_run"))
-    held = docs.select(id_col, split(text).alias("w")).select(id_col, F.explode(_runs(F.col("w"))).alias("__qs_run")).join(wanted.select("__qs_run").distinct(), "__qs_run", "left_semi")
+    held = docs.select(id_col, split(text).alias("__qs_w")).select(id_col, F.explode(_runs(F.col("__qs_w"))).alias("__qs_run")).join(wanted.select("__qs_run").distinct(), "__qs_run", "left_semi")
     counted = wanted.join(held.groupBy("__qs_run").agg(F.count("*").alias("n")), "__qs_run", "left")
     rarest = counted.groupBy(key).agg(F.min_by("__qs_run", F.struct(F.coalesce("n", F.lit(0)), "__qs_run")).alias("__qs_run"))
     met = held.join(rarest, "__qs_run").select(key, id_col)
@@ -98,10 +104,42 @@ def containing(docs: DataFrame, id_col: str, text: str, needles: DataFrame, key:
     blocks = 0 if not n else 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
     for b in range(blocks):
         block = short if blocks == 1 else short.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        found = found.unionByName(docs.select(id_col, text).join(F.broadcast(block), F.contains(text, needle)).select(key, id_col))
+        found = found.unionByName(_spotted(docs, id_col, text, block, key, needle))
     return found
 
 
+def _spotted(docs: DataFrame, id_col: str, text: str, needles: DataFrame, key: str, needle: str) -> DataFrame:
+    """key, id_col: as containing(), by one automaton of the needles (at most MOST_QUERIES) for each task."""
+    table = needles.toArrow().combine_chunks()
+    sent = docs.sparkSession.sparkContext.broadcast((table.column(key).combine_chunks(), table.column(needle).to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, words = sent.value
+        places: dict[str, list[int]] = {}
+        for i, word in enumerate(words):
+            places.setdefault(word, []).append(i)
+        everywhere = places.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for word, at in places.items():
+            automaton.add_word(word, at)
+        automaton.make_automaton()
+        for b in batches:
+            row, hit = [], []
+            for r, t in enumerate(b.column(text).to_pylist()):
+                if t is None:
+                    continue
+                seen = set(everywhere)
+                if places:
+                    for _, at in automaton.iter(t):
+                        seen.update(at)
+                row += [r] * len(seen)
+                hit += seen
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(hit, pa.int64())), b.column(id_col).take(pa.array(row, pa.int64()))], [key, id_col])
+
+    schema = T.StructType([needles.schema[key], docs.schema[id_col]])
+    return docs.select(id_col, text).mapInArrow(run, schema)
+
+
 def passage_judgements(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs: doc_id, text; passages: query_id, passage. query_id, target: documents that hold the passage verbatim."""
     return containing(docs, "doc_id", "text", passages, "query_id", "passage").withColumnRenamed("doc_id", "target")

@@ -3,11 +3,13 @@
 Records are (doc_id, text, ...) and queries (query_id, text or vector). Scores are rounded to DIGITS before ranking, so
 that ties don't hang on the order of floating-point sums; ties go to the smaller doc_id (the record's place).
 
-A lexical index can be stored: postings in buckets of their tokens, so that a search reads the buckets of its own tokens.
+A lexical index can be stored: blocks of postings in buckets of their tokens, so that a search reads the buckets of its own
+tokens and, of those, what may be among the best (postings).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstrata.functions.text import financial_tokens
+from quillstrata.operators import postings
 from quillstrata.sources import sinks
 
 DIGITS = 6
@@ -25,18 +28,28 @@ K1, B = 1.5, 0.75
 RRF_K, CANDIDATES, LIMIT = 60, 30, 10
 #: Query rows, and bytes of query vectors, that may be sent to every task at once.
 MOST_QUERIES, MOST_QUERY_BYTES = 20_000, 32_000_000
+#: Query terms that may be sent to every task at once.
+MOST_TERMS = 200_000
 #: Buckets of a stored index's postings.
 BUCKETS = 256
 
 
 @dataclass
 class LexicalIndex:
-    """postings (token, doc_id, tf, dl), doc_len (doc_id, dl), term_df (token, df) and stats (n, avgdl: one row)."""
+    """postings (token, doc_id, tf, dl), doc_len (doc_id, dl), term_df (token, df) and stats (n, avgdl: one row).
+
+    A stored index has blocks of postings, too (postings.blocks()), and terms (token, df), both by bucket, and the number n
+    of its documents.
+    """
 
     postings: DataFrame
     doc_len: DataFrame
     term_df: DataFrame
     stats: DataFrame
+    blocks: DataFrame | None = None
+    terms: DataFrame | None = None
+    n: int = 0
+    buckets: int = 0
 
 
 def tokenized(records: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:
@@ -57,10 +70,10 @@ def lexical_index(records: DataFrame, text: str = "text", vocabulary: DataFrame
     """vocabulary (token): only its postings are built; the statistics are of all records all the same."""
     tokens = tokenized(records, text)
     doc_len = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    postings = _postings(tokens)
+    rows = _postings(tokens)
     if vocabulary is not None:
-        postings = postings.join(vocabulary.select("token").distinct(), "token", "left_semi")
-    return LexicalIndex(postings, doc_len, postings.groupBy("token").agg(F.count("*").alias("df")), doc_len.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+        rows = rows.join(vocabulary.select("token").distinct(), "token", "left_semi")
+    return LexicalIndex(rows, doc_len, rows.groupBy("token").agg(F.count("*").alias("df")), doc_len.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def _bucket(token: Column, buckets: int) -> Column:
@@ -68,17 +81,22 @@ def _bucket(token: Column, buckets: int) -> Column:
 
 
 def store_index(records: DataFrame, path: str, text: str = "text", buckets: int = BUCKETS, overwrite: bool = False) -> None:
-    """The index of records below path: texts are split once, postings go to folders by bucket, sorted by token."""
+    """The index of records below path: texts are split once, blocks of postings go to folders by their token's bucket."""
 
     def write(place: str) -> None:
+        read = lambda name: records.sparkSession.read.parquet(f"{place}/{name}")
         tokenized(records, text).write.parquet(f"{place}/tokens")
-        tokens = records.sparkSession.read.parquet(f"{place}/tokens")
-        split = _postings(tokens).withColumn("bucket", _bucket(F.col("token"), buckets))
-        split.repartition("bucket").sortWithinPartitions("bucket", "token", "doc_id").write.partitionBy("bucket").parquet(f"{place}/postings")
-        postings = records.sparkSession.read.parquet(f"{place}/postings")
-        postings.groupBy("bucket", "token").agg(F.count("*").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{place}/term_df")
+        tokens = read("tokens")
         tokens.select("doc_id", F.size("tokens").cast("long").alias("dl")).write.parquet(f"{place}/doc_len")
-        records.sparkSession.read.parquet(f"{place}/doc_len").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{place}/stats")
+        sums = read("doc_len").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        parts = max(1, -(-sums.n // postings.PART_DOCS))
+        read("doc_len").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(parts).alias("parts")).coalesce(1).write.parquet(f"{place}/stats")
+        impact = F.col("tf") / (K1 * (1 - B + B * F.col("dl") / F.lit(sums.avgdl)) + F.col("tf"))
+        # A bucket's frequent tokens are spread over its parts before they are written.
+        made = postings.blocks(_postings(tokens), impact, parts).withColumn("bucket", _bucket(F.col("token"), buckets))
+        made.repartition("bucket", F.floor(F.col("part") / 64)).sortWithinPartitions("bucket", "token", "part").write.partitionBy("bucket").parquet(f"{place}/blocks")
+        terms = read("blocks").groupBy("bucket", "token").agg(F.sum(F.size("docs")).alias("df"))
+        terms.repartition("bucket").write.partitionBy("bucket").parquet(f"{place}/terms")
 
     sinks.published(records.sparkSession, path, write, overwrite)
 
@@ -87,13 +105,14 @@ def stored_index(spark: SparkSession, path: str, queries: DataFrame | None = Non
     """The stored index, or the buckets of the tokens of queries (query_id, text) alone."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     stats = read("stats")
-    postings, term_df = read("postings"), read("term_df")
+    blocks, terms = read("blocks"), read("terms")
+    about = stats.first()
     if queries is not None:
-        buckets = int(stats.first()["buckets"])
+        buckets = int(about["buckets"])
         asked = _asked(queries).select(_bucket(F.col("token"), buckets).alias("b")).distinct()
         wanted = [r[0] for r in asked.collect()]  # numbers below buckets
-        postings, term_df = (df.where(F.col("bucket").isin(wanted)) for df in (postings, term_df))
-    return LexicalIndex(postings.drop("bucket"), read("doc_len"), term_df.drop("bucket"), stats.select("n", "avgdl"))
+        blocks, terms = (df.where(F.col("bucket").isin(wanted)) for df in (blocks, terms))
+    return LexicalIndex(postings.flat(blocks), read("doc_len"), terms.drop("bucket"), stats.select("n", "avgdl"), blocks, terms, int(about["n"]), int(about["buckets"]))
 
 
 def ranked(scores: DataFrame, limit: int, method: str) -> DataFrame:
@@ -116,28 +135,59 @@ def bm25_scores(records: DataFrame | LexicalIndex, queries: DataFrame) -> DataFr
     asked = _asked(queries)
     words = asked.select("token").distinct()
     if isinstance(records, LexicalIndex):
-        postings, stats = records.postings.join(words, "token", "left_semi"), records.stats
+        rows, stats = records.postings.join(words, "token", "left_semi"), records.stats
         df = records.term_df.join(words, "token", "left_semi")
     else:
         tokens = tokenized(records)
-        postings = _postings(tokens).join(words, "token", "left_semi")
-        df = postings.groupBy("token").agg(F.count("*").alias("df"))
+        rows = _postings(tokens).join(words, "token", "left_semi")
+        df = rows.groupBy("token").agg(F.count("*").alias("df"))
         stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     # stats is one row, so the join that adds it multiplies nothing.
     rare = df.crossJoin(F.broadcast(stats)).select("token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    hits = postings.join(asked.join(rare, "token"), "token").select("query_id", "doc_id", (weight * F.col("qtf")).alias("w"))
+    hits = rows.join(asked.join(rare, "token"), "token").select("query_id", "doc_id", (weight * F.col("qtf")).alias("w"))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score")).where("score > 0")
 
 
 def bm25_topk(records: DataFrame | LexicalIndex, queries: DataFrame, limit: int = LIMIT, where: Column | None = None, rows: DataFrame | None = None) -> DataFrame:
-    """where filters the ranked records (rows: where the filter's columns are, if records is an index); statistics stay those of all."""
+    """where filters the ranked records (rows: where the filter's columns are, if records is an index); statistics stay those of all.
+
+    A stored index without a filter is searched with bounds, if the queries' terms are no more than MOST_TERMS: what cannot
+    be among the best is not scored.
+    """
+    if isinstance(records, LexicalIndex) and records.blocks is not None and where is None and (terms := _weights(records, queries)):
+        return ranked(postings.best_by_task(*terms, limit, records.doc_len.schema["doc_id"].dataType), limit, "bm25")
     scores = bm25_scores(records, queries)
     if where is not None:
         scores = scores.join((records if rows is None else rows).where(where).select("doc_id"), "doc_id", "left_semi")
     return ranked(scores, limit, "bm25")
 
 
+def _weights(index: LexicalIndex, queries: DataFrame) -> tuple[DataFrame, pa.Array, list[list[tuple[str, float]]]] | None:
+    """(the blocks of the queries' tokens, query ids, of each its known tokens with idf times repeats); None: too many terms."""
+    asked = _asked(queries).withColumn("bucket", _bucket(F.col("token"), index.buckets)).limit(MOST_TERMS + 1).toArrow()
+    if asked.num_rows > MOST_TERMS:
+        return None
+    tokens, buckets = asked.column("token").to_pylist(), asked.column("bucket").unique().to_pylist()
+    spark = index.blocks.sparkSession
+    names = spark.createDataFrame(pa.table({"token": asked.column("token").unique()}))
+    own = lambda rows, how: rows.where(F.col("bucket").isin(buckets)).join(F.broadcast(names), "token", how)
+    df = {r.token: r.df for r in own(index.terms, "inner").select("token", "df").collect()}
+    idf = {t: math.log(1 + (index.n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
+    ids = asked.column("query_id").combine_chunks().dictionary_encode()
+    terms: list[list[tuple[str, float]]] = [[] for _ in ids.dictionary]
+    for q, t, n in zip(ids.indices.to_pylist(), tokens, asked.column("qtf").to_pylist(), strict=True):
+        if t in idf:
+            terms[q].append((t, idf[t] * n))
+    return own(index.blocks, "left_semi"), ids.dictionary, terms
+
+
+def bm25_pruning(index: LexicalIndex, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """query_id, postings, read: of a stored index's postings of a query's tokens, how many a search adds up."""
+    each = postings.best_by_task(*_weights(index, queries), limit, index.doc_len.schema["doc_id"].dataType, read=True)
+    return each.groupBy("query_id").agg(F.sum("postings").alias("postings"), F.sum("read").alias("read"))
+
+
 def unit(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.transform(vector, lambda x: x.cast("double") / norm)
@@ -176,7 +226,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, where
 
     Vectors of several widths, with a component that is not finite, or of length zero fail the query. A query set goes to
     every task in blocks of at most MOST_QUERIES rows and MOST_QUERY_BYTES, each over all vectors: a batch is one matrix
-    product, and only what may be among its best limit leaves the task.
+    product, a task keeps each query's best limit from batch to batch, and only those leave it.
     """
     width = _width(vectors, "embedding")
     wrong = vector_faults(queries, "query_id", "vector", width).unionByName(vector_faults(vectors, "doc_id", "embedding", width))
@@ -195,26 +245,42 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, where
             top = _scored(pool, table, width, limit, schema)
             out = top if out is None else out.unionByName(top)
     scores = out if out is not None else pool.sparkSession.createDataFrame([], schema)
-    return ranked(scores.select("query_id", "doc_id", F.round("raw", DIGITS).alias("score")), limit, "dense")
+    return ranked(scores.select("query_id", "doc_id", F.col("raw").alias("score")), limit, "dense")
 
 
 def _scored(pool: DataFrame, asked: pa.Table, width: int, limit: int, schema: T.StructType) -> DataFrame:
+    """query_id, doc_id, raw (rounded): a task's own best limit of each query, carried from batch to batch."""
     sent = pool.sparkSession.sparkContext.broadcast((_matrix(asked.column("vector").combine_chunks(), width), asked.column("query_id").combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, names = sent.value
-        # What rounding may lift to the limit-th place stays.
-        slack = 2 * 10.0**-DIGITS
+        n = len(matrix)
+        bar = np.full(n, -np.inf)  # the limit-th best score so far
+        query, score, place = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        kind = None
         for batch in batches:
+            kind = batch.column("doc_id").type
+            ids = np.array(batch.column("doc_id").to_pylist(), None if pa.types.is_integer(kind) else object)
             for at in range(0, batch.num_rows, 4_096):
                 part = batch.slice(at, 4_096)
-                scores = _matrix(part.column("embedding"), width) @ matrix.T
-                if part.num_rows > limit:
-                    bar = np.partition(scores, part.num_rows - limit, axis=0)[part.num_rows - limit]
-                    i, j = np.nonzero(scores >= bar - slack)
-                else:
-                    i, j = np.indices(scores.shape).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), part.column("doc_id").take(pa.array(i)), pa.array(scores[i, j])], ["query_id", "doc_id", "raw"])
+                scores = np.round(_matrix(part.column("embedding"), width) @ matrix.T, DIGITS)
+                floor = bar if part.num_rows <= limit else np.maximum(bar, np.partition(scores, part.num_rows - limit, axis=0)[part.num_rows - limit])
+                i, j = np.nonzero(scores >= floor)
+                if not len(i):
+                    continue
+                new_ids = ids[at + i]
+                query, score, place = np.concatenate([query, j]), np.concatenate([score, scores[i, j]]), new_ids if not len(place) else np.concatenate([place, new_ids])
+                # Best first, ties to the smaller id; the first limit of each query stay.
+                by_id = np.argsort(place, kind="stable")
+                order = by_id[np.lexsort((-score[by_id], query[by_id]))]
+                query, score, place = query[order], score[order], place[order]
+                first = np.searchsorted(query, np.arange(n))
+                rank = np.arange(len(query)) - first[query]
+                full = rank == limit - 1
+                bar[query[full]] = score[full]
+                query, score, place = query[rank < limit], score[rank < limit], place[rank < limit]
+        if len(query):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(place.tolist(), kind), pa.array(score)], ["query_id", "doc_id", "raw"])
 
     return pool.mapInArrow(run, schema)
 
