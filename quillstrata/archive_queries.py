@@ -343,9 +343,9 @@ def structure_titles(t):
     return t("region").select("r_regionkey", structure.table_title(text, F.lit(True)).alias("title"), structure.table_title(text, F.lit(False)).alias("plain_title"))
 
 
-@query("SELECT 'structure_aware' AS variant, sha256('{\"chunker_version\":\"bankscope-structure-aware-v3\",\"data_locator_max_tokens\":512,\"parser_name\":\"sec2md\",\"parser_version\":\"0.1.23\",\"table_text_locator_max_tokens\":1024,\"text_max_tokens\":1024,\"text_overlap_tokens\":64,\"text_target_tokens\":512,\"variant\":\"structure_aware\"}') AS hash")
+@query("""SELECT n_name AS variant, sha256('{"chunker_version":"chunker-' || n_regionkey || '","data_locator_max_tokens":512,"parser_name":"sec2md","parser_version":"0.1.23","table_text_locator_max_tokens":1024,"text_max_tokens":1024,"text_overlap_tokens":64,"text_target_tokens":512,"variant":"' || n_name || '"}') AS hash FROM nation""")
 def config_hashes(t):
-    return t("region").sparkSession.range(1).select(F.lit("structure_aware").alias("variant"), F.lit(structure.config_hash("structure_aware")).alias("hash"))
+    return t("nation").select(F.col("n_name").alias("variant"), structure.config_hashes(F.col("n_name"), F.concat(F.lit("chunker-"), F.col("n_regionkey"))).alias("hash"))
 
 
 def _adapted(t) -> DataFrame:

@@ -84,7 +84,7 @@ def merge_manifest(old: DataFrame, new: DataFrame, registry: DataFrame) -> DataF
     both = old.withColumn("__qs_age", F.lit(0)).unionByName(new.withColumn("__qs_age", F.lit(1)))
     both = both.withColumn("ticker", required(F.upper(F.trim("ticker")), F.trim("ticker") != "", "manifest row without a ticker"))
     order = Window.partitionBy("ticker").orderBy(F.desc("__qs_age"))
-    return both.withColumn("__qs_n", F.row_number().over(order)).where("__qs_n = 1").drop("__qs_n", "__qs_age").join(F.broadcast(registry.where("enabled").select("ticker", "place")), "ticker")
+    return both.withColumn("__qs_n", F.row_number().over(order)).where("__qs_n = 1").drop("__qs_n", "__qs_age").join(registry.where("enabled").select("ticker", "place"), "ticker")
 
 
 def excluded(rows: DataFrame, *tickers: str) -> DataFrame:

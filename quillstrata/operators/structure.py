@@ -20,7 +20,8 @@ from quillstrata.operators.records import word_tokens
 # Token bounds of records, and what configuration hashes are of.
 TEXT_TARGET, TEXT_MOST, TEXT_OVERLAP, DATA_MOST, TABLE_TEXT_MOST = 512, 1024, 64, 512, 1024
 PARSER = ("sec2md", "0.1.23")
-CHUNKERS = {"sec2md_builtin": "sec2md-built-in-v1", "structure_aware": "bankscope-structure-aware-v3"}
+#: Names of the chunkers in configurations, where a caller gives no others; identities of a corpus made elsewhere need its own.
+CHUNKERS = {"sec2md_builtin": "sec2md-built-in-v1", "structure_aware": "structure-aware-v3"}
 MOST_TITLE, CONTEXT_LINES = 180, 4
 
 
@@ -29,13 +30,22 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def config_hash(variant: str) -> str:
-    """SHA-256 of a variant's configuration."""
-    config = {
+def _configuration(variant: object, chunker: object) -> dict[str, object]:
+    return {
         "variant": variant, "text_target_tokens": TEXT_TARGET, "text_max_tokens": TEXT_MOST, "text_overlap_tokens": TEXT_OVERLAP, "data_locator_max_tokens": DATA_MOST,
-        "table_text_locator_max_tokens": TABLE_TEXT_MOST, "parser_name": PARSER[0], "parser_version": PARSER[1], "chunker_version": CHUNKERS[variant],
+        "table_text_locator_max_tokens": TABLE_TEXT_MOST, "parser_name": PARSER[0], "parser_version": PARSER[1], "chunker_version": chunker,
     }
-    return hashlib.sha256(canonical_json(config).encode()).hexdigest()
+
+
+def config_hash(variant: str, chunker: str | None = None) -> str:
+    """SHA-256 of a variant's configuration."""
+    return hashlib.sha256(canonical_json(_configuration(variant, chunker or CHUNKERS[variant])).encode()).hexdigest()
+
+
+def config_hashes(variant: Column, chunker: Column) -> Column:
+    """config_hash of rows."""
+    fields = sorted(_configuration(variant, chunker).items())
+    return F.sha2(F.to_json(F.struct(*((x if isinstance(x, Column) else F.lit(x)).alias(name) for name, x in fields))), 256)
 
 
 def table_blocks(text: Column) -> Column:

@@ -142,17 +142,33 @@ class _Elements(html.parser.HTMLParser):
             self._links += len(data.strip()) * self._in_link
 
 
+def _elements_of(source: str | None) -> Iterator[tuple[int, str, str, float]]:
+    """(place, kind, text, share of characters inside links) of a page's elements."""
+    parser = _Elements()
+    parser.feed(source or "")
+    parser._close()
+    for i, (kind, text, links) in enumerate(parser.found):
+        yield i, kind, text, min(1.0, links / len(text))
+
+
+class PageElements:
+    """The table function page_elements(html): place, kind, text, link_ratio; a null page has no elements."""
+
+    def eval(self, html: str):
+        yield from _elements_of(html)
+
+
+def register_page_elements(spark: SparkSession, name: str = "page_elements") -> None:
+    """Lets SQL of the session say FROM pages p, LATERAL page_elements(p.html)."""
+    spark.udtf.register(name, F.udtf(PageElements, returnType="place int, kind string, text string, link_ratio double"))
+
+
 def page_elements(pages: DataFrame) -> DataFrame:
     """pages: page_id, html. page_id, place, kind, text, link_ratio (share of characters inside links)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for page, source in zip(pdf["page_id"], pdf["html"], strict=True):
-                parser = _Elements()
-                parser.feed(source or "")
-                parser._close()
-                rows += [(page, i, k, t, min(1.0, n / len(t))) for i, (k, t, n) in enumerate(parser.found)]
+            rows = [(page, *x) for page, source in zip(pdf["page_id"], pdf["html"], strict=True) for x in _elements_of(source)]
             yield pd.DataFrame(rows, columns=["page_id", "place", "kind", "text", "link_ratio"])
 
     return pages.where("page_id is not null").select("page_id", "html").mapInPandas(run, "page_id long, place int, kind string, text string, link_ratio double")
