@@ -140,10 +140,14 @@ def posting_blocks(t):
 _PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, 'title' AS kind, {_PLAIN.format(chr(39).join(['regexp_extract(html, ', '(?is)<title>(.*?)</title>', ', 1)']))} AS text, 0.0::DOUBLE AS link_ratio FROM pages UNION ALL SELECT page_id, 'h1', {_PLAIN.format(chr(39).join(['regexp_extract(html, ', '(?is)<h1>(.*?)</h1>', ', 1)']))}, 0.0 FROM pages")
+@query(
+    f"""WITH h AS (SELECT page_id, 'heading' AS kind, unnest(regexp_extract_all(html, '(?is)<(?:title|h1)>.*?</(?:title|h1)>')) AS raw FROM pages
+    UNION ALL SELECT page_id, 'item', unnest(regexp_extract_all(html, '(?is)<li>.*?</li>')) FROM pages)
+    SELECT page_id, kind, {_PLAIN.format("raw")} AS text, (kind = 'item' AND raw LIKE '<li><a %')::INT::DOUBLE AS link_ratio FROM h"""
+)
 def page_headings(t):
-    """The table function laterally in SQL."""
+    """The table function laterally in SQL: titles, headings and list items of pages."""
     rows = t("pages")
     spark = rows.sparkSession
     files.register_page_elements(spark)
-    return spark.sql("SELECT page_id, e.kind, e.text, e.link_ratio FROM {pages} p, LATERAL page_elements(p.html) e WHERE e.kind IN ('title', 'h1')", pages=rows)
+    return spark.sql("SELECT page_id, e.kind, e.text, e.link_ratio FROM {pages} p, LATERAL page_elements(p.html) e WHERE e.kind IN ('heading', 'item')", pages=rows)
