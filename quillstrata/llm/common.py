@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -55,13 +56,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files (and checkpoints, where it may) of tables that nothing refers to any more.
+class Scratch:
+    """Tables of one computation below the shared checkpoint folder, removed together once its result stands.
 
-    It works on what the driver's garbage collector finds, which may come long after the disk is full.
+    While it is used, shuffle files go as soon as the table that needed them is written.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        ready_checkpoints(spark)
+        self._spark, self._n = spark, 0
+        self._folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        self._before = self._spark.conf.get(self._CLEANUP, None)
+        self._spark.conf.set(self._CLEANUP, "true")
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, evaluated once, written and read again."""
+        self._n += 1
+        df.write.parquet(f"{self._folder}/{self._n}")
+        return self._spark.read.schema(df.schema).parquet(f"{self._folder}/{self._n}")
+
+    def __exit__(self, *_: object) -> None:
+        if self._before is None:
+            self._spark.conf.unset(self._CLEANUP)
+        else:
+            self._spark.conf.set(self._CLEANUP, self._before)
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Arrow types by the names that schemas use here.

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import cut, lean, map_texts, release, text_key, text_or_empty
+from quillstrata.llm.common import Scratch, cut, lean, map_texts, text_key, text_or_empty
 from quillstrata.llm.components import connected_components
 
 SHINGLE = 5
@@ -35,6 +35,9 @@ WIDE_BYTES = 64
 KEYS = 192
 MOST_BITS = 110
 ALL_PAIRS = 4
+#: Pairs of a root that a round verifies; None: all that are left. Pairs that meet in one task.
+TRIES = (1, 8, 64, None)
+CELL = 1_024
 #: Keys of the first round.
 FIRST_KEYS = 32
 #: Texts of a long posting that one task holds on either side; rows compared at a time.
@@ -168,37 +171,39 @@ def _facing(texts: DataFrame, keys: int) -> DataFrame:
     return rows.mapInArrow(lean(run), "post long, root long, id long")
 
 
-def close_pairs(ids: list[int], fps: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
-    """Pairs of a posting whose fingerprints (rows of 64-bit lanes) differ in at most most bits; see ALL_PAIRS."""
+def close_pairs(ids: list[int], fps: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int, int]]:
+    """(a, b, bits) of pairs of a posting whose fingerprints (rows of 64-bit lanes) differ in at most most bits; see ALL_PAIRS."""
     n = len(ids)
 
-    def near(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-        ok = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= most
-        return [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True)]
+    def near(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
+        bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1)
+        ok = bits <= most
+        return [(min(ids[a], ids[b]), max(ids[a], ids[b]), c) for a, b, c in zip(i[ok].tolist(), j[ok].tolist(), bits[ok].tolist(), strict=True)]
 
     if n <= ALL_PAIRS:
         return near(*np.triu_indices(n, 1))
     found, rest = [], np.arange(n)
     while len(rest) > 1:
         lead, rest = rest[0], rest[1:]
-        close = np.bitwise_count(fps[lead] ^ fps[rest]).sum(axis=1) <= most
-        found += [(ids[lead], ids[i]) for i in rest[close].tolist()]
+        bits = np.bitwise_count(fps[lead] ^ fps[rest]).sum(axis=1)
+        close = bits <= most
+        found += [(min(ids[lead], ids[i]), max(ids[lead], ids[i]), c) for i, c in zip(rest[close].tolist(), bits[close].tolist(), strict=True)]
         rest = rest[~close]
-    return [(min(x), max(x)) for x in found]
+    return found
 
 
 def _pairs(members: DataFrame, most: int) -> DataFrame:
-    """a, b: close pairs. members: post, id, fp; sorted by posting within a partition; at most CHUNK texts are held."""
+    """a, b, bits: close pairs. members: post, id, fp; sorted by posting within a partition; at most chunk texts are held."""
     chunk = 2_048
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, fps = None, [], []
 
-        def done() -> list[tuple[int, int]]:
+        def done() -> list[tuple[int, int, int]]:
             return close_pairs(ids, np.frombuffer(b"".join(fps), np.uint64).reshape(-1, _LANES), most) if len(ids) > 1 else []
 
         for b in batches:
-            out: set[tuple[int, int]] = set()
+            out: set[tuple[int, int, int]] = set()
             for p, i, f in zip(b.column("post").to_pylist(), b.column("id").to_pylist(), b.column("fp").to_pylist(), strict=True):
                 if p != now:
                     out.update(done())
@@ -211,7 +216,7 @@ def _pairs(members: DataFrame, most: int) -> DataFrame:
             yield _edge_batch(out)
         yield _edge_batch(done())
 
-    return members.repartition("post").sortWithinPartitions("post", "id").mapInArrow(lean(run), "a long, b long")
+    return members.repartition("post").sortWithinPartitions("post", "id").mapInArrow(lean(run), "a long, b long, bits int").distinct()
 
 
 def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -231,8 +236,11 @@ def _first_shared(x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
     return out
 
 
-def cross_pairs(key: int, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, split: int | None = None, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of different roots that differ in at most most bits and share no posting before key.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def cross_pairs(key: int, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, split: int | None = None, most: int = MOST_BITS) -> Found:
+    """(a, b, their roots, bits) of all pairs of different roots that differ in at most most bits and share no posting before key.
 
     split: only pairs of a row before it and one from it on (two blocks); None: all pairs of rows.
     """
@@ -245,41 +253,40 @@ def cross_pairs(key: int, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, s
     else:
         left, right = np.arange(split), np.arange(split, n)
         counted = np.zeros(len(right), bool)
-    a, b = [], []
+    found: list[Found] = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.int32),)]
     for at in range(0, len(left), STRIP):
         rows = left[at : at + STRIP]
-        ok = (_apart(fps[rows], fps[right]) <= most) & (roots[rows][:, None] != roots[right][None, :])
+        bits = _apart(fps[rows], fps[right])
+        ok = (bits <= most) & (roots[rows][:, None] != roots[right][None, :])
         ok &= ~counted[None, :] | (rows[:, None] < right[None, :])
-        i, j = np.nonzero(ok)
-        i, j = rows[i], right[j]
+        x, y = np.nonzero(ok)
+        i, j, bits = rows[x], right[y], bits[x, y]
         new = _first_shared(fps[i], fps[j], key)
-        a.append(np.minimum(ids[i[new]], ids[j[new]]))
-        b.append(np.maximum(ids[i[new]], ids[j[new]]))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+        i, j = i[new], j[new]
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        found.append((ids[i], ids[j], roots[i], roots[j], bits[new].astype(np.int32)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: all close pairs of different roots that share a posting. members: post, root, id; texts: id, fp."""
+    """a, b, ra, rb, bits: all close pairs of different roots that share a posting. members: post, root, id; texts: id, fp."""
     long_ = members.groupBy("post").count().where(F.col("count") > BLOCK)
     parts = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
     dealt = members.join(long_, "post", "left").withColumn("parts", parts).withColumn("u", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("post", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "root", "id").join(texts.select("id", "fp"), "id").select("post", "i", "j", "u", "root", "id", "fp")
 
-    def pairs(table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(table: tuple[np.ndarray, ...]) -> Found:
         post, i, j, u, roots, ids, fps = table
         ends = np.flatnonzero(np.concatenate([(post[1:] != post[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])) + 1
-        a, b, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        found, start = [cross_pairs(0, ids[:0], roots[:0], fps[:0], 0)], 0
         for end in ends.tolist():
             r = roots[start:end]
             if end - start > 1 and (r[0] != r).any():
                 split = int((u[start:end] == i[start]).sum()) if i[start] != j[start] else None
-                x, y = cross_pairs(int(post[start]) >> 24, ids[start:end], r, fps[start:end], split)
-                a.append(x)
-                b.append(y)
+                found.append(cross_pairs(int(post[start]) >> 24, ids[start:end], r, fps[start:end], split))
             start = end
-        return np.concatenate(a), np.concatenate(b)
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -298,46 +305,120 @@ def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
         if held is not None:
             yield from _edges(*pairs(held))
 
-    return dealt.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j", F.col("u") != F.col("i"), "id").mapInArrow(lean(run), "a long, b long")
+    return dealt.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j", F.col("u") != F.col("i"), "id").mapInArrow(lean(run), "a long, b long, ra long, rb long, bits int")
 
 
-def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(a), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
+def _edges(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["a", "b", "ra", "rb", "bits"])
 
 
 def _edge_batch(pairs) -> pa.RecordBatch:
     rows = [x for x in pairs if x[0] != x[1]]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "bits"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """pairs (a, b) whose texts (id, text) have shingle sets of at least that Jaccard similarity."""
+def _sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """id, set (sorted hashes, eight bytes each): of the texts (id, text) that pairs name, once each."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     found = texts.join(wanted, "id").dropDuplicates(["id"])
-    sets = lambda rows: [[shingle_hashes(t, shingle).view(np.int64) for t in rows]]
-    hashed = cut(map_texts(found, lambda: sets, {"set": "array<long>"}))
-    left, right = (hashed.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    both, all_ = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-    return pairs.join(left, "a").join(right, "b").where(both >= similarity * (all_ - both) - 1e-9).where("a <> b").select("a", "b")
+    return map_texts(found, lambda: lambda rows: [[shingle_hashes(t, shingle).tobytes() for t in rows]], {"set": "binary"})
+
+
+def _chosen(pairs: DataFrame, tries: int | None) -> DataFrame:
+    """The pairs (a, b, ra, rb, bits) to verify next: of each root its tries closest; None: all."""
+    if tries is None:
+        return pairs
+    sides = pairs.withColumn("root", F.explode(F.array("ra", "rb")))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("bits", "a", "b"))
+    return sides.withColumn("place", place).where(F.col("place") <= tries).drop("root", "place").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """ra, rb of the pairs whose sets have at least that Jaccard similarity.
+
+    Pairs of two roots meet in cells of about CELL; a set travels once to a cell, however many of its pairs are there.
+    """
+    sizes = pairs.groupBy("ra", "rb").agg(F.ceil(F.sqrt(F.count("*") / CELL)).cast("int").alias("p")).where("p > 1")
+    p = F.coalesce("p", F.lit(1))
+    celled = pairs.join(sizes, ["ra", "rb"], "left").withColumn("cell", F.xxhash64("ra", "rb", F.pmod(F.xxhash64("a"), p), F.pmod(F.xxhash64("b"), p)))
+    ends = celled.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    none = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
+    rows = ends.select("cell", F.lit(0).alias("kind"), F.col("id").alias("a"), *none("b", "ra", "rb"), "set").unionByName(celled.select("cell", F.lit(1).alias("kind"), "a", "b", "ra", "rb", F.lit(None).cast("binary").alias("set")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            good: set[tuple[int, int]] = set()
+            for cell, kind, a, b, ra, rb, x in zip(*(batch.column(c).to_pylist() for c in ("cell", "kind", "a", "b", "ra", "rb", "set")), strict=True):
+                if cell != now:
+                    now, held = cell, {}
+                if kind == 0:
+                    held[a] = np.frombuffer(x, np.uint64)
+                    continue
+                x, y = held[a], held[b]
+                least = similarity * (len(x) + len(y)) / (1 + similarity)  # what both must share
+                if min(len(x), len(y)) >= least - 1e-9 and len(np.intersect1d(x, y, assume_unique=True)) >= least - 1e-9:
+                    good.add((ra, rb))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["ra", "rb"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(lean(run), "ra long, rb long").distinct()
+
+
+def _composed(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """node, root: where old's roots, and nodes that only new knows, are now."""
+    if old is None:
+        return new
+    later = new.select(F.col("node").alias("root"), F.col("root").alias("later"))
+    moved = old.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
+    return moved.unionByName(new.join(old, "node", "left_anti").select("node", "root"))
+
+
+def join_roots(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame | None:
+    """node (a root), root: what verified pairs (a, b, ra, rb, bits; kept) join; None: nothing.
+
+    A spanning forest is enough, so each round verifies the closest pairs of each root, joins, and drops the pairs inside
+    what is joined. Rounds try more and more pairs of a root, the last one all that still cross two: no pair is left out.
+    """
+    labels = None
+    for tries in TRIES:
+        chosen = scratch.keep(_chosen(pairs, tries))
+        good = scratch.keep(_verified(chosen, sets, similarity))
+        if tries is not None:
+            pairs = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        if not good.isEmpty():
+            new = scratch.keep(connected_components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+            labels = scratch.keep(_composed(labels, new))
+            for side in ("ra", "rb"):
+                pairs = pairs.join(new.select(F.col("node").alias(side), F.col("root").alias("up")), side, "left").withColumn(side, F.coalesce("up", side)).drop("up")
+            pairs = pairs.where("ra <> rb").select("a", "b", "ra", "rb", "bits")
+        if tries is None:
+            break
+        pairs = scratch.keep(pairs)
+        if pairs.isEmpty():
+            break
+    return labels
 
 
 def similar_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id (64-bit hash of a text), root: texts that chains of verified pairs join; only texts with a partner."""
+    """id (64-bit hash of a text), root: every text, and what chains of verified pairs join it to."""
     texts = docs.select(text_key(text_or_empty())[0].alias("id"), text_or_empty().alias("text"))
     # Repeated texts give equal rows, which one aggregate folds before the index is built.
     marked = map_texts(texts, lambda: lambda rows: [[wide_fingerprint(t, shingle) for t in rows]], {"fp": "binary"})
-    distinct = cut(marked.groupBy("id").agg(F.max("fp").alias("fp")))
-
-    verified = lambda pairs: cut(_verified(cut(pairs.distinct()), texts, shingle, similarity))
-    edges = verified(_pairs(_members(distinct.withColumn("root", F.col("id")), FIRST_KEYS), MOST_BITS))
-    roots = connected_components(edges).withColumnRenamed("node", "id")
-    rooted = cut(distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    del roots
-    release(docs.sparkSession)
-    met = cut(_facing(rooted, KEYS))
-    release(docs.sparkSession)
-    return connected_components(edges.union(verified(_compared(met, distinct)))).withColumnRenamed("node", "id")
+
+    def moved(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return rows
+        return rows.join(labels.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up")
+
+    with Scratch(docs.sparkSession) as scratch:
+        distinct = scratch.keep(marked.groupBy("id").agg(F.max("fp").alias("fp")))
+        alone = distinct.withColumn("root", F.col("id"))
+        first = scratch.keep(_pairs(_members(alone, FIRST_KEYS), MOST_BITS).withColumns({"ra": F.col("a"), "rb": F.col("b")}))
+        rooted = scratch.keep(moved(alone, join_roots(first, scratch.keep(_sets(texts, first, shingle)), similarity, scratch)))
+        met = scratch.keep(_facing(rooted, KEYS))
+        second = scratch.keep(_compared(met, distinct))
+        return cut(moved(rooted, join_roots(second, scratch.keep(_sets(texts, second, shingle)), similarity, scratch)).select("id", "root"))
 
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
