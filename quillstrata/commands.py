@@ -27,6 +27,7 @@ from quillstrata.operators.records import word_tokens
 from quillstrata.sources import sinks
 from quillstrata.sources.filings import parse_filings
 from quillstrata.sources.files import embedding_inputs, read_html, read_query_texts, read_registry
+from quillstrata.sources.lineage import cut
 from quillstrata.sources.paths import inside
 from quillstrata.sources.settings import load_settings, web_fetcher
 
@@ -228,35 +229,34 @@ def benchmark(spark: SparkSession, queries: str, embeddings: str, model: str, li
     return report
 
 
-def download(spark: SparkSession, registry: str, manifest: str, output: str, fetch: str | None = None, ticker: list[str] | None = None, root: str | None = None) -> int:
+def download(spark: SparkSession, registry: str, manifest: str, output: str, fetch: str | None = None, ticker: list[str] | None = None, root: str | None = None, slots: str | None = None, tasks: int = 1) -> int:
     """The newest filing of the enabled companies as files below output, and the manifest (JSON). Returns the exit status.
 
     Files that are there stay. A company that fails is named in the log; the others go on, and the status is 1. With
     ticker the other rows of the manifest stay. root: a folder that the files must lie in; paths are written relative to it.
+    slots: a folder that all tasks see, for a rate over all of them. Feeds are judged in one job and files written by the
+    tasks; only the companies' rows reach the driver, which writes the manifest.
     """
     log = sinks.configure_logging()
     settings = load_settings() if fetch is None else None
     get, rate = (web_fetcher(settings), settings.sec_requests_per_second) if settings else (named(fetch), 10.0)
     known = read_registry(spark, registry)
     banks = ingest.chosen(known.where("enabled"), *(ticker or []))
-    feeds = ingest.fetched(banks.withColumn("source_url", F.concat(F.lit(ingest.FEED.split("{")[0]), "cik", F.lit(".json"))), get, rate).persist()
-    failed = [(r["ticker"], r["error"]) for r in feeds.where("error is not null").select("ticker", "error").collect()]
-    rows, parsed = [], ingest.parsed_feeds(feeds)
-    for bank in sorted(r["ticker"] for r in feeds.where("error is null").select("ticker").collect()):
-        try:
-            rows += ingest.latest_filings(parsed.where(F.col("ticker") == bank)).collect()
-        except Exception as error:
-            failed.append((bank, str(error).splitlines()[0]))
+    feeds = cut(ingest.fetched(banks.withColumn("source_url", F.concat(F.lit(ingest.FEED.split("{")[0]), "cik", F.lit(".json"))), get, rate, tasks, slots))
     kinds = "cik string, legal_name string, ticker string, form string, accession_number string, filing_date string, report_date string, primary_document string, source_url string, local_html_path string"
-    found = spark.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in rows], kinds)
+    names = [c.split()[0] for c in kinds.split(", ")]
+    judged = ingest.judged_filings(ingest.parsed_feeds(feeds, "PERMISSIVE")).select(*names, "error").collect()  # one row a company
+    failed = [(r["ticker"], r["error"]) for r in [*feeds.where("error is not null").select("ticker", "error").collect(), *judged] if r["error"]]
+    rows = [r for r in judged if not r["error"]]
+    found = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], kinds)
     place = lambda r: f"{output.rstrip('/')}/{r['local_html_path']}"
     missing = [r["ticker"] for r in rows if not sinks.exists(spark, place(r))]
-    for r in ingest.fetched(found.where(F.col("ticker").isin(missing)), get, rate).toLocalIterator() if missing else ():
-        if r["error"]:
-            failed.append((r["ticker"], r["error"]))
-        else:
-            sinks.write_bytes(spark, place(r), bytes(r["content"]))
-            log.info("downloaded", extra={"fields": {"ticker": r["ticker"], "path": place(r)}})
+    if missing:
+        for r in ingest.downloaded(found.where(F.col("ticker").isin(missing)), get, output, rate, tasks, slots).select("ticker", "local_html_path", "error").collect():
+            if r["error"]:
+                failed.append((r["ticker"], r["error"]))
+            else:
+                log.info("downloaded", extra={"fields": {"ticker": r["ticker"], "path": place(r)}})
     lost = {t for t, _ in failed}
     path = F.concat(F.lit(inside(output, root) if root else output.rstrip("/")), F.lit("/"), "local_html_path")
     new = found.where(~F.col("ticker").isin(*lost)) if lost else found
@@ -265,7 +265,6 @@ def download(spark: SparkSession, registry: str, manifest: str, output: str, fet
     sinks.write_manifest(ingest.merge_manifest(old.select(*new.columns), new, known), manifest, "place")
     for t, why in failed:
         log.error("download failed", extra={"fields": {"ticker": t, "error": why}})
-    feeds.unpersist()
     return int(bool(failed))
 
 
@@ -385,7 +384,7 @@ def main(argv: list[str] | None = None) -> int:
     need, flag, many, number, some, free = {"required": True}, {"action": "store_true"}, {"action": "append"}, {"type": int}, {"nargs": "+", "required": True}, {}
     ranking = {"embeddings": free, "model": free, "lexical": free, "candidate_k": {**number, "default": retrieval.CANDIDATES}, "rrf_k": {**number, "default": retrieval.RRF_K}}
     coding = {"batch_size": {**number, "default": vectors.BATCH}, "limit": number}
-    command("download", download, registry=need, manifest=need, output=need, fetch=free, ticker=many, root=free)
+    command("download", download, registry=need, manifest=need, output=need, fetch=free, ticker=many, root=free, slots=free, tasks={**number, "default": 1})
     command("build-corpus", build_corpus, filings=need, pages=need, output=need, grids=free, tokenizer=free, description_mode={"choices": descriptions.MODES, "default": "local"}, model={"default": "gpt-4o"}, client=free, ticker=many, overwrite=flag)
     command("index", index, chunks=need, output=need, overwrite=flag)
     command("embed", embed, chunks=need, output=need, model=need, tokenizer=free, reuse=free, max_seq_length={**number, "default": vectors.MOST_TOKENS}, overwrite=flag, **coding)
