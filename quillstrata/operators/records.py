@@ -24,6 +24,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def split_by_key(rows: DataFrame, known: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with flag: whether known has their key (a null key is never known); no row comes twice, whatever known repeats."""
+    marked = known.where(F.col(key).isNotNull()).select(key).distinct().withColumn(flag, F.lit(True))
+    return rows.join(marked, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def rows_of_arrays(rows: DataFrame, *arrays: str) -> DataFrame:
     """Parallel arrays to rows with place; arrays of unequal length fail the query."""
     same = F.lit(True)

@@ -506,9 +506,9 @@ def corpus_manifest(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillstrata import archive_queries, mechanism_queries  # register their own
+    from quillstrata import archive_queries, coverage_queries, mechanism_queries  # register their own
 
-    assert archive_queries and mechanism_queries
+    assert archive_queries and coverage_queries and mechanism_queries
     return dict(QUERIES)
 
 
