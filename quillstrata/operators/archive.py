@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.operators.corpus import require_none
+from quillstrata.operators.digests import same_order
 from quillstrata.operators.vectors import archive_violations
 from quillstrata.sources import sinks
 from quillstrata.sources.files import read_jsonl
@@ -23,7 +24,13 @@ def _blank(value: Column) -> Column:
 
 
 def order_violations(vectors: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rows (rule, n): ids of either side alone, and ids at another place; both: record_id, pos."""
+    """Rows (rule, n): ids of either side alone, and ids at another place; both: record_id, pos.
+
+    Sides of equal digests agree, which takes one aggregate each; only others are joined to tell what is wrong.
+    """
+    placed = lambda rows: rows.select("record_id", F.coalesce("pos", F.lit(-1)).alias("pos"))
+    if same_order(placed(vectors), placed(expected), "pos", "record_id"):
+        return vectors.sparkSession.createDataFrame([], "rule string, n long")
     pairs = vectors.select("record_id", F.col("pos").alias("a")).join(expected.select("record_id", F.col("pos").alias("b")), "record_id", "full_outer")
     counts = pairs.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("alone"), F.count_if(F.col("a") != F.col("b")).alias("moved"))
     return counts.select(F.explode(F.array(F.struct(F.lit("ids differ from the records'").alias("rule"), F.col("alone").alias("n")), F.struct(F.lit("ids in another order").alias("rule"), F.col("moved").alias("n")))).alias("x")).select("x.*").where("n > 0")
