@@ -158,10 +158,10 @@ def _template_rows(spark) -> DataFrame:
 
 
 def _window_rows(spark) -> DataFrame:
-    """family, fold, w, whole: windows of whole notices; those that two families share teach neither."""
+    """family, fold, w, whole: whole notices and their windows; those that two families share teach neither."""
     of: dict[str, set[str]] = {}
     for family, notice in NOTICES.items():
-        for x in _windows(notice):
+        for x in (" ".join(_words(notice)), *_windows(notice)):
             of.setdefault(x, set()).add(family)
     rows = [(next(iter(f)), x, i % 2) for i, (x, f) in enumerate(of.items()) if len(f) == 1]
     return _rows(spark, rows).select("family", "fold", F.split("text", " ").alias("w"), F.lit(True).alias("whole"))
