@@ -15,7 +15,8 @@ QUERIES = "query_id string, query string, status string, relevant_target_chunk_i
 
 
 @pytest.fixture(scope="module")
-def built(spark):
+def built(spark, tmp_path_factory):
+    """Filings, pages and the corpus of them, which is built and stored once."""
     filings = spark.createDataFrame([("BK", "1", "a-1", "2026-01-01", "2025-12-31", "u", "s", "Bank")], FILINGS)
     pages = spark.createDataFrame(
         [
@@ -24,7 +25,12 @@ def built(spark):
         ],
         PAGES,
     )
-    return filings, pages, *corpus.build_corpus(filings, pages)
+    place = tmp_path_factory.mktemp("corpus")
+    made = []
+    for name, df in zip(("chunks", "tables"), corpus.build_corpus(filings, pages), strict=True):
+        df.write.parquet(str(place / name))
+        made.append(spark.read.parquet(str(place / name)))
+    return filings, pages, *made
 
 
 def test_corpus(built):
