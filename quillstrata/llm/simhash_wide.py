@@ -110,6 +110,12 @@ def _postings(texts: DataFrame, keys: int, fold: bool = True) -> DataFrame:
     return texts.select("id", "root", "fp").mapInArrow(lean(run), "post long, root long, id long")
 
 
+def _with_prints(rows: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """columns, id, fp of rows (columns, id): a text's rows meet its fingerprint as one row, so that it is joined once a text."""
+    packed = rows.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("x"))
+    return packed.join(texts.select("id", "fp"), "id").select("id", "fp", F.explode("x").alias("x")).select(*(f"x.{c}" for c in columns), "id", "fp")
+
+
 def _members(texts: DataFrame, keys: int) -> DataFrame:
     """post, id, fp of postings with at least two roots, a root's least text for each; texts: id, root, fp.
 
@@ -139,7 +145,7 @@ def _members(texts: DataFrame, keys: int) -> DataFrame:
 
     # The exchange by posting serves the grouping too.
     folded = _postings(texts, keys).repartition("post").groupBy("post", "root").agg(F.min("id").alias("id")).select("post", "id")
-    return folded.sortWithinPartitions("post").mapInArrow(lean(run), "post long, id long").join(texts.select("id", "fp"), "id").select("post", "id", "fp")
+    return folded.sortWithinPartitions("post").mapInArrow(lean(run), "post long, id long").transform(lambda rows: _with_prints(rows, texts, "post"))
 
 
 def _facing(texts: DataFrame, keys: int) -> DataFrame:
@@ -274,7 +280,7 @@ def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
     parts = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
     dealt = members.join(long_, "post", "left").withColumn("parts", parts).withColumn("u", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("post", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "root", "id").join(texts.select("id", "fp"), "id").select("post", "i", "j", "u", "root", "id", "fp")
+    dealt = _with_prints(dealt.select("post", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "root", "id"), texts, "post", "i", "j", "u", "root")
 
     def pairs(table: tuple[np.ndarray, ...]) -> Found:
         post, i, j, u, roots, ids, fps = table
