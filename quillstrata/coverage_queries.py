@@ -5,6 +5,7 @@ Queries that write do so below the shared checkpoint folder and read back what t
 
 from __future__ import annotations
 
+import string
 import uuid
 
 from pyspark.sql import DataFrame
@@ -255,7 +256,7 @@ _PLAIN_TEXT = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
 def anchored_primaries(t):
     """All anchors of a passage in any case and spacing; the shortest document that holds them is primary."""
     word = F.get(F.split("text", " "), 1)
-    anchors = t("benchmark").select(F.col("item_id").alias("query_id"), F.array(F.upper("text"), F.regexp_replace(word, "$", "  ")).alias("anchors"))
+    anchors = t("benchmark").select(F.col("item_id").alias("query_id"), F.array(F.translate("text", string.ascii_lowercase, string.ascii_uppercase), F.regexp_replace(word, "$", "  ")).alias("anchors"))
     return qrels.anchored_judgements(t("documents").select(F.col("doc_id").alias("target"), F.col("text").alias("document")), anchors)
 
 
