@@ -16,7 +16,10 @@ from pyspark.sql import types as T
 
 from quillstrata.functions.text import normalize_space
 from quillstrata.operators.retrieval import MOST_QUERIES
+from quillstrata.sources import lineage
 
+#: Pairs of a needle and a document that may be sent to every task at once.
+MOST_MET = 100_000
 #: Words of the run by which a passage is looked up.
 RUN = 3
 
@@ -95,10 +98,13 @@ def containing(docs: DataFrame, id_col: str, text: str, needles: DataFrame, key:
     long_ = rows.where(F.size("__qs_runs") > 0)
     wanted = long_.select(key, F.explode("__qs_runs").alias("__qs_run"))
     held = docs.select(id_col, split(text).alias("__qs_w")).select(id_col, F.explode(_runs(F.col("__qs_w"))).alias("__qs_run")).join(wanted.select("__qs_run").distinct(), "__qs_run", "left_semi")
+    # Written once: the runs are counted, and then looked up. A run that no needle has is gone before.
+    held = lineage.cut(held)
     counted = wanted.join(held.groupBy("__qs_run").agg(F.count("*").alias("n")), "__qs_run", "left")
     rarest = counted.groupBy(key).agg(F.min_by("__qs_run", F.struct(F.coalesce("n", F.lit(0)), "__qs_run")).alias("__qs_run"))
-    met = held.join(rarest, "__qs_run").select(key, id_col)
-    found = met.join(docs.select(id_col, text), id_col).join(long_.select(key, needle), key).where(F.contains(text, needle)).select(key, id_col)
+    met = lineage.cut(held.join(rarest, "__qs_run").join(long_.select(key, needle), key).select(key, id_col, needle))
+    few = met.count() <= MOST_MET
+    found = docs.select(id_col, text).join(F.broadcast(met) if few else met, id_col).where(F.contains(text, needle)).select(key, id_col)
     short = rows.where(F.size("__qs_runs") == 0).select(key, needle)
     n = short.count()
     blocks = 0 if not n else 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillstrata.functions import matrices as M
 from quillstrata.functions import text as X
 from quillstrata.operators import corpus, folds, ingest, locators, metrics, qrels, records, reports, retrieval, vectors
+from quillstrata.sources import lineage
 from quillstrata.sources.files import page_elements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,14 +124,17 @@ def hybrid_topk(t):
 @query(f"WITH {_BM25}, h AS ({_top('bm25_scores', 10)}) SELECT query_id, doc_id, rank, sha256(CASE WHEN quality = 1 THEN 'full ' || text ELSE text END) AS evidence_sha256 FROM h JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)")
 def hydrate_results(t):
     docs = t("documents")
-    full = docs.join(t("labels").where("quality = 1"), "doc_id").select("doc_id", F.concat(F.lit("full "), F.col("text")).alias("document"))
-    hits = retrieval.bm25_topk(docs, _asked(t)).join(docs.select("doc_id", F.col("text").alias("document")), "doc_id")
+    found = lineage.cut(retrieval.bm25_topk(docs, _asked(t)))
+    own = lineage.cut(retrieval.of_hits(docs, found).select("doc_id", F.col("text").alias("document")))
+    full = own.join(retrieval.of_hits(t("labels").where("quality = 1"), found), "doc_id").select("doc_id", F.concat(F.lit("full "), F.col("document")).alias("document"))
+    hits = found.join(own, "doc_id")
     return retrieval.hydrate(hits, full).select("query_id", "doc_id", "rank", F.sha2("evidence", 256).alias("evidence_sha256"))
 
 
 @query(f"WITH {_BM25}, h AS ({_top('bm25_scores', 30)}) SELECT query_id, doc_id, new_rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, rank)::INT AS new_rank FROM h JOIN documents USING (doc_id)) WHERE new_rank <= 10")
 def reranked_topk(t):
-    hits = retrieval.bm25_topk(t("documents"), _asked(t), 30).join(t("documents").select("doc_id", "n_chars"), "doc_id")
+    found = lineage.cut(retrieval.bm25_topk(t("documents"), _asked(t), 30))
+    hits = found.join(retrieval.of_hits(t("documents").select("doc_id", "n_chars"), found), "doc_id")
     return retrieval.rerank(hits, F.col("n_chars")).select("query_id", "doc_id", "new_rank")
 
 
@@ -261,7 +265,8 @@ def qrels_build(t):
 
 def _hits(t) -> DataFrame:
     docs, asked, vectors = t("documents"), _asked_vectors(t), _vectors(t)
-    dense, bm25 = retrieval.dense_topk(vectors, asked.select("query_id", "vector"), 30), retrieval.bm25_topk(docs, asked.select("query_id", "text"), 30)
+    # The lists are read for themselves and for their fusion.
+    dense, bm25 = (lineage.cut(x) for x in (retrieval.dense_topk(vectors, asked.select("query_id", "vector"), 30), retrieval.bm25_topk(docs, asked.select("query_id", "text"), 30)))
     name = lambda df, m: df.select(F.lit(m).alias("method"), "query_id", F.col("doc_id").alias("target"), "rank")
     return name(bm25, "bm25").union(name(dense, "dense")).union(name(retrieval.rrf(dense, bm25), "hybrid"))
 
@@ -288,14 +293,16 @@ r AS (SELECT * FROM (SELECT DISTINCT method, query_id FROM hits) JOIN (SELECT DI
 
 @query(f"WITH {_GROUPED} SELECT method, query_id, {', '.join(f'round(avg(coalesce((rank <= {k})::INT, 0)), 9) AS group_recall_at_{k}, min(coalesce((rank <= {k})::INT, 0)) AS complete_group_hit_at_{k}' for k in metrics.CUTS)} FROM r GROUP BY ALL")
 def group_metrics(t):
-    groups = _qrels(t).join(t("documents").select(F.col("doc_id").alias("target"), F.col("source").alias("entity")), "target")
+    found = lineage.cut(_qrels(t))
+    groups = found.join(retrieval.of_hits(t("documents").select(F.col("doc_id").alias("target"), F.col("source").alias("entity")), found, "target"), "target")
     out = metrics.group_metrics(_hits(t), groups)
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c.startswith("group_recall")})
 
 
 @query(f"WITH {_BM25}, h AS ({_top('bm25_scores', 10)}), c AS (SELECT query_id, source, count(*) AS n FROM h JOIN documents USING (doc_id) GROUP BY ALL) SELECT 'bm25' AS method, query_id, count(*) AS unique_parents, max(n) AS max_siblings FROM c GROUP BY query_id")
 def parent_diversity(t):
-    hits = retrieval.bm25_topk(t("documents"), _asked(t)).join(t("documents").select("doc_id", F.col("source").alias("parent")), "doc_id")
+    found = lineage.cut(retrieval.bm25_topk(t("documents"), _asked(t)))
+    hits = found.join(retrieval.of_hits(t("documents").select("doc_id", F.col("source").alias("parent")), found), "doc_id")
     return metrics.parent_diversity(hits)
 
 
