@@ -1,13 +1,13 @@
 """Stateful cuts under a token bound: runs of an ordered element stream and bounded parts of texts.
 
-The injected tokenizer is a Python function, so these are pandas UDFs; what they see is one segment or one text.
+The injected tokenizer is a Python function, so these are Arrow UDFs; what they see is one segment or one text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,28 +19,32 @@ Counter = Callable[[str], int]
 
 
 def counted(count: Counter):
-    """The injected tokenizer as a pandas UDF."""
+    """The injected tokenizer as an Arrow UDF: of a batch, one text at a time is a Python object."""
 
-    @F.pandas_udf("long")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: count(t or ""))
+    @F.arrow_udf("long")
+    def tokens(texts: pa.Array) -> pa.Array:
+        return pa.array((count(t.as_py() or "") for t in texts), pa.int64())
 
     # Marked so that no rule copies it into several filters.
     return tokens.asNondeterministic()
 
 
+def _listed(texts: pa.ListScalar) -> list[str]:
+    return list(texts.values.to_numpy(zero_copy_only=False))
+
+
 def bounded_parts(count: Counter, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP):
-    """split_tokens as a pandas UDF of (text, sentence units)."""
+    """split_tokens as an Arrow UDF of (text, sentence units)."""
 
-    @F.pandas_udf("array<string>")
-    def parts(texts: pd.Series, units: pd.Series) -> pd.Series:
-        return pd.Series([split_tokens(t or "", list(u), count, target, most, overlap) for t, u in zip(texts, units, strict=True)])
+    @F.arrow_udf("array<string>")
+    def parts(texts: pa.Array, units: pa.Array) -> pa.Array:
+        return pa.array((split_tokens(t.as_py() or "", _listed(u), count, target, most, overlap) for t, u in zip(texts, units, strict=True)), pa.list_(pa.string()))
 
     return parts
 
 
 def fold_runs(count: Counter, target: int = TARGET, most: int = MOST):
-    """Pandas UDF from a segment's texts to its runs (first: 1-based place, n): a run ends at target tokens or before most."""
+    """Arrow UDF from a segment's texts to its runs (first: 1-based place, n): a run ends at target tokens or before most."""
 
     def runs(texts: list[str]) -> list[dict[str, int]]:
         out, first = [], 0
@@ -55,9 +59,9 @@ def fold_runs(count: Counter, target: int = TARGET, most: int = MOST):
             out.append((first, len(texts)))
         return [{"first": a + 1, "n": b - a} for a, b in out]
 
-    @F.pandas_udf("array<struct<first:int,n:int>>")
-    def fold(segments: pd.Series) -> pd.Series:
-        return pd.Series([runs(list(s)) for s in segments])
+    @F.arrow_udf("array<struct<first:int,n:int>>")
+    def fold(segments: pa.Array) -> pa.Array:
+        return pa.array((runs(_listed(s)) for s in segments), pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))
 
     return fold
 
