@@ -93,15 +93,20 @@ def _is(space: str, *names: str) -> Column:
 
 def contexts(nodes: DataFrame) -> DataFrame:
     """path, context, entity, scheme, instant, start, end (dates), dimensions (array of axis, member; sorted)."""
-    typed = nodes.where(F.col("parent_name") == "typedMember").groupBy("path", F.col("parent").alias("node")).agg(F.min("text").alias("typed"))
-    inside = nodes.where(F.col("top").isNotNull()).join(typed, ["path", "node"], "left")
+    # What a context says meets in one aggregate, which begins where the nodes are; values of typed members are among its nodes.
     one = lambda when, value: F.max(F.when(when, value))
     text = F.col("text")
-    member = F.when(_is(DIMENSIONS, "explicitMember", "typedMember"), F.struct(_attribute("dimension").alias("axis"), F.coalesce("typed", "text").alias("member")))
-    made = inside.groupBy("path", "top").agg(
+    is_member, is_typed = _is(DIMENSIONS, "explicitMember", "typedMember"), F.coalesce(F.col("parent_name") == "typedMember", F.lit(False))
+    members = F.collect_list(F.when(is_member, F.struct("node", _attribute("dimension").alias("axis"), "text")))
+    typed = F.collect_list(F.when(is_typed, F.struct(F.col("parent").alias("node"), "text")))
+    inside = nodes.where(F.col("top").isNotNull() & (_is(INSTANCE, "context", "identifier", "instant", "startDate", "endDate") | is_member | is_typed))
+    said = inside.groupBy("path", "top").agg(
         one(_is(INSTANCE, "context") & (F.col("depth") == 1), _attribute("id")).alias("context"), one(_is(INSTANCE, "identifier"), text).alias("entity"), one(_is(INSTANCE, "identifier"), _attribute("scheme")).alias("scheme"),
-        *(one(_is(INSTANCE, tag), F.left(text, F.lit(10))).try_cast("date").alias(name) for tag, name in (("instant", "instant"), ("startDate", "start"), ("endDate", "end"))), F.sort_array(F.collect_list(member)).alias("dimensions"),
+        *(one(_is(INSTANCE, tag), F.left(text, F.lit(10))).try_cast("date").alias(name) for tag, name in (("instant", "instant"), ("startDate", "start"), ("endDate", "end"))), members.alias("__qs_members"), typed.alias("__qs_typed"),
     )
+    value = lambda m: F.array_min(F.transform(F.filter("__qs_typed", lambda t: t["node"] == m["node"]), lambda t: t["text"]))
+    pairs = F.transform("__qs_members", lambda m: F.struct(m["axis"].alias("axis"), F.coalesce(value(m), m["text"]).alias("member")))
+    made = said.withColumn("dimensions", F.sort_array(pairs)).drop("__qs_members", "__qs_typed")
     return made.where("context IS NOT NULL").drop("top")
 
 
@@ -109,7 +114,7 @@ def units(nodes: DataFrame) -> DataFrame:
     """path, unit, measure: measures joined by *, divided ones after /."""
     part = lambda test: F.array_join(F.sort_array(F.collect_list(F.when(_is(INSTANCE, "measure") & test, F.col("text")))), "*")
     under = F.col("parent_name") == "unitDenominator"
-    made = nodes.where(F.col("top").isNotNull()).groupBy("path", "top").agg(F.max(F.when(_is(INSTANCE, "unit") & (F.col("depth") == 1), _attribute("id"))).alias("unit"), part(~under).alias("over"), part(under).alias("below"))
+    made = nodes.where(F.col("top").isNotNull() & _is(INSTANCE, "unit", "measure")).groupBy("path", "top").agg(F.max(F.when(_is(INSTANCE, "unit") & (F.col("depth") == 1), _attribute("id"))).alias("unit"), part(~under).alias("over"), part(under).alias("below"))
     return made.where("unit IS NOT NULL").select("path", "unit", F.when(F.col("below") == "", F.col("over")).otherwise(F.concat_ws("/", "over", "below")).alias("measure"))
 
 
