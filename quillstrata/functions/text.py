@@ -53,21 +53,28 @@ NFKC_STABLE = r"\x00-\x9F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B
 def composed(text: Column) -> Column:
     """NFKC; only texts that it may change go through the pandas UDF.
 
-    ASCII is told apart first: a class of many ranges is slow on each character.
+    ASCII is told apart first, whole texts of it by their bytes: a class of many ranges is slow on each character.
     """
-    return F.coalesce(nfkc(F.when(text.rlike(rf"[{BEYOND_ASCII}&&[^{NFKC_STABLE}]]"), text)), text)
+    wide = F.octet_length(text) != F.length(text)
+    return F.coalesce(nfkc(F.when(wide & text.rlike(rf"[{BEYOND_ASCII}&&[^{NFKC_STABLE}]]"), text)), text)
 
 
 def normalize_lexical(text: Column, compose: bool = True) -> Column:
     """NFKC (left out without compose), dashes to hyphens, commas between digits removed."""
-    plain = F.translate(composed(text) if compose else text, "–—", "--")
-    return F.regexp_replace(plain, r"(?<=\d),(?=\d)", "")
+    plain = composed(text) if compose else text
+    for dash in "–—":
+        plain = F.replace(plain, F.lit(dash), F.lit("-"))
+    return F.regexp_replace(plain, r",(?<=\d,)(?=\d)", "")
 
 
-def financial_tokens(text: Column, compose: bool = True) -> Column:
+def token_text(text: Column, compose: bool = True) -> Column:
+    """What TOKEN is looked for in: in lower case, with a capital for each letter beyond ASCII."""
     low = F.lower(normalize_lexical(text, compose))
-    plain = F.when(low.rlike(BEYOND_ASCII), F.regexp_replace(low, WIDE_WORD, "A")).otherwise(low)
-    return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
+    return F.when(low.rlike(BEYOND_ASCII), F.regexp_replace(low, WIDE_WORD, "A")).otherwise(low)
+
+
+def financial_tokens(text: Column, compose: bool = True) -> Column:
+    return F.regexp_extract_all(token_text(text, compose), F.lit(TOKEN), F.lit(0))
 
 
 def is_navigation(text: Column) -> Column:

@@ -12,21 +12,98 @@ What leaves a task are its best documents of each query. Terms of the queries go
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstrata.functions.text import TOKEN
+
 #: Documents of a part.
 PART_DOCS = 1_024
+#: Bytes of text that are counted at once, but for the last STEP documents of them.
+PIECE_BYTES, STEP = 12_000_000, 32
+#: No part of a token at its word's ends: neither word characters nor a percent sign.
+AROUND = "".join(c for c in string.punctuation if c not in "_%")
 #: Scores are compared after rounding to DIGITS; what may be lifted by it stays.
 DIGITS = 6
 SLACK = 4e-6
 
 
+def pieces(texts: DataFrame, parts: int, slices: int = 1) -> DataFrame:
+    """token, part, docs, tfs, dls (arrays, by doc_id) of doc_id, text (token_text()); and of each part a row without token, of all its documents.
+
+    Documents are dealt to parts and slices by hashes. What meets in one slice of a part is counted in one call, where the
+    documents are; beyond PIECE_BYTES it is cut. Slices and cuts have numbers of their own: pmod(part, parts) is what they
+    are of. Postings are not shuffled. dl is null where the text is.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    cell = part if slices == 1 else part + parts * F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(slices)).cast("int")
+    dealt = texts.select(cell.alias("part"), "doc_id", "text").repartition("part").sortWithinPartitions("part")
+    step = parts * slices
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, cuts, size = [], None, 0, 0
+        for b in batches:
+            at = b.column("part").to_numpy()
+            rows = pa.table([b.column("doc_id"), b.column("text")], ["doc_id", "text"])
+            ends = np.flatnonzero(np.diff(at, append=-1)) + 1
+            for first, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+                if at[first] != now:
+                    if held:
+                        yield _piece(held, now + step * cuts)
+                    held, now, cuts, size = [], int(at[first]), 0, 0
+                for i in range(first, end, STEP):
+                    if size > PIECE_BYTES:
+                        yield _piece(held, now + step * cuts)
+                        held, cuts, size = [], cuts + 1, 0
+                    held.append(rows.slice(i, min(STEP, end - i)))
+                    size += pc.sum(pc.binary_length(held[-1].column("text")), min_count=0).as_py()
+        if held:
+            yield _piece(held, now + step * cuts)
+
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("docs", T.ArrayType(texts.schema["doc_id"].dataType)), T.StructField("tfs", longs), T.StructField("dls", longs)])
+    return dealt.mapInArrow(run, schema)
+
+
+def _piece(held: list[pa.Table], part: int) -> pa.RecordBatch:
+    rows = pa.concat_tables(held).sort_by("doc_id")
+    docs, text = (rows.column(c).combine_chunks() for c in ("doc_id", "text"))
+    n = len(docs)
+    # No token crosses a blank, so each different word is searched once; most are tokens as they are, but for what is around them.
+    lists = pc.ascii_split_whitespace(text)
+    words = lists.flatten().dictionary_encode()
+    bare = pc.ascii_trim(words.dictionary, AROUND)
+    whole = pc.match_substring_regex(bare, r"\A[a-z0-9]+\z")
+    find = re.compile(TOKEN, re.ASCII).findall
+    found = [find(w) for w in bare.filter(pc.invert(whole)).to_pylist()]
+    tokens = pa.concat_arrays([bare.filter(whole), pa.array([t for ts in found for t in ts], pa.string())]).dictionary_encode()
+    whole = whole.to_numpy(zero_copy_only=False)
+    many, start = np.ones(len(whole), np.int64), np.zeros(len(whole), np.int64)
+    many[~whole] = [len(ts) for ts in found]
+    start[whole], start[~whole] = np.arange(whole.sum()), whole.sum() + np.cumsum(many[~whole]) - many[~whole]
+    word = words.indices.to_numpy()
+    each = many[word]
+    row = np.repeat(np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), each)
+    at = np.arange(len(row)) + np.repeat(start[word] - (np.cumsum(each) - each), each)
+    code, tf = np.unique(tokens.indices.to_numpy().astype(np.int64)[at] * n + row, return_counts=True)
+    dl = pc.if_else(text.is_null(), pa.scalar(None, pa.int64()), pa.array(np.bincount(row, minlength=n).astype(np.int64)))
+    own, place = code // n, pa.array(code % n)
+    # The last list is that of all documents, beside the null token.
+    ends = pa.array(np.append(np.searchsorted(own, np.arange(len(tokens.dictionary) + 1)), len(code) + n), pa.int32())
+    pairs = (docs.take(place), docs), (pa.array(tf, pa.int64()), pa.nulls(n, pa.int64())), (dl.take(place), dl)
+    names = pa.concat_arrays([tokens.dictionary, pa.nulls(1, pa.string())])
+    arrays = [names, pa.array(np.full(len(names), part), pa.int32()), *(pa.ListArray.from_arrays(ends, pa.concat_arrays(p)) for p in pairs)]
+    return pa.RecordBatch.from_arrays(arrays, ["token", "part", "docs", "tfs", "dls"])
+
+
 def blocks(postings: DataFrame, impact: Column, parts: int) -> DataFrame:
     """token, part, top, docs, tfs, dls, impacts (arrays, by doc_id); postings: token, doc_id, tf, dl."""
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
@@ -44,8 +121,9 @@ class Part:
     """One part's blocks: docs (sorted ids), and of each token the places of its documents, their impacts and the greatest."""
 
     def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray, float]]):
-        self.docs = np.unique(np.concatenate([docs for _, docs, _, _ in rows]))
-        self.of = {token: (np.searchsorted(self.docs, docs), impacts, top) for token, docs, impacts, top in rows}
+        self.docs, every = np.unique(np.concatenate([docs for _, docs, _, _ in rows]), return_inverse=True)
+        places = np.split(every, np.cumsum([len(docs) for _, docs, _, _ in rows])[:-1])
+        self.of = {token: (at, impacts, top) for at, (token, _, impacts, top) in zip(places, rows, strict=True)}
 
     def above(self, terms: list[tuple[str, float]], bar: float) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, scores, postings added up) of the documents whose score, rounded, may be bar or more and is not zero.
@@ -77,10 +155,10 @@ class Part:
         return places, scores, read
 
 
-def best_by_task(found: DataFrame, queries: pa.Array, terms: list[list[tuple[str, float]]], limit: int, id_type: T.DataType, read: bool = False) -> DataFrame:
+def best_by_task(found: DataFrame, queries: pa.Array, terms: list[list[tuple[str, float]]], limit: int, id_type: T.DataType, impact: Callable[[np.ndarray, np.ndarray], np.ndarray], read: bool = False) -> DataFrame:
     """query_id, doc_id, score (rounded): each task's best limit of each query; found: the blocks of the queries' tokens.
 
-    terms: of each query, its tokens with their weights. read: instead, query_id, postings, read: how many there are in the
+    terms: of each query, its tokens with their weights. impact: of tf and dl, the part of a weight that is not idf. read: instead, query_id, postings, read: how many there are in the
     blocks, and how many were added up.
     """
     sent = found.sparkSession.sparkContext.broadcast((queries, terms))
@@ -90,15 +168,19 @@ def best_by_task(found: DataFrame, queries: pa.Array, terms: list[list[tuple[str
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
         now, rows = None, []
         for b in batches:
-            part, token, top = (b.column(c).to_pylist() for c in ("part", "token", "top"))
+            part, token = (b.column(c).to_pylist() for c in ("part", "token"))
+            ends = np.append(0, np.cumsum(pc.list_value_length(b.column("docs")).to_numpy()))
+            docs, tfs, dls = (b.column(c).flatten() for c in ("docs", "tfs", "dls"))
+            ids = docs.to_numpy(zero_copy_only=False) if pa.types.is_integer(docs.type) else np.array(docs.to_pylist())
+            impacts = impact(tfs.to_numpy(), dls.to_numpy())
+            tops = np.maximum.reduceat(impacts, ends[:-1]).tolist()
             for i in range(b.num_rows):
                 if part[i] != now:
                     if rows:
                         yield Part(rows)
                     now, rows = part[i], []
-                docs = b.column("docs")[i].values
-                ids = docs.to_numpy(zero_copy_only=False) if pa.types.is_integer(docs.type) else np.array(docs.to_pylist())
-                rows.append((token[i], ids, b.column("impacts")[i].values.to_numpy(zero_copy_only=False), top[i]))
+                at = slice(ends[i], ends[i + 1])
+                rows.append((token[i], ids[at], impacts[at], tops[i]))
         if rows:
             yield Part(rows)
 
@@ -134,7 +216,7 @@ def best_by_task(found: DataFrame, queries: pa.Array, terms: list[list[tuple[str
     query_type = T.StructField("query_id", _spark_type(queries.type))
     rest = T.StructType.fromDDL(name).fields
     schema = T.StructType([query_type, *rest] if read else [query_type, T.StructField("doc_id", id_type), *rest])
-    dealt = found.select("part", "token", "top", "docs", "impacts").repartition("part").sortWithinPartitions("part")
+    dealt = found.select("part", "token", "docs", "tfs", "dls").repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, schema)
 
 
