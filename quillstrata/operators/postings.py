@@ -27,8 +27,8 @@ from quillstrata.functions.text import TOKEN
 
 #: Documents of a part.
 PART_DOCS = 1_024
-#: Bytes of text that are counted at once, but for the last STEP documents of them.
-PIECE_BYTES, STEP = 12_000_000, 32
+#: Bytes of text that are counted at once, but for the last STEP documents of them, and tasks for few parts.
+PIECE_BYTES, STEP, SLICES = 12_000_000, 32, 64
 #: No part of a token at its word's ends: neither word characters nor a percent sign.
 AROUND = "".join(c for c in string.punctuation if c not in "_%")
 #: Scores are compared after rounding to DIGITS; what may be lifted by it stays.
@@ -104,12 +104,17 @@ def _piece(held: list[pa.Table], part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["token", "part", "docs", "tfs", "dls"])
 
 
-def blocks(postings: DataFrame, impact: Column, parts: int) -> DataFrame:
-    """token, part, top, docs, tfs, dls, impacts (arrays, by doc_id); postings: token, doc_id, tf, dl."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
-    rows = postings.select("token", part.alias("part"), F.struct("doc_id", "tf", "dl", impact.alias("impact")).alias("x"))
-    made = rows.groupBy("token", "part").agg(F.max("x.impact").alias("top"), F.sort_array(F.collect_list("x")).alias("items"))
-    return made.select("token", "part", "top", F.col("items.doc_id").alias("docs"), F.col("items.tf").alias("tfs"), F.col("items.dl").alias("dls"), F.col("items.impact").alias("impacts"))
+def blocks(texts: DataFrame, impact: Callable[[Column, Column], Column], parts: int) -> DataFrame:
+    """token, part, top, docs, tfs, dls, impacts (arrays, by doc_id) of doc_id, text (token_text()): a token's postings in a part are one block.
+
+    impact: of tf and dl.
+    """
+    own = pieces(texts, parts, max(1, SLICES // parts)).where("token is not null")
+    rows = own.select("token", F.pmod("part", F.lit(parts)).alias("part"), F.arrays_zip("docs", "tfs", "dls").alias("x"))
+    made = rows.groupBy("token", "part").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
+    lists = made.select("token", "part", F.col("x.docs").alias("docs"), F.col("x.tfs").alias("tfs"), F.col("x.dls").alias("dls"))
+    each = F.zip_with("tfs", "dls", impact)
+    return lists.select("token", "part", F.array_max(each).alias("top"), "docs", "tfs", "dls", each.alias("impacts"))
 
 
 def flat(found: DataFrame) -> DataFrame:
